@@ -68,7 +68,7 @@ VIEWS: dict[str, str] = {
                CAST(o_orderdate AS TIMESTAMP) AS traded_at, CAST(o_orderdate AS DATE) AS trade_date FROM orders""",
     "v_positions": """
         SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'monkey' ELSE 'robot' END AS player,
-               'C' || CAST(c_custkey % 45 AS STRING) AS coin_symbol, CAST(1 + c_custkey * 13 % 300 AS DOUBLE) AS entry_price,
+               'C' || CAST(c_nationkey * 2 % 45 AS STRING) AS coin_symbol, CAST(1 + c_custkey * 13 % 300 AS DOUBLE) AS entry_price,
                CAST(5 + c_custkey % 14 AS DOUBLE) AS initial_size,
                (5 + c_custkey % 14) * (1 + c_custkey % 3) / 3.0E0 AS remaining_size,
                CAST(c_custkey % 3 AS INT) AS take_profit_stage,
@@ -93,10 +93,10 @@ VIEWS: dict[str, str] = {
                     WHEN weighted_score >= 40 THEN 'warm' WHEN weighted_score >= 20 THEN 'cool' ELSE 'cold' END AS signal_label,
                CASE WHEN avg_sentiment > 0.3 THEN 'potential_reversal' END AS contrarian_warning, event_modifier
         FROM (SELECT 'C' || CAST(user_id % 40 AS STRING) AS coin_symbol,
-                     CASE user_id % 4 WHEN 0 THEN '1h' WHEN 1 THEN '6h' WHEN 2 THEN '24h' ELSE '7d' END AS time_window,
+                     CASE event_id % 4 WHEN 0 THEN '1h' WHEN 1 THEN '6h' WHEN 2 THEN '24h' ELSE '7d' END AS time_window,
                      CASE WHEN event_type IN ('click', 'view') THEN 'fomo' ELSE 'fud' END AS signal_type,
                      date_trunc('day', CAST(ts AS TIMESTAMP)) AS computed_at,
-                     CAST(count(*) AS BIGINT) AS mention_count,
+                     CAST(sum(1 + event_id % 6) AS BIGINT) AS mention_count,
                      CAST(least(100, max(floor(value))) AS DOUBLE) AS weighted_score,
                      (max(event_id * 37 % 201) - 100) / 200.0E0 AS avg_sentiment,
                      (max(event_id * 17 % 301) - 100) / 100.0E0 AS mention_velocity,
