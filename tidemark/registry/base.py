@@ -23,7 +23,8 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, event_type AS source, 'ch' || CAST(user_id % 12 AS STRING) AS channel,
                'author' || CAST(event_id % 90 AS STRING) AS author, CAST(floor(value) AS INT) AS score,
                CAST(event_id * 7 % 200 AS INT) AS upvotes, CAST(event_id * 3 % 50 AS INT) AS num_comments,
-               CAST(event_id % 4 AS INT) AS num_awards, 'post ' || CAST(event_id AS STRING) AS title,
+               CAST(event_id % 4 AS INT) AS num_awards, 
+               'post ' || CAST(event_id AS STRING) || ' by author' || CAST(event_id % 90 AS STRING) AS title,
                props AS body, CAST(ts AS TIMESTAMP) AS posted_at FROM events""",
     # one to three coins per post, 40 coins
     "v_mentions": """
