@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import titles as T
 from tidemark.functions import urls as U
-from tidemark.functions.dates import parse_date
+from tidemark.functions.dates import extract_date_text, parse_date
 from tidemark.functions.dom import page_elements, page_items, page_text
 from tidemark.functions.text import preview
 from tidemark.operators.keyed import first_per_key, top_k
@@ -146,8 +146,6 @@ def page_articles(pages: DataFrame, strategy: str | dict = "static", link_templa
     href = F.when(call.isNotNull(), filled).otherwise(F.col("href"))
     base = U.origin("url")
     thumb = F.when(F.col("thumb").startswith("http"), F.col("thumb")).otherwise(U.absolute("thumb", F.concat(base, F.lit("/"))))
-    from tidemark.functions.dates import extract_date_text
-
     return e.select(
         "page_id", "pos", T.process_title("title").alias("title"),
         U.normalize(U.absolute(href, F.concat(base, F.lit("/"))), drop or U.TRACKING["static"], True).alias("link"),

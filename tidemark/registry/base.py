@@ -164,7 +164,7 @@ class Tables:
             pick = F.element_at(names, ((F.col("event_id") + 5 * F.col("j")) % 12 + 1).cast("int"))
             df = base.select(F.col("event_id").alias("post_id"), F.col("j").cast("int").alias("pos"), pick.alias("phrase"))
         elif name in VIEWS:
-            text = VIEWS[name]
+            text = VIEWS[name].replace("{", "{{").replace("}", "}}")
             used = [x for x in [*TABLES, *VIEWS] if x != name and re.search(rf"\b(FROM|JOIN)\s+{x}\b", text)]
             df = self.spark.sql(
                 re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(used) + r")\b", r"\1 {\2}", text).replace("\\n", "\\\\n"),
