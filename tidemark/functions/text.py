@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.semantics import WS, at, col, js_trim, squeeze
+from tidemark.semantics import WS, at, col, js_trim, let, squeeze
 
 # Units of relative time per language.
 TIME_UNITS = {
@@ -72,16 +72,16 @@ def last_index(x: Column, ch: str) -> Column:
 
 def preview(content, n: int = 500) -> Column:
     """Cut at the last sentence end past the middle, else at the last space past 80 %, else hard."""
-    c = clean_text(content)
-    head = F.substring(c, 1, n)
-    sentence = F.greatest(*[last_index(head, x) for x in ".?!"])
-    space = last_index(head, " ")
-    return (
-        F.when(F.char_length(c) <= n, c)
-        .when(sentence - 1 > n * 0.5, F.substring(head, F.lit(1), sentence))
-        .when(space - 1 > n * 0.8, F.concat(F.substring(head, F.lit(1), space - 1), F.lit("...")))
-        .otherwise(F.concat(head, F.lit("...")))
-    )
+    def cut(head: Column) -> Column:
+        sentence = F.greatest(*[last_index(head, x) for x in ".?!"])
+        space = last_index(head, " ")
+        return (
+            F.when(sentence - 1 > n * 0.5, F.substring(head, F.lit(1), sentence))
+            .when(space - 1 > n * 0.8, F.concat(F.substring(head, F.lit(1), space - 1), F.lit("...")))
+            .otherwise(F.concat(head, F.lit("...")))
+        )
+
+    return let(clean_text(content), lambda c: F.when(F.char_length(c) <= n, c).otherwise(let(F.substring(c, 1, n), cut)))
 
 
 def fallback_summary(title, content) -> Column:
@@ -89,7 +89,7 @@ def fallback_summary(title, content) -> Column:
     parts = F.split(F.regexp_replace(col(content), f"[{WS}]+", " "), rf"[.!?][{WS}]+")
     good = F.slice(F.filter(parts, lambda s: F.char_length(js_trim(s)) > 20), 1, 3)
     short = F.transform(good, lambda s: ellipsis(js_trim(s), 60))
-    return F.when(F.size(good) == 0, F.array(col(title), F.lit(""), F.lit(""))).otherwise(short)
+    return let(short, lambda g: F.when(F.size(g) == 0, F.array(col(title), F.lit(""), F.lit(""))).otherwise(g))
 
 
 def split_summary(summary) -> Column:

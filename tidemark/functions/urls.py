@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.semantics import col
+from tidemark.semantics import col, let
 
 # Tracking parameters by strategy.
 TRACKING = {
@@ -112,13 +112,14 @@ def absolute(href, base) -> Column:
 
 def normalize(url, drop: Sequence[str], strip_slash: bool = False) -> Column:
     """Lower-case host, tracking parameters removed, other parts kept; non-http links unchanged."""
-    u = col(url)
-    q = F.array_join(params(u, drop), "&")
-    p = path(u)
-    tail = F.concat(F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")), fragment(u))
-    if strip_slash:
-        p = F.when((tail == "") & (p != "/"), F.regexp_replace(p, "/$", "")).otherwise(p)
-    return F.when(is_http(u), F.concat(origin(u), p, tail)).otherwise(u)
+    def parts(u: Column) -> Column:
+        q = F.array_join(params(u, drop), "&")
+        tail = F.concat(F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")), fragment(u))
+        p = path(u)
+        whole = let(tail, lambda t: F.concat(F.when((t == "") & (p != "/"), F.regexp_replace(p, "/$", "")).otherwise(p), t)) if strip_slash else F.concat(p, tail)
+        return F.when(is_http(u), F.concat(origin(u), whole)).otherwise(u)
+
+    return let(url, parts)
 
 
 def replace_first(x: Column, token: Column, value: Column) -> Column:

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import plan_bytes, small
-from tidemark.semantics import EDGE, LEFT, RIGHT, js_trim
+from tidemark.operators.keyed import small
+from tidemark.semantics import EDGE, LEFT, RIGHT, WORD, js_trim, let
 
 # Upper-case words that are no coins, symbols that are also plain words, and words of coin talk.
 BLACKLIST = (
@@ -75,6 +75,25 @@ def quote(alias: Column) -> Column:
     return F.regexp_replace(alias, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
+def is_word(c: Column) -> Column:
+    return c.rlike(f"^[{WORD}]$")
+
+
+def alias_at(low: Column, alias: Column) -> Column:
+    """0-based place of the first alias hit with word edges on both sides; -1 without one.
+
+    A plain search settles most cases; only when its first hit lies inside a
+    word does the edge pattern run.
+    """
+    def settle(pos: Column) -> Column:
+        before = F.when(pos > 1, is_word(F.substring(low, pos - 1, F.lit(1)))).otherwise(F.lit(False))
+        after = is_word(F.substring(low, pos + F.char_length(alias), F.lit(1)))
+        edges = (before != is_word(F.substring(alias, 1, 1))) & (after != is_word(F.substring(alias, -1, 1)))
+        return F.when(pos == 0, F.lit(-1)).when(edges, pos - 1).otherwise(F.regexp_instr(low, F.concat(F.lit(EDGE), quote(alias), F.lit(EDGE))) - 1)
+
+    return let(F.position(alias, low), settle)
+
+
 def word_starts(text: Column, word: Column) -> Column:
     """0-based places of every stand-alone ``word`` in a text."""
     parts = F.split(text, F.concat(F.lit(LEFT), word, F.lit(RIGHT)), -1)
@@ -112,12 +131,12 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
 
     # one row per post with its candidates, so the text is shuffled once and only for posts that have any
     per_post = rows.groupBy("id").agg(F.collect_list(F.struct("symbol", "kind", "alias", "idx", "n")).alias("c"))
-    j = p.join(per_post, "id").select("id", "title", "text", F.explode("c").alias("c")).select("id", "title", "text", "c.*")
-    text, low = F.col("text"), F.lower("text")
+    j = p.join(per_post, "id").select("id", "title", "text", F.lower("text").alias("low"), "c")
+    j = j.select("id", "title", "text", "low", F.explode("c").alias("c")).select("id", "title", "text", "low", "c.*")
+    text, low = F.col("text"), F.col("low")
     alias, sym = F.col("alias"), F.col("symbol")
-    pattern = F.when(F.col("kind") == "alias", F.concat(F.lit(EDGE), quote(alias), F.lit(EDGE))).otherwise(
-        F.concat(F.lit(r"(?i)[$#]"), sym, F.lit(RIGHT)))
-    j = j.withColumn("at", F.regexp_instr(F.when(F.col("kind") == "alias", low).otherwise(text), pattern) - 1)
+    j = j.withColumn("at", F.when(F.col("kind") == "alias", alias_at(low, alias)).when(
+        F.col("kind") == "tick", F.regexp_instr(text, F.concat(F.lit(r"(?i)[$#]"), sym, F.lit(RIGHT))) - 1))
     ambiguous = sym.isin(AMBIGUOUS)
     starts = F.when(ambiguous, F.filter(word_starts(F.col("title"), sym), lambda s: in_context(low, s, F.char_length(sym)))).otherwise(
         word_starts(F.col("title"), sym))
@@ -168,15 +187,16 @@ def substring_hits(text: Column, aliases: list[str]) -> Column:
     return run(text)
 
 
-def extract_mentions_loose(posts: DataFrame, coins: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def extract_mentions_loose(posts: DataFrame, coins: DataFrame, limit_chars: int = 16_000_000) -> DataFrame:
     """Chat form: aliases match as substrings, without boundaries or context tests.
 
     The alias list goes to the tasks as a value, so its size is checked.
     """
     dim = alias_dim(coins).where(F.char_length("alias") >= MIN_ALIAS)
-    if plan_bytes(dim) > limit_bytes:
+    names = dim.select("alias").distinct()
+    if (names.agg(F.sum(F.char_length("alias"))).first()[0] or 0) > limit_chars:
         raise ValueError("alias table too large for the substring form; use extract_mentions")
-    aliases = sorted({r.alias for r in dim.select("alias").distinct().toLocalIterator()})
+    aliases = sorted(r.alias for r in names.collect())
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
     p = posts.select("id", title.alias("title"), F.concat(title, F.lit("\n"), body).alias("text"))
     symbols = small(coins.select(F.upper("symbol").alias("symbol")).distinct())

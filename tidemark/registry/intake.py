@@ -11,6 +11,7 @@ from tidemark.plans import signals as G
 from tidemark.registry.base import AS_OF, query
 from tidemark.registry.feed import NAMES, PATH, SEG, TAGS_SQL, cats, tagged
 from tidemark.semantics import js_round
+from tidemark.session import cut_lineage
 from tidemark.sources import exports as E
 from tidemark.sources import feeds as SF
 from tidemark.sources import sinks as K
@@ -33,7 +34,8 @@ COIN_SQL = """SELECT upper(w) AS symbol, 'the ' || w AS name, w, row_number() OV
 def text_coins(t):
     w = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).where(F.char_length("w").between(4, 8))
     top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(60)
-    return top.select(F.upper("w").alias("symbol"), F.concat(F.lit("the "), "w").alias("name"))
+    # coins are a stored table in practice; keep the derived one from being counted again per use
+    return cut_lineage(top.select(F.upper("w").alias("symbol"), F.concat(F.lit("the "), "w").alias("name")))
 
 
 def text_posts(t):

@@ -56,6 +56,15 @@ def nz(x) -> Column:
     return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
 
 
+def let(x, body) -> Column:
+    """``body(x)`` with ``x`` computed once.
+
+    A long rule chain that mentions its input many times would otherwise copy
+    the input expression into every branch.
+    """
+    return F.element_at(F.transform(F.array(col(x)), body), 1)
+
+
 def ratio(num, den) -> Column:
     """Double division that yields null on a zero or null denominator."""
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))

@@ -90,7 +90,8 @@ def changed_urls(results: DataFrame, articles: DataFrame) -> DataFrame:
     rank = articles.where("is_active AND slug IS NOT NULL").select("slug", "crawled_at", "id")
     new = newest(rank, total).select(F.concat(F.lit("/articles/"), "slug").alias("path"))
     paths = base.unionByName(src).unionByName(new)
-    return paths.select(F.concat(F.lit("/"), F.explode(F.array(*[F.lit(x) for x in LOCALES])), "path").alias("url"))
+    each = paths.select(F.explode(F.array(*[F.lit(x) for x in LOCALES])).alias("lc"), "path")
+    return each.select(F.concat(F.lit("/"), "lc", "path").alias("url"))
 
 
 def newest(df: DataFrame, n: Column) -> DataFrame:
