@@ -31,6 +31,16 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, bytes_per_task: int = 32 * 1024 * 1024) -> DataFrame:
+    """Rows over all cores when a small input would leave most of them idle; nothing to do for inputs of many splits.
+
+    For per-row work that is heavy on the CPU: one parquet row group is one
+    task, however long its texts take.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if plan_bytes(df) < n * bytes_per_task else df
+
+
 def top_k(df: DataFrame, keys: Sequence, order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     name = rank or "_rank"
     w = Window.partitionBy(*[col(c) for c in keys]).orderBy(*order)

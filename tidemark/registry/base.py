@@ -12,12 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.keyed import spread
+
 AS_OF = "2024-01-30 00:00:00"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+TEXTS = ("documents", "pages", "conversations")
+
 VIEWS: dict[str, str] = {
     "v_posts": """
         SELECT event_id AS id, event_type AS source, 'ch' || CAST(user_id % 12 AS STRING) AS channel,
@@ -149,6 +153,9 @@ class Tables:
             return self._seen[name]
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = spread(df) if name in TEXTS else df
+        elif name == "events_spread":
+            df = spread(self.events)
         elif name == "v_mentions":
             j = F.explode(F.sequence(F.lit(0), F.col("event_id") % 3))
             df = self.events.select("event_id", "user_id", "ts", j.alias("j")).select(

@@ -202,7 +202,7 @@ def h18(t):
         F.when(k == 0, f("yyyy-MM-dd'T'HH:mm")).when(k == 1, F.concat(f("yyyy-MM-dd HH:mm"), F.lit(":00Z"))).when(k == 2, f("yyyy.M.d")).when(k == 3, f("MM/dd/yyyy"))
         .when(k == 4, f("dd.MM.yyyy")).when(k == 5, f("yyyy년 M월 d일")).when(k == 6, f("MMMM d, yyyy")).when(k == 7, f("d MMM yyyy"))
         .when(k == 8, F.concat(F.col("user_id").cast("string"), F.lit("시간 전"))).otherwise(F.concat(F.lit("about "), F.col("user_id").cast("string"), F.lit(" days ago"))))
-    return t.events.select("event_id", F.unix_micros(D.parse_date(txt, AS_OF)).alias("parsed_us"))
+    return t.events_spread.select("event_id", F.unix_micros(D.parse_date(txt, AS_OF)).alias("parsed_us"))
 
 
 @query("h19_extract_date", r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '(\d{4}[-./]\d{1,2}[-./]\d{1,2}\s+\d{1,2}:\d{2})', 1), ''),
@@ -473,7 +473,7 @@ def b11(t):
 @query("b13_age_filter", f"SELECT event_id FROM events WHERE event_type = 'click' OR ts > {T0} OR ts >= {T0} - INTERVAL 10 DAY")
 def b13(t):
     txt = F.when(F.col("event_type") != "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(F.lit("soon"))
-    return t.events.where(D.within_days(D.parse_date(txt, AS_OF), 10, AS_OF)).select("event_id")
+    return t.events_spread.where(D.within_days(D.parse_date(txt, AS_OF), 10, AS_OF)).select("event_id")
 
 
 CHANNELS = [("ch0", 10, 1.0), ("ch1", 50, 1.2), ("ch2", 5, 0.8), ("ch3", 100, 1.0)]

@@ -131,7 +131,7 @@ def s3(t):
         F.lit('<div class="tgme_widget_message js" data-post="ch'), (F.col("user_id") % 12).cast("string"), F.lit("/"), (F.col("event_id") + 1).cast("string"),
         F.lit('"><div class="tgme_widget_message_text js">'), F.col("event_type"), F.lit(" <b>"), F.replace("props", F.lit('"'), F.lit("&quot;")), F.lit('</b></div><span class="tgme_widget_message_views">'),
         F.format_string("%.1fK", F.round("value", 1)), F.lit('</span><time datetime="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00">x</time></div>'))
-    return SO.channel_page_posts(t.events.select(F.concat(F.lit("<html>"), block, F.lit("</html>")).alias("payload")), AS_OF).select(
+    return SO.channel_page_posts(t.events_spread.select(F.concat(F.lit("<html>"), block, F.lit("</html>")).alias("payload")), AS_OF).select(
         "source_id", "title", "score", us("posted_at").alias("posted_us"))
 
 
@@ -149,7 +149,7 @@ def s5(t):
     body = js(F.struct(e.cast("string").alias("id"), F.col("props").alias("full_text"), F.col("event_type").alias("username"), (e * 7 % 200).cast("int").alias("favorite_count"),
                        (e % 50).cast("int").alias("retweet_count")))
     raw = F.concat(F.lit("["), F.regexp_replace(body, r"\}$", ""), F.lit(',"hashtags":["'), F.col("event_type"), F.lit('",{"tag":"t'), (e % 3).cast("string"), F.lit('"},""]}]'))
-    p = SO.tweet_posts(t.events.select(raw.alias("payload")), AS_OF)
+    p = SO.tweet_posts(t.events_spread.select(raw.alias("payload")), AS_OF)
     return p.select("source_id", "channel", "title", "score", F.get_json_object("metadata", "$.hashtags").alias("hashtags"))
 
 
@@ -220,7 +220,7 @@ def s11(t):
     item = F.concat(
         F.lit("<item><title><![CDATA[<b>event "), "event_type", F.lit("</b> of user"), F.col("user_id").cast("string"), F.lit("]]></title><link>https://x.example.com/a/"), e,
         F.lit("?utm_source=f&amp;p=1&amp;ref=q</link><dc:creator>by"), F.col("user_id").cast("string"), F.lit("</dc:creator><pubDate>"), ts, F.lit("</pubDate></item>"))
-    p = t.events.select(F.col("event_type").alias("source_name"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
+    p = t.events_spread.select(F.col("event_type").alias("source_name"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
     r = SF.rss_items(p, AS_OF, max_age_days=20)
     return r.select(F.regexp_extract("link", r"/a/(\d+)", 1).cast("long").alias("event_id"), "title", "link", "author", us("published_at").alias("published_us"))
 
@@ -242,7 +242,7 @@ def s13(t):
     it = F.struct(F.struct(F.concat(F.lit("item "), "event_type", F.lit(" "), F.col("user_id").cast("string")).alias("t")).alias("head"), F.col("event_id").cast("string").alias("id"),
                   F.col("event_type").alias("kind"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("w"), F.col("user_id").cast("string"))).alias("who"),
                   F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at"))
-    p = t.events.select(F.lit("s").alias("source_name"), F.lit("https://x.example.com/api/list").alias("url"), js(F.struct(F.struct(F.array(it).alias("rows")).alias("out"))).alias("payload"))
+    p = t.events_spread.select(F.lit("s").alias("source_name"), F.lit("https://x.example.com/api/list").alias("url"), js(F.struct(F.struct(F.array(it).alias("rows")).alias("out"))).alias("payload"))
     m = {"items": "out.rows", "title": "head.t", "link": "id", "author": "who", "date": "at"}
     return SF.api_items(p, AS_OF, m, "https://x.example.com/post/{id}/{1}", ["id", "kind"], max_age_days=10).select("title", "link", "author")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Whitespace as ECMAScript's \s sees it, as the inside of a Java character class.
 WS = r"\s\x0B   -     　﻿"
+WS_NOT_SPACE = WS.replace(r"\s", r"\t\n\f\r")
 # ASCII word boundaries: Java's \b looks at Unicode letters.
 WORD = "A-Za-z0-9_"
 LEFT = f"(?<![{WORD}])"
@@ -80,8 +81,8 @@ def js_trim(x) -> Column:
 
 
 def squeeze(x) -> Column:
-    """Collapse runs of whitespace and trim."""
-    return F.trim(F.regexp_replace(col(x), f"[{WS}]+", " "))
+    """Collapse runs of whitespace and trim. Lone spaces, the usual case, are not matched at all."""
+    return F.trim(F.regexp_replace(col(x), f"[{WS_NOT_SPACE}][{WS}]*| [{WS}]+", " "))
 
 
 def exact(x, scale: int = 3, precision: int = 20) -> Column:
