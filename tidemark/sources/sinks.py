@@ -29,7 +29,7 @@ RELABEL = {"strong_buy": "extremely_hot", "buy": "hot", "neutral": "warm", "sell
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """Base rows without a newer version, then the last delta row per key.
+    """Base rows without a newer version, then the last delta row per key in ``order`` (not needed for unique keys).
 
     The base is anti joined with the delta's distinct keys, so it is neither
     sorted nor regrouped; a small delta makes this a broadcast filter.
@@ -144,7 +144,7 @@ def copy_from_others(articles: DataFrame, source_name: str, user: str, category:
     last = others.orderBy(F.col("published_at").desc_nulls_last(), "id").limit(n)
     own = articles.where(F.col("user_id") == user).select("source_id")
     new_id = F.substring(F.sha2(F.concat_ws("|", F.lit(user), "source_id"), 256), 1, 32)
-    c = last.join(own, "source_id", "left_anti").dropDuplicates(["source_id"]).withColumns({
+    c = first_per_key(last.join(own, "source_id", "left_anti"), ["source_id"], [F.col("published_at").desc_nulls_last(), F.col("id")]).withColumns({
         "user_id": F.lit(user), "id": new_id, "category": F.coalesce(F.lit(category), "category") if category else F.col("category"),
     })
     return c.withColumn("slug", article_slug("title", "id"))
@@ -157,7 +157,7 @@ def register_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     open) and, where it was analysed, resolved_type and selectors (JSON).
     Selectors already stored are kept.
     """
-    i = incoming.where(F.coalesce("base_url", F.lit("")) != "").dropDuplicates(["base_url"])
+    i = first_per_key(incoming.where(F.coalesce("base_url", F.lit("")) != ""), ["base_url"], [F.col("name"), F.col("category")])
     e = existing.select("base_url", F.col("id").alias("_id"), F.col("crawler_type").alias("_type"), F.col("config").alias("_config"))
     j = i.join(e, "base_url", "left")
     old = F.coalesce(F.from_json("_config", "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -72,7 +72,7 @@ def chat_ingest(messages: DataFrame, coins: DataFrame, folder: str, loose: bool
     extract = extract_mentions_loose if loose else extract_mentions
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        posts = chat_posts(batch).dropDuplicates(["source_id"]).persist()
+        posts = first_per_key(chat_posts(batch), ["source_id"], [F.col("posted_at").desc(), F.col("title")]).persist()
         write_batch(posts, f"{folder}/posts", batch_id)
         write_batch(extract(posts.select(F.col("source_id").alias("id"), "title", "body"), coins), f"{folder}/mentions", batch_id)
         posts.unpersist()
