@@ -271,7 +271,7 @@ def h24(t):
 
 
 @query("h24_crawler_type_scored", f"""SELECT page_id, CASE WHEN k = 'SPA' AND contains(u, '.go.kr') THEN 'SPA' ELSE k END AS crawler_type,
- CASE WHEN k IN ('SITEMAP', 'RSS', 'PLATFORM_NAVER', 'PLATFORM_KAKAO') THEN 0.95 WHEN k = 'NEWSLETTER' THEN 0.9 WHEN k = 'API' THEN 0.85 WHEN contains(u, '.go.kr') THEN 0.95 ELSE 0.5 END AS confidence FROM (
+ CASE WHEN k IN ('SITEMAP', 'RSS', 'PLATFORM_NAVER', 'PLATFORM_KAKAO') THEN 0.95E0 WHEN k = 'NEWSLETTER' THEN 0.9E0 WHEN k = 'API' THEN 0.85E0 WHEN contains(u, '.go.kr') THEN 0.95E0 ELSE 0.5E0 END AS confidence FROM (
  SELECT page_id, u, CASE WHEN contains(u, 'atom') AND NOT contains(u, '.xml') AND NOT regexp_matches(u, '/(rss|feed)(/|$|\\?|#)') THEN 'SPA' ELSE {TYPE_SQL} END AS k FROM (SELECT page_id, {TAIL_SQL} AS u FROM pages) x) y""")
 def h24s(t):
     p = tailed(t).select("page_id", U.crawler_type_scored("url").alias("r"))
@@ -298,9 +298,9 @@ PATH = "CASE WHEN regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1) = '' T
  + CASE WHEN len(list_filter(s, lambda x: regexp_full_match(x, '\d+'))) > 0 THEN 1 ELSE 0 END
  + CASE WHEN regexp_matches(p, '/\d{{4}}/\d{{1,2}}(/|$)') OR regexp_matches(p, '/\d{{4}}-\d{{2}}') THEN 1 ELSE 0 END
  + CASE WHEN len(list_filter(s, lambda x: length(x) > 20 AND contains(x, '-'))) > 0 THEN 1 ELSE 0 END AS score,
- CASE WHEN regexp_full_match(coalesce(s[len(s)], ''), '\d+') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(p, '\d{{4}}[/-]\d{{2}}') THEN 5 ELSE 0 END
+ CAST(CASE WHEN regexp_full_match(coalesce(s[len(s)], ''), '\d+') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(p, '\d{{4}}[/-]\d{{2}}') THEN 5 ELSE 0 END
  + CASE WHEN contains(coalesce(s[len(s)], ''), '-') AND length(s[len(s)]) > 10 THEN 3 ELSE 0 END + CASE WHEN length(coalesce(s[len(s)], '')) > 20 THEN 2 ELSE 0 END
- + least(len(s), 5) AS entry_score FROM (SELECT page_id, p, {SEG} AS s FROM (SELECT page_id, {PATH} AS p FROM pages) a) b""")
+ + least(len(s), 5) AS INT) AS entry_score FROM (SELECT page_id, p, {SEG} AS s FROM (SELECT page_id, {PATH} AS p FROM pages) a) b""")
 def h26(t):
     return t.pages.select("page_id", U.article_score("url").alias("score"), U.sitemap_entry_score("url").alias("entry_score"))
 

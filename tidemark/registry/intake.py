@@ -272,7 +272,7 @@ def answers(t):
 
 
 @query("s15_model_results", """SELECT CAST(post_id AS VARCHAR) AS post_id, rn < 7 AS success, CASE WHEN rn < 7 THEN sentiment_score ELSE 0.0 END AS sentiment_score,
- CASE WHEN rn < 7 AND post_id % 3 > 0 THEN sentiment_label ELSE 'neutral' END AS sentiment_label, 0.0 AS confidence FROM (
+ CASE WHEN rn < 7 AND post_id % 3 > 0 THEN sentiment_label ELSE 'neutral' END AS sentiment_label, 0.0E0 AS confidence FROM (
  SELECT *, row_number() OVER (PARTITION BY post_id // 10 ORDER BY post_id) - 1 AS rn FROM v_sentiments) x""")
 def s15(t):
     a, asked = answers(t)

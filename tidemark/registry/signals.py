@@ -138,7 +138,7 @@ FACTS_SQL = f"""
   LEFT JOIN (SELECT post_id, {PHRASE_FLAGS} FROM v_phrases GROUP BY post_id) k ON k.post_id = m.post_id, {W_SQL}
   WHERE m.created_at <= {T0} AND m.created_at >= {T0} - to_hours(2 * w.h) GROUP BY ALL"""
 
-CLASS_SUM = " + ".join(f"ev_{n} * ({v[0]}.0)" for n, v in S.EVENT_CLASSES.items())
+CLASS_SUM = " + ".join(f"ev_{n} * ({v[0]}.0E0)" for n, v in S.EVENT_CLASSES.items())
 CLASS_NAMES = ", ".join(f"CASE WHEN ev_{n} = 1 THEN '{n}' END" for n in S.EVENT_CLASSES)
 CAP_SQL = "SELECT coin_symbol, arg_max(market_cap, fetched_at) AS market_cap, arg_max(price_usd, fetched_at) AS price_usd FROM v_prices GROUP BY 1"
 
@@ -148,7 +148,7 @@ def cl(x, lo, hi):
 
 
 BASE_SQL = f"""
-  SELECT *, {cl(CLASS_SUM, '-30.0', '25.0')} AS event_modifier,
+  SELECT *, CAST({cl(CLASS_SUM, '-30.0', '25.0')} AS DOUBLE) AS event_modifier,
     ({cl('(velocity + 1) * 50', '0.0', '100.0')} * 0.25
       + CASE WHEN signal_type = 'fomo' THEN {cl('(avg_s + 1) * 50', '0.0', '100.0')}
              ELSE {cl('abs(least(avg_s, 0.0)) * 100', '0.0', '100.0')} END * 0.30

@@ -58,7 +58,7 @@ def a7(t):
 
 @query("h37_event_classes", f"""
 SELECT coin_symbol, time_window, {', '.join(f'CAST(ev_{n} AS INT) AS ev_{n}' for n in S.EVENT_CLASSES)},
- greatest(-30.0, least(25.0, {' + '.join(f'ev_{n} * ({v[0]}.0)' for n, v in S.EVENT_CLASSES.items())})) AS event_modifier FROM ({FACTS_SQL}) f""")
+ CAST(greatest(-30.0, least(25.0, {' + '.join(f'ev_{n} * ({v[0]}.0E0)' for n, v in S.EVENT_CLASSES.items())})) AS DOUBLE) AS event_modifier FROM ({FACTS_SQL}) f""")
 def h37(t):
     f = facts(t)
     return f.select("coin_symbol", "time_window", *[f"ev_{n}" for n in S.EVENT_CLASSES],
@@ -298,7 +298,7 @@ def w10(t):
     return k.groupBy("coin_symbol").agg(F.array_join(F.transform(F.sort_array(F.collect_list("weight"), asc=False), lambda x: x.cast("string")), ",").alias("weights"))
 
 
-@query("j1_mention_post", "SELECT m.coin_symbol, count(*) AS mentions, count(p.id) AS with_post, sum(p.upvotes) AS upvotes FROM v_mentions m LEFT JOIN v_posts p ON p.id = m.post_id AND p.score > 50 GROUP BY 1")
+@query("j1_mention_post", "SELECT m.coin_symbol, count(*) AS mentions, count(p.id) AS with_post, CAST(sum(p.upvotes) AS BIGINT) AS upvotes FROM v_mentions m LEFT JOIN v_posts p ON p.id = m.post_id AND p.score > 50 GROUP BY 1")
 def j1(t):
     p = t.v_posts.where("score > 50").select(F.col("id").alias("post_id"), "upvotes")
     return t.v_mentions.join(p, "post_id", "left").groupBy("coin_symbol").agg(
@@ -608,7 +608,7 @@ def h34(t):
     return j.select("id", js_round(S.market_cap_dampening(none, "market_cap"), 6).alias("by_cap"), js_round(S.market_cap_dampening("market_cap_rank", none), 6).alias("by_rank"))
 
 
-@query("h35_multipliers", "SELECT id, CASE WHEN value / 50 <= 2 THEN 1.0 ELSE least(1 + (value / 50 - 2) * 0.25, 1.5) END AS z_mult, CASE WHEN num_awards <= 1 THEN 0.7 WHEN num_awards = 2 THEN 1.0 ELSE 1.3 END AS platform_mult FROM v_posts JOIN events ON event_id = id")
+@query("h35_multipliers", "SELECT id, CASE WHEN value / 50 <= 2 THEN 1.0 ELSE least(1 + (value / 50 - 2) * 0.25, 1.5) END AS z_mult, CASE WHEN num_awards <= 1 THEN 0.7E0 WHEN num_awards = 2 THEN 1.0E0 ELSE 1.3E0 END AS platform_mult FROM v_posts JOIN events ON event_id = id")
 def h35(t):
     j = t.v_posts.join(t.events.select(F.col("event_id").alias("id"), "value"), "id")
     return j.select("id", S.z_multiplier(F.col("value") / 50).alias("z_mult"), S.platform_multiplier("num_awards").alias("platform_mult"))
@@ -622,7 +622,7 @@ def h36(t):
     return g.select("channel", S.contrarian_warning("n", "b").alias("warning"))
 
 
-@query("h42_entity_confidence", "SELECT coin_symbol, least(1.0, 0.6 + count(*) * 0.1) AS narrative, CASE WHEN count(*) >= 5 THEN 0.9 WHEN count(*) >= 2 THEN 0.6 ELSE 0.3 END AS plain FROM v_mentions GROUP BY 1")
+@query("h42_entity_confidence", "SELECT coin_symbol, least(1.0E0, 0.6E0 + count(*) * 0.1E0) AS narrative, CASE WHEN count(*) >= 5 THEN 0.9E0 WHEN count(*) >= 2 THEN 0.6E0 ELSE 0.3E0 END AS plain FROM v_mentions GROUP BY 1")
 def h42(t):
     g = t.v_mentions.groupBy("coin_symbol").agg(F.count(F.lit(1)).alias("n"))
     return g.select("coin_symbol", S.entity_confidence("narrative_model", "n").alias("narrative"), S.entity_confidence("default", "n").alias("plain"))
@@ -647,7 +647,7 @@ def boosted(t):
 BOOSTED = "(SELECT '0xa' || s_suppkey FROM supplier)"
 
 
-@query("h39_onchain_events", f"""SELECT coin_symbol, names, {'+'.join(f'CASE WHEN contains(names, {chr(39)}{k}{chr(39)}) THEN {v} ELSE 0.0 END' for k, v in [('volume_spike', '7.0'), ('liquidity_drain', '-12.0'), ('sell_pressure', '-5.0'), ('token_boosted', '-3.0')])} AS onchain_modifier FROM (
+@query("h39_onchain_events", f"""SELECT coin_symbol, names, {'+'.join(f'CASE WHEN contains(names, {chr(39)}{k}{chr(39)}) THEN {v} ELSE 0.0E0 END' for k, v in [('volume_spike', '7.0E0'), ('liquidity_drain', '-12.0E0'), ('sell_pressure', '-5.0E0'), ('token_boosted', '-3.0E0')])} AS onchain_modifier FROM (
  SELECT coin_symbol, concat_ws(',', {EVS.format(a="'dex:volume_spike'", b="'dex:liquidity_drain'", c="'dex:sell_pressure'", d="'dex:token_boosted'")}) AS names FROM (
   SELECT *, symbol AS coin_symbol, lower(token_address) IN {BOOSTED} AS boosted, row_number() OVER (PARTITION BY symbol ORDER BY liquidity_usd DESC, token_address) AS rn
   FROM ({DEX}) d WHERE liquidity_usd > 1000) x WHERE rn = 1) y WHERE names <> ''""")

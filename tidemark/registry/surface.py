@@ -32,7 +32,7 @@ def h38(t):
 
 
 @query("x3_backtest_summary_view", """
-SELECT signal_label, signal_type, sum(wins) AS wins, sum(total) AS total FROM (SELECT signal_label, signal_type, lookup_window, count(*) FILTER (WHERE hit) AS wins, count(*) FILTER (WHERE evaluated_at IS NOT NULL) AS total
+SELECT signal_label, signal_type, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(total) AS BIGINT) AS total FROM (SELECT signal_label, signal_type, lookup_window, count(*) FILTER (WHERE hit) AS wins, count(*) FILTER (WHERE evaluated_at IS NOT NULL) AS total
  FROM v_backtest GROUP BY 1, 2, 3) x GROUP BY 1, 2""")
 def x3(t):
     B.summary_view(t.v_backtest).createOrReplaceTempView("backtest_summary")
