@@ -41,6 +41,16 @@ def spread(df: DataFrame, bytes_per_task: int = 32 * 1024 * 1024) -> DataFrame:
     return df.repartition(n) if plan_bytes(df) < n * bytes_per_task else df
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep, pos: str | None = None) -> DataFrame:
+    """One row per non-null array element.
+
+    A plain explode makes the optimizer add a size test on the array, which
+    evaluates a parsed or matched array a second time below the generator.
+    """
+    gen = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*keep, gen).where(F.col(name).isNotNull())
+
+
 def top_k(df: DataFrame, keys: Sequence, order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     name = rank or "_rank"
     w = Window.partitionBy(*[col(c) for c in keys]).orderBy(*order)

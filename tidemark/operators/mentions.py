@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import small
+from tidemark.operators.keyed import exploded, small
 from tidemark.semantics import EDGE, LEFT, RIGHT, WORD, js_trim, let
 
 # Upper-case words that are no coins, symbols that are also plain words, and words of coin talk.
@@ -116,16 +116,16 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
     symbols = small(names.select("symbol"))
     dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
 
-    ticks = p.select("id", F.explode(F.regexp_extract_all("text", F.lit(TICKER), F.lit(1))).alias("s")).select("id", F.upper("s").alias("symbol"))
+    ticks = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
     ticks = ticks.join(symbols, "symbol", "left_semi").groupBy("id", "symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))
-    cand = p.select("id", F.explode(words).alias("key")).join(small(dim.where("key IS NOT NULL")), "key")
+    cand = exploded(p, words, "key", "id").join(small(dim.where("key IS NOT NULL")), "key")
     none = F.lit(None)
     rows = ticks.select("id", "symbol", F.lit("tick").alias("kind"), none.cast("string").alias("alias"), F.lit(0).alias("idx"), "n")
     rows = rows.unionByName(cand.select("id", "symbol", F.lit("alias").alias("kind"), "alias", "idx", F.lit(1).alias("n")))
     if not strict:
         caps = F.array_distinct(F.regexp_extract_all("title", F.lit(LEFT + "([A-Z]{2,10})" + RIGHT), F.lit(1)))
-        c = p.select("id", F.explode(caps).alias("symbol")).where(F.char_length("symbol").between(3, 6) & ~F.col("symbol").isin(BLACKLIST))
+        c = exploded(p, caps, "symbol", "id").where(F.char_length("symbol").between(3, 6) & ~F.col("symbol").isin(BLACKLIST))
         c = c.join(symbols, "symbol", "left_semi")
         rows = rows.unionByName(c.select("id", "symbol", F.lit("caps").alias("kind"), none.cast("string").alias("alias"), F.lit(0).alias("idx"), F.lit(1).alias("n")))
 
@@ -200,12 +200,12 @@ def extract_mentions_loose(posts: DataFrame, coins: DataFrame, limit_chars: int
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
     p = posts.select("id", title.alias("title"), F.concat(title, F.lit("\n"), body).alias("text"))
     symbols = small(coins.select(F.upper("symbol").alias("symbol")).distinct())
-    ticks = p.select("id", F.explode(F.regexp_extract_all("text", F.lit(TICKER), F.lit(1))).alias("s")).select("id", F.upper("s").alias("symbol"))
+    ticks = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
     ticks = ticks.join(symbols, "symbol", "left_semi").groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    found = p.select("id", F.explode(substring_hits(F.lower("text"), aliases)).alias("alias")).join(small(dim.select("alias", "symbol", "idx")), "alias")
+    found = exploded(p, substring_hits(F.lower("text"), aliases), "alias", "id").join(small(dim.select("alias", "symbol", "idx")), "alias")
     found = found.groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
     caps = F.array_distinct(F.regexp_extract_all("title", F.lit(LEFT + "([A-Z]{3,6})" + RIGHT), F.lit(1)))
-    c = p.select("id", F.explode(caps).alias("symbol")).where(~F.col("symbol").isin(BLACKLIST)).join(symbols, "symbol", "left_semi")
+    c = exploded(p, caps, "symbol", "id").where(~F.col("symbol").isin(BLACKLIST)).join(symbols, "symbol", "left_semi")
     rows = ticks.withColumn("k", F.lit(0)).unionByName(found.withColumn("k", F.lit(0))).unionByName(c.withColumns({"n": F.lit(1), "k": F.lit(1)}))
     g = rows.groupBy("id", "symbol").agg(F.sum(F.when(F.col("k") == 0, F.col("n"))).alias("n"))
     return g.select("id", F.col("symbol").alias("coin_symbol"), F.coalesce("n", F.lit(1)).cast("int").alias("mention_count"))

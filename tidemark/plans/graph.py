@@ -106,9 +106,9 @@ def narrative_coins(outputs: DataFrame, mentions: DataFrame, as_of, fixed: DataF
     pairs = named.select("narrative", F.explode_outer("mentioned_coins").alias("c")).select("narrative", F.upper("c").alias("coin_symbol")).distinct()
     wide = pairs.where(F.col("coin_symbol").isNotNull())
     # at least two coins in the narrative and two of them active; active is a subset, so one test is enough
-    live = wide.join(small(active), "coin_symbol", "left_semi").withColumn("origin", F.lit("model"))
+    live = wide.join(active, "coin_symbol", "left_semi").withColumn("origin", F.lit("model"))
     known = pairs.select("narrative").distinct()
-    rest = fixed.join(known, "narrative", "left_anti").join(small(active), "coin_symbol", "left_semi").withColumn("origin", F.lit("fixed"))
+    rest = fixed.join(known, "narrative", "left_anti").join(active, "coin_symbol", "left_semi").withColumn("origin", F.lit("fixed"))
     both = live.select("narrative", "coin_symbol", "origin").unionByName(rest.select("narrative", "coin_symbol", "origin"))
     enough = both.groupBy("narrative").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
     return both.join(enough, "narrative", "left_semi")
@@ -174,7 +174,7 @@ def co_mentions(mentions: DataFrame, min_weight: int = 3) -> DataFrame:
     often = sets.select(F.explode("coins").alias("coin_symbol"), "n").groupBy("coin_symbol").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_weight)
     kept = (
         sets.withColumn("_id", F.xxhash64("coins")).select("_id", "coins", "n", F.explode("coins").alias("coin_symbol"))
-        .join(small(often.select("coin_symbol")), "coin_symbol", "left_semi")
+        .join(often.select("coin_symbol"), "coin_symbol", "left_semi")
         .groupBy("_id", "coins", "n").agg(F.array_sort(F.collect_set("coin_symbol")).alias("kept"))
     )
     first = kept.select("n", "kept", F.posexplode("kept").alias("i", "src"))
@@ -214,10 +214,10 @@ def refresh(
     entities = entities.withColumn("last_seen_at", at(as_of))
 
     ids = coins.select("symbol", F.col("id").alias("coin_id"), F.col("name").alias("coin_name"))
-    by_coin = small(ids.withColumnRenamed("symbol", "coin_symbol"))
+    by_coin = ids.withColumnRenamed("symbol", "coin_symbol")
     co = co_mentions(mentions.where(F.col("created_at") >= ago(as_of, 86400)))
-    co = co.join(small(ids.select(F.col("symbol").alias("src"), F.col("coin_id").alias("a"))), "src").join(
-        small(ids.select(F.col("symbol").alias("tgt"), F.col("coin_id").alias("b"))), "tgt")
+    co = co.join(ids.select(F.col("symbol").alias("src"), F.col("coin_id").alias("a")), "src").join(
+        ids.select(F.col("symbol").alias("tgt"), F.col("coin_id").alias("b")), "tgt")
     ip = influencer_posts(posts, mentions, sentiments, infl, as_of).join(by_coin, "coin_symbol")
     latest = F.struct("posted_at", "post_id")
     said = ip.groupBy("author", "coin_id").agg(F.max_by("score", latest).alias("score"))
@@ -338,7 +338,7 @@ def event_timeline(ent: DataFrame, rel: DataFrame, as_of, days: int = 30, coin:
     ev = ent.where((F.col("entity_type") == "event") & (F.col("last_seen_at") >= ago(as_of, min(days, 90) * 86400)))
     ev = ev.orderBy(F.col("last_seen_at").desc(), "id").limit(min(limit, 100))
     coins = ent.where("entity_type = 'coin'").select(F.col("id").alias("target_id"), F.col("symbol").alias("_sym"))
-    r = rel.where("relation_type = 'impacts'").join(small(ev.select(F.col("id").alias("source_id"))), "source_id", "left_semi").join(coins, "target_id")
+    r = rel.where("relation_type = 'impacts'").join(ev.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(coins, "target_id")
     ctx = F.coalesce("context", F.lit(""))
     side = F.when(ctx.contains("positive"), "positive").when(ctx.contains("negative"), "negative")
     g = r.groupBy(F.col("source_id").alias("id")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
-from tidemark.operators.keyed import small, top_k
+from tidemark.operators.keyed import top_k
 from tidemark.plans.signals import latest_price
 from tidemark.semantics import exact, js_round, ratio
 
@@ -34,7 +34,7 @@ def cash(trades: DataFrame) -> DataFrame:
 
 def open_value(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Value and number of open positions per player at the latest price; without a price the size counts as is."""
-    p = positions.where("status = 'open'").join(small(latest_price(prices)), "coin_symbol", "left")
+    p = positions.where("status = 'open'").join(latest_price(prices), "coin_symbol", "left")
     v = F.when(F.coalesce("price_usd", F.lit(0.0)) > 0, F.col("remaining_size") * (F.col("price_usd") / F.col("entry_price"))).otherwise(
         F.col("remaining_size")
     )
@@ -94,7 +94,7 @@ def exit_decisions(positions: DataFrame, prices: DataFrame, signals: DataFrame |
     Without ``signals`` only the price rules apply.
     """
     p = positions.where((F.col("status") == "open") & (F.col("remaining_size") > DUST))
-    p = p.join(small(latest_price(prices)), "coin_symbol").where("price_usd > 0")
+    p = p.join(latest_price(prices), "coin_symbol").where("price_usd > 0")
     p = p.withColumns({
         "pnl_pct": (F.col("price_usd") - F.col("entry_price")) / F.col("entry_price"),
         "peak": F.greatest(F.coalesce("peak_price", "entry_price"), "price_usd"),
@@ -108,7 +108,7 @@ def exit_decisions(positions: DataFrame, prices: DataFrame, signals: DataFrame |
         .when((stage >= 2) & ((F.col("price_usd") - F.col("peak")) / F.col("peak") <= -TRAILING), "trailing_stop")
     )
     if signals is not None:
-        p = p.join(small(latest_two_signals(signals)), "coin_symbol", "left")
+        p = p.join(latest_two_signals(signals), "coin_symbol", "left")
         lead = F.col("lead")
         rule = (
             rule.when(lead["signal_label"] == "cold", "signal_reversal")
@@ -193,12 +193,12 @@ def entry_candidates(
 def latest_per_window(signals: DataFrame) -> DataFrame:
     """Rows of the newest snapshot of each window."""
     last = signals.groupBy("time_window").agg(F.max("computed_at").alias("_at"))
-    return signals.join(small(last), "time_window").where(F.col("computed_at") == F.col("_at")).drop("_at")
+    return signals.join(last, "time_window").where(F.col("computed_at") == F.col("_at")).drop("_at")
 
 
 def position_view(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Open positions with PnL percent and unrealised PnL at the latest price."""
-    p = positions.where("status = 'open'").join(small(latest_price(prices)), "coin_symbol", "left")
+    p = positions.where("status = 'open'").join(latest_price(prices), "coin_symbol", "left")
     return p.select(
         "id", "player", "coin_symbol", "price_usd",
         js_round(S.pct_change("entry_price", "price_usd"), 4).alias("pnl_pct"),

@@ -12,6 +12,7 @@ from tidemark.functions import urls as U
 from tidemark.functions.dates import MAX_ARTICLE_AGE_DAYS, parse_date, within_days
 from tidemark.functions.pages import body_text
 from tidemark.functions.text import preview
+from tidemark.operators.keyed import exploded
 from tidemark.semantics import js_trim
 
 ITEM_FIELDS = ["title", "link", "thumbnail", "author", "date", "content"]
@@ -41,7 +42,7 @@ def first_image(html: Column) -> Column:
 
 def rss_items(payloads: DataFrame, as_of, drop: Sequence[str] = tuple(U.TRACKING["feed"]), max_age_days: float | None = MAX_ARTICLE_AGE_DAYS) -> DataFrame:
     """Items of RSS payloads (source_name, payload): valid title, clean link, newest-first order kept in ``pos``."""
-    i = payloads.select("source_name", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1))).alias("pos", "item"))
+    i = exploded(payloads, F.regexp_extract_all("payload", F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1)), "item", "source_name", pos="pos")
     it = F.col("item")
     encoded, plain = _tag(it, "content:encoded", "content"), _tag(it, "description", "summary")
     content = F.coalesce(encoded, plain)
@@ -72,7 +73,7 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
     listed = subs.select(F.col("sub").alias("url")).distinct()
     plain = files.where(~is_index)
     use = plain.join(good, "url", "left_semi").unionByName(plain.join(listed, "url", "left_anti"))
-    e = use.select("url", F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))).alias("e"))
+    e = exploded(use, F.regexp_extract_all("payload", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1)), "e", "url")
     loc = js_trim(F.regexp_extract("e", r"(?s)<loc>(.*?)</loc>", 1))
     mod = F.regexp_extract("e", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)
     return e.select(F.col("url").alias("sitemap"), loc.alias("loc"), F.coalesce(mod.try_cast("timestamp"), F.try_to_timestamp(mod)).alias("lastmod")).where(F.col("loc").startswith("http"))
@@ -107,7 +108,7 @@ def api_items(payloads: DataFrame, as_of, mapping: dict[str, str] | None = None,
         arr = as_items(json_path(m["items"]))
     else:
         arr = F.coalesce(as_items("$"), *[as_items(json_path(k)) for k in ARRAY_KEYS])
-    i = v.select("source_name", "url", F.posexplode(arr).alias("pos", "i"))
+    i = exploded(v, arr, "i", "source_name", "url", pos="pos")
 
     def field(path: str | None) -> Column:
         return F.nullif(F.try_variant_get("i", json_path(path), "string"), F.lit("")) if path else F.lit(None).cast("string")
@@ -164,7 +165,7 @@ def model_results(answers: DataFrame, asked: DataFrame) -> DataFrame:
     schema = f"struct<results:array<{RESULT}>>"
     wrapped = F.from_json(json_block("payload"), schema)["results"]
     bare = F.from_json(F.trim("payload"), f"array<{RESULT}>")
-    r = answers.select("batch_id", F.posexplode(F.coalesce(wrapped, bare)).alias("pos", "r"))
+    r = exploded(answers, F.coalesce(wrapped, bare), "r", "batch_id", pos="pos")
     r = r.join(asked.select("batch_id", "pos", F.col("post_id").alias("_by_pos")), ["batch_id", "pos"], "left")
     r = r.select("batch_id", "pos", F.coalesce(F.nullif("r.id", F.lit("")), "_by_pos").alias("post_id"), "r").where("post_id IS NOT NULL")
     last = r.groupBy("batch_id", "post_id").agg(F.max_by("r", "pos").alias("r"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import sanitize, strip_board_markup, title_and_body, truncate, view_count
 from tidemark.functions.scores import trending_modifier
-from tidemark.operators.keyed import first_per_key, small
+from tidemark.operators.keyed import exploded, first_per_key, small
 from tidemark.operators.mentions import topic_related
 from tidemark.semantics import at, col, squeeze
 
@@ -68,7 +68,7 @@ def post_rows(df: DataFrame, **cols: Column) -> DataFrame:
 
 def listing_posts(payloads: DataFrame) -> DataFrame:
     """Forum listing JSON with a ``channel`` column."""
-    p = parsed(payloads, LISTING, "channel").select("channel", F.explode("j.data.children.data").alias("p"))
+    p = exploded(parsed(payloads, LISTING, "channel"), F.col("j.data.children.data"), "p", "channel")
     e = F.nullif(F.col("p.selftext"), F.lit(""))
     flair = F.nullif(F.col("p.link_flair_text"), F.lit(""))
     return post_rows(
@@ -82,7 +82,7 @@ def listing_posts(payloads: DataFrame) -> DataFrame:
 
 def atom_posts(payloads: DataFrame) -> DataFrame:
     """Atom feed text with a ``channel`` column."""
-    e = payloads.select("channel", F.explode(F.regexp_extract_all("payload", F.lit(r"<entry>([\s\S]*?)</entry>"), F.lit(1))).alias("e"))
+    e = exploded(payloads, F.regexp_extract_all("payload", F.lit(r"<entry>([\s\S]*?)</entry>"), F.lit(1)), "e", "channel")
 
     def tag(p: str) -> Column:
         return F.regexp_extract("e", p, 1)
@@ -109,7 +109,7 @@ def atom_posts(payloads: DataFrame) -> DataFrame:
 def channel_page_posts(payloads: DataFrame, crawled_at) -> DataFrame:
     """Public channel page HTML: one block per message, marked by its data-post attribute."""
     blocks = F.slice(F.split("payload", r'(?=<div[^>]*class="[^"]*\btgme_widget_message\b[^"]*"[^>]*data-post=)'), 2, 1_000_000)
-    b = payloads.select(F.explode(blocks).alias("b"))
+    b = exploded(payloads, blocks, "b")
     dp = F.regexp_extract("b", 'data-post="([^"]+)"', 1)
     inner = F.regexp_extract("b", r'(?s)<div[^>]*class="[^"]*tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>', 1)
     text = F.trim(strip_board_markup(F.regexp_replace(inner, "(?i)<br ?/?>", "")))
@@ -127,7 +127,7 @@ def channel_page_posts(payloads: DataFrame, crawled_at) -> DataFrame:
 
 
 def keyword_posts(payloads: DataFrame) -> DataFrame:
-    p = parsed(payloads, KEYWORD_POSTS).select(F.explode("j.data").alias("p")).withColumn("text", sanitize(F.coalesce("p.text", F.lit("")), False))
+    p = exploded(parsed(payloads, KEYWORD_POSTS), F.col("j.data"), "p").withColumn("text", sanitize(F.coalesce("p.text", F.lit("")), False))
     title, body = title_and_body("text", keep_whole=True)
     return post_rows(
         p, source=F.lit("threads"), source_id=F.concat(F.lit("threads_"), "p.id"), channel=F.concat(F.lit("@"), "p.username"), title=title, body=body,
@@ -138,7 +138,7 @@ def keyword_posts(payloads: DataFrame) -> DataFrame:
 
 def tweet_posts(payloads: DataFrame, crawled_at) -> DataFrame:
     """Tweets; hashtags come as strings or as objects with a tag."""
-    p = parsed(payloads, TWEETS).select(F.explode("j").alias("p"))
+    p = exploded(parsed(payloads, TWEETS), F.col("j"), "p")
     p = p.withColumn("text", sanitize(F.coalesce(F.nullif("p.full_text", F.lit("")), "p.text", F.lit("")), False))
     title, body = title_and_body("text", keep_whole=True)
     tag = F.transform(F.coalesce("p.hashtags", F.array().cast("array<string>")), lambda h: F.coalesce(F.get_json_object(h, "$.tag"), F.when(~h.startswith("{"), h)))
@@ -160,7 +160,7 @@ def tweet_posts(payloads: DataFrame, crawled_at) -> DataFrame:
 
 def trending_posts(payloads: DataFrame, as_of) -> DataFrame:
     """Trending list as one pseudo post per coin and hour."""
-    p = parsed(payloads, TRENDING).select(F.explode("j.coins.item").alias("c")).withColumn("rank", F.col("c.score") + 1)
+    p = exploded(parsed(payloads, TRENDING), F.col("j.coins.item"), "c").withColumn("rank", F.col("c.score") + 1)
     meta = F.struct(F.col("rank").alias("trending_rank"), F.col("c.id").alias("coingecko_id"), F.col("c.market_cap_rank").alias("market_cap_rank"))
     return post_rows(
         p, source=F.lit("coingecko"), source_id=F.concat(F.lit("cg_trending_"), "c.id", F.lit("_"), F.date_format(at(as_of), "yyyy-MM-dd'T'HH")),
@@ -188,14 +188,14 @@ def with_fallback_mentions(posts: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def board_threads(catalogs: DataFrame, coin_words: list[str] | None = None, limit: int = MAX_THREADS) -> DataFrame:
     """Threads on topic with enough replies, the most recently changed first."""
-    t = parsed(catalogs, CATALOG).select(F.explode("j").alias("pg")).select(F.explode("pg.threads").alias("t")).select("t.*")
+    t = exploded(exploded(parsed(catalogs, CATALOG), F.col("j"), "pg"), F.col("pg.threads"), "t").select("t.*")
     plain = strip_board_markup(F.concat_ws(" ", F.coalesce("sub", F.lit("")), F.coalesce("com", F.lit(""))))
     return t.where(topic_related(plain, coin_words) & (F.col("replies") >= MIN_REPLIES)).orderBy(F.col("last_modified").desc(), "no").limit(limit)
 
 
 def board_posts(threads: DataFrame, coin_words: list[str] | None = None) -> DataFrame:
     """Thread payloads (thread_no, sub, payload): the opening post always, replies only on topic."""
-    p = parsed(threads, THREAD, "thread_no", "sub").select("thread_no", "sub", F.posexplode("j.posts").alias("pos", "p"))
+    p = exploded(parsed(threads, THREAD, "thread_no", "sub"), F.col("j.posts"), "p", "thread_no", "sub", pos="pos")
     p = p.withColumn("text", sanitize(strip_board_markup(F.coalesce("p.com", F.lit(""))), False))
     op = F.col("pos") == 0
     p = p.where((F.char_length("text") >= 10) & (op | topic_related(F.col("text"), coin_words)))
@@ -229,7 +229,7 @@ def chat_posts(messages: DataFrame, deny: Sequence[str] = tuple(CHAT_DENY), allo
 
 def market_rows(payloads: DataFrame, fetched_at) -> tuple[DataFrame, DataFrame]:
     """(price rows without null prices, coin updates) of a market snapshot."""
-    i = parsed(payloads, MARKET).select(F.explode("j").alias("i"))
+    i = exploded(parsed(payloads, MARKET), F.col("j"), "i")
     prices = i.where(F.col("i.current_price").isNotNull()).select(
         F.col("i.id").alias("coingecko_id"), F.col("i.current_price").alias("price_usd"), "i.market_cap", F.col("i.total_volume").alias("volume_24h"),
         "i.price_change_24h", F.col("i.price_change_percentage_24h").alias("price_change_pct_24h"), "i.circulating_supply", at(fetched_at).alias("fetched_at"),
