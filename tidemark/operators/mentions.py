@@ -88,8 +88,9 @@ def alias_at(low: Column, alias: Column) -> Column:
     def settle(pos: Column) -> Column:
         before = F.when(pos > 1, is_word(F.substring(low, pos - 1, F.lit(1)))).otherwise(F.lit(False))
         after = is_word(F.substring(low, pos + F.char_length(alias), F.lit(1)))
-        edges = (before != is_word(F.substring(alias, 1, 1))) & (after != is_word(F.substring(alias, -1, 1)))
-        return F.when(pos == 0, F.lit(-1)).when(edges, pos - 1).otherwise(F.regexp_instr(low, F.concat(F.lit(EDGE), quote(alias), F.lit(EDGE))) - 1)
+        starts, ends = is_word(F.substring(alias, 1, 1)), is_word(F.substring(alias, -1, 1))
+        pattern = F.concat(F.when(starts, F.lit(LEFT)).otherwise(F.lit(EDGE)), quote(alias), F.when(ends, F.lit(RIGHT)).otherwise(F.lit(EDGE)))
+        return F.when(pos == 0, F.lit(-1)).when((before != starts) & (after != ends), pos - 1).otherwise(F.regexp_instr(low, pattern) - 1)
 
     return let(F.position(alias, low), settle)
 
@@ -148,13 +149,16 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
         "ctx": F.when(F.col("kind") == "alias", snippet(text, F.col("at"), F.char_length(alias)))
         .when(F.col("kind") == "caps", snippet(F.col("title"), caps_at, F.char_length(sym)))
         .otherwise(snippet(text, F.col("at"), F.char_length(sym) + 1)),
-    }).where("hit")
+    })
     item = F.struct("idx", "sure", "ctx")
+
+    def when(kind: str, value: Column) -> Column:
+        return F.when(F.col("hit") & (F.col("kind") == kind), value)
+
+    # misses drop out in the aggregate: a filter here would run the search a second time
     g = j.groupBy("id", "symbol").agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == "tick", F.col("n"))), F.lit(0)).alias("ticks"),
-        F.max(F.when(F.col("kind") == "tick", F.col("ctx"))).alias("tick_ctx"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "alias", item))).alias("al"),
-        F.max(F.when(F.col("kind") == "caps", F.col("ctx"))).alias("caps_ctx"),
+        F.coalesce(F.sum(when("tick", F.col("n"))), F.lit(0)).alias("ticks"), F.max(when("tick", F.col("ctx"))).alias("tick_ctx"),
+        F.array_sort(F.collect_list(when("alias", item))).alias("al"), F.max(when("caps", F.col("ctx"))).alias("caps_ctx"),
     )
     # an alias in doubt is accepted once something before it named the coin
     first_sure = F.array_min(F.transform(F.filter("al", lambda a: a["sure"]), lambda a: a["idx"]))
