@@ -54,8 +54,8 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, 'C' || CAST(user_id % 40 AS STRING) AS coin_symbol, 1.0E0 + value AS price_usd,
                value * 1.0E6 AS market_cap, CAST(ts AS TIMESTAMP) AS fetched_at FROM events WHERE event_type = 'purchase'""",
     "v_coins": """
-        SELECT DISTINCT 'C' || CAST(user_id % 40 AS STRING) AS symbol, 'Coin ' || CAST(user_id % 40 AS STRING) AS name,
-               CAST(1 + user_id % 40 * 5 AS INT) AS market_cap_rank FROM events""",
+        SELECT DISTINCT coin_symbol AS symbol, 'Coin ' || substring(coin_symbol, 2) AS name,
+               CAST(1 + CAST(substring(coin_symbol, 2) AS INT) * 5 AS INT) AS market_cap_rank FROM v_mentions""",
     "v_articles": """
         SELECT doc_id AS id, 'feed' || CAST(doc_id % 9 AS STRING) AS source_name,
                'https://' || source || '.example.com/' || lang || '/a/' || CAST(doc_id AS STRING) AS source_url,
