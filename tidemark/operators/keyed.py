@@ -18,19 +18,12 @@ from pyspark.sql import functions as F
 from tidemark.semantics import col
 from tidemark.session import cut_lineage
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, an upper bound for scans, filters and projections."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is under ``limit``; else leave the choice to AQE."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
-
-
 def spread(df: DataFrame, bytes_per_task: int = 32 * 1024 * 1024) -> DataFrame:
     """Rows over all cores when a small input would leave most of them idle; nothing to do for inputs of many splits.
 

@@ -15,19 +15,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import exploded, small
+from tidemark.operators.keyed import exploded
 from tidemark.semantics import EDGE, LEFT, RIGHT, WORD, js_trim, let
 
 # Upper-case words that are no coins, symbols that are also plain words, and words of coin talk.
 BLACKLIST = (
-    "THE AND FOR ARE BUT NOT YOU ALL CAN HER WAS ONE OUR OUT HAS HIS HOW MAN NEW NOW OLD SEE WAY WHO BOY DID ITS LET PUT SAY SHE TOO "
-    "USE DAD MOM GET GOT HIM HIT HOT BIG END WHY RUN DIP BUY ATH ATL CEO NFT DEX APR APY TVL IMO LOL HODL FOMO FUD DYOR DD TA FA OTC "
-    "ICO IDO IEO DCA ROI PNL USD EUR GBP JPY KRW CNY CAD AUD ETF SEC FBI CIA USA UK EU UN AI ML API SDK GPU CPU RAM SSD HDD USB URL "
-    "PSA TIL ELI AMA CMV JUST LONG SHORT PUMP DUMP MOON BEAR BULL WHALE RUG GAS ACT"
-).split()
+    "THE", "AND", "FOR", "ARE", "BUT", "NOT", "YOU", "ALL", "CAN", "HER", "WAS", "ONE", "OUR", "OUT", "HAS", "HIS", "HOW", "MAN", "NEW",
+    "NOW", "OLD", "SEE", "WAY", "WHO", "BOY", "DID", "ITS", "LET", "PUT", "SAY", "SHE", "TOO", "USE", "DAD", "MOM", "GET", "GOT", "HIM",
+    "HIT", "HOT", "BIG", "END", "WHY", "RUN", "DIP", "BUY", "ATH", "ATL", "CEO", "NFT", "DEX", "APR", "APY", "TVL", "IMO", "LOL", "HODL",
+    "FOMO", "FUD", "DYOR", "DD", "TA", "FA", "OTC", "ICO", "IDO", "IEO", "DCA", "ROI", "PNL", "USD", "EUR", "GBP", "JPY", "KRW", "CNY",
+    "CAD", "AUD", "ETF", "SEC", "FBI", "CIA", "USA", "UK", "EU", "UN", "AI", "ML", "API", "SDK", "GPU", "CPU", "RAM", "SSD", "HDD", "USB",
+    "URL", "PSA", "TIL", "ELI", "AMA", "CMV", "JUST", "LONG", "SHORT", "PUMP", "DUMP", "MOON", "BEAR", "BULL", "WHALE", "RUG", "GAS", "ACT",
+)
 AMBIGUOUS = (
-    "UNI FIL COMP NEAR LINK ATOM CAKE OCEAN RENDER BLAST BASE TURBO GIGA TRUMP MELANIA VIRTUAL MEME MOG MEW"
-).split()
+    "UNI", "FIL", "COMP", "NEAR", "LINK", "ATOM", "CAKE", "OCEAN", "RENDER", "BLAST", "BASE", "TURBO", "GIGA", "TRUMP", "MELANIA",
+    "VIRTUAL", "MEME", "MOG", "MEW",
+)
 CONTEXT_WORDS = (
     r"crypto|coin|token|blockchain|defi|nft|swap|dex|cex|chain|pump|dump|moon|hodl|bullish|bearish|airdrop|staking|yield|listing|delist|"
     r"burn|whale|memecoin|sol|eth|btc|binance|coinbase|uniswap|raydium|jupiter|market\s?cap|trading|wallet|mint|liquidity|presale|buy|"
@@ -35,10 +38,11 @@ CONTEXT_WORDS = (
     r"\$[A-Z]{2,10}|#[A-Z]{2,10}"
 )
 TOPIC_WORDS = (
-    "crypto|cryptocurrency|blockchain|defi|nft|token|memecoin|meme coin|shitcoin|altcoin|pump|dump|moon|hodl|wagmi|ngmi|degen|rug|"
-    "rugpull|airdrop|staking|yield|swap|dex|cex|binance|coinbase|kraken|uniswap|raydium|jupiter|solana|ethereum|bitcoin|base chain|"
-    "arbitrum|pump.fun|pumpfun|bonding curve|market cap"
-).split("|")
+    "crypto", "cryptocurrency", "blockchain", "defi", "nft", "token", "memecoin", "meme coin", "shitcoin", "altcoin", "pump", "dump",
+    "moon", "hodl", "wagmi", "ngmi", "degen", "rug", "rugpull", "airdrop", "staking", "yield", "swap", "dex", "cex", "binance", "coinbase",
+    "kraken", "uniswap", "raydium", "jupiter", "solana", "ethereum", "bitcoin", "base chain", "arbitrum", "pump.fun", "pumpfun",
+    "bonding curve", "market cap",
+)
 CONTEXT = f"(?i){EDGE}(?:{CONTEXT_WORDS}){EDGE}"
 TICKER = r"[$#]([A-Za-z]{2,10})" + RIGHT
 MIN_ALIAS, MIN_ALIAS_STRICT = 3, 8
@@ -114,13 +118,13 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
     p = posts.select("id", title.alias("title"), F.concat(title, F.lit("\n"), body).alias("text"))
     names = coins.groupBy(F.upper("symbol").alias("symbol")).agg(F.max("name").alias("coin_name"))
-    symbols = small(names.select("symbol"))
+    symbols = names.select("symbol")
     dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
 
     ticks = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
     ticks = ticks.join(symbols, "symbol", "left_semi").groupBy("id", "symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))
-    cand = exploded(p, words, "key", "id").join(small(dim.where("key IS NOT NULL")), "key")
+    cand = exploded(p, words, "key", "id").join(dim.where("key IS NOT NULL"), "key")
     none = F.lit(None)
     rows = ticks.select("id", "symbol", F.lit("tick").alias("kind"), none.cast("string").alias("alias"), F.lit(0).alias("idx"), "n")
     rows = rows.unionByName(cand.select("id", "symbol", F.lit("alias").alias("kind"), "alias", "idx", F.lit(1).alias("n")))
@@ -167,7 +171,7 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
     count = F.col("ticks") + F.size("ok")
     g = g.withColumn("mention_count", F.when(count > 0, count).when(F.col("caps_ctx").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("int"))
     ctx = F.coalesce(F.col("tick_ctx"), F.try_element_at("ok", F.lit(1))["ctx"], F.when(count == 0, F.col("caps_ctx")))
-    return g.where("mention_count > 0").join(small(names), "symbol", "left").select(
+    return g.where("mention_count > 0").join(names, "symbol", "left").select(
         "id", F.col("symbol").alias("coin_symbol"), "coin_name", "mention_count", F.nullif(ctx, F.lit("")).alias("context")
     )
 
@@ -203,10 +207,10 @@ def extract_mentions_loose(posts: DataFrame, coins: DataFrame, limit_chars: int
     aliases = sorted(r.alias for r in names.collect())
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
     p = posts.select("id", title.alias("title"), F.concat(title, F.lit("\n"), body).alias("text"))
-    symbols = small(coins.select(F.upper("symbol").alias("symbol")).distinct())
+    symbols = coins.select(F.upper("symbol").alias("symbol")).distinct()
     ticks = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
     ticks = ticks.join(symbols, "symbol", "left_semi").groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    found = exploded(p, substring_hits(F.lower("text"), aliases), "alias", "id").join(small(dim.select("alias", "symbol", "idx")), "alias")
+    found = exploded(p, substring_hits(F.lower("text"), aliases), "alias", "id").join(dim.select("alias", "symbol", "idx"), "alias")
     found = found.groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
     caps = F.array_distinct(F.regexp_extract_all("title", F.lit(LEFT + "([A-Z]{3,6})" + RIGHT), F.lit(1)))
     c = exploded(p, caps, "symbol", "id").where(~F.col("symbol").isin(BLACKLIST)).join(symbols, "symbol", "left_semi")
@@ -217,6 +221,6 @@ def extract_mentions_loose(posts: DataFrame, coins: DataFrame, limit_chars: int
 
 def topic_related(text: Column, coin_words: list[str] | None = None) -> Column:
     """Cashtag in upper case, or any topic word (and coin alias) contained in the text."""
-    words = TOPIC_WORDS + [w.lower() for w in coin_words or []]
+    words = [*TOPIC_WORDS] + [w.lower() for w in coin_words or []]
     pattern = "|".join(re.escape(w) for w in words)
     return F.coalesce(text.rlike(r"\$[A-Z]{2,10}" + RIGHT) | F.lower(text).rlike(pattern), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
-from tidemark.operators.keyed import asof_first_ticks, asof_nearest, null_safe_join, small
+from tidemark.operators.keyed import asof_first_ticks, asof_nearest, null_safe_join
 from tidemark.semantics import WINDOW_SECONDS, at, exact, js_round, ratio
 
 TOLERANCE_SECONDS = 12 * 3600
@@ -39,7 +39,7 @@ def run_backtest(
     lo = F.timestamp_micros(F.unix_micros(at(as_of)) - days * 86_400_000_000)
     active = coins.select(F.upper("symbol").alias("_sym")).distinct()
     sig = signals.where((F.col("computed_at") >= lo) & (F.col("computed_at") <= at(as_of)))
-    sig = sig.join(small(active), F.upper("coin_symbol") == F.col("_sym"), "left_semi")
+    sig = sig.join(active, F.upper("coin_symbol") == F.col("_sym"), "left_semi")
     offsets = F.array(F.lit(0), *[F.lit(WINDOW_SECONDS[w]) for w in lookups])
     probes = sig.select(*SIGNAL_KEY, "signal_label", "weighted_score", F.explode(offsets).alias("_off"))
     probes = probes.withColumn("_target", shift("computed_at", F.col("_off"))).where(F.col("_target") <= at(as_of))
@@ -72,7 +72,7 @@ def evaluate_pending(results: DataFrame, prices: DataFrame, coins: DataFrame, as
     secs = F.create_map(*[x for w, s in WINDOW_SECONDS.items() for x in (F.lit(w), F.lit(s))])
     p = results.where(F.col("evaluated_at").isNull()).withColumn("_target", shift("signal_at", secs[F.col("lookup_window")]))
     active = coins.select(F.upper("symbol").alias("_sym")).distinct()
-    p = p.where(F.col("_target") <= at(as_of)).join(small(active), F.upper("coin_symbol") == F.col("_sym"), "left_semi")
+    p = p.where(F.col("_target") <= at(as_of)).join(active, F.upper("coin_symbol") == F.col("_sym"), "left_semi")
     p = p.drop("price_after", "price_change_pct", "hit", "evaluated_at")
     found = asof_nearest(p, prices, "coin_symbol", "_target", "fetched_at", "price_usd", TOLERANCE_SECONDS, "price_after", "_at")
     return evaluate(found.where(F.col("price_after").isNotNull()).drop("_target", "_at"), as_of)

@@ -79,8 +79,8 @@ class Explain:
         me = entities.where((F.col("entity_type") == "coin") & (F.col("symbol") == self.coin)).select(F.col("id").alias("me"))
         r = relations.where("weight > 0 AND relation_type IN ('part_of', 'impacts')")
         ends = (
-            r.join(F.broadcast(me), F.col("source_id") == F.col("me")).select(F.col("target_id").alias("id"))
-            .union(r.join(F.broadcast(me), F.col("target_id") == F.col("me")).select(F.col("source_id").alias("id"))).distinct()
+            r.join(me, F.col("source_id") == F.col("me")).select(F.col("target_id").alias("id"))
+            .union(r.join(me, F.col("target_id") == F.col("me")).select(F.col("source_id").alias("id"))).distinct()
         )
         e = entities.join(ends, "id", "left_semi")
         order = [F.col("mention_count").desc(), F.col("id")]
@@ -114,7 +114,7 @@ def source_breakdown(posts: DataFrame, sentiments: DataFrame) -> DataFrame:
 
 def bucket_series(mentions: DataFrame, sentiments: DataFrame, prices: DataFrame, as_of, days: int = 7, hours: int = 6, coin: str | None = None) -> DataFrame:
     """Per coin and epoch-aligned bucket: mentions, mean sentiment and fomo, mean price; buckets of either side are kept."""
-    lo = F.timestamp_micros(F.unix_micros(at(as_of)) - min(days, 30) * 86_400_000_000)
+    lo = F.timestamp_micros(F.unix_micros(at(as_of)) - days * 86_400_000_000)
     size = hours * 3_600_000_000
 
     def bucket(ts: str) -> Column:

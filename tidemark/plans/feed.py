@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import small, top_k
+from tidemark.operators.keyed import top_k
 from tidemark.plans.queues import page
 from tidemark.semantics import js_trim, ratio
 
@@ -40,11 +40,16 @@ def select_articles(
     return matching(a, search, ["title", "summary", "content"])
 
 
+def page_size(asked: int, most: int = 50) -> int:
+    """Page size a request may have; for the edge of an API, operators take any size."""
+    return max(1, min(asked, most))
+
+
 def list_page(articles: DataFrame, number: int = 1, size: int = 12, columns: Sequence[str] | None = None, **filters) -> DataFrame:
     """One page, newest first, without the heavy text column, with total and has_more."""
     a = select_articles(articles, **filters)
     keep = columns or [c for c in articles.columns if c not in ("content", "content_preview")]
-    return page(a.select(*keep), newest(), number, size, 50)
+    return page(a.select(*keep), newest(), number, size)
 
 
 def home_feed(articles: DataFrame, categories: DataFrame, user: str, size: int = 12) -> DataFrame:
@@ -92,7 +97,7 @@ def related(articles: DataFrame, n: int = 5) -> DataFrame:
     item = F.struct(F.col("_r"), F.col("id"))
     best = top_k(a.where("slug IS NOT NULL").select("id", "category", "crawled_at"), ["category"], newest(), n + 1, "_r")
     lists = best.groupBy("category").agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    own = a.select("id", "category").join(small(lists), "category")
+    own = a.select("id", "category").join(lists, "category")
     others = F.transform(F.filter("_l", lambda x: x["id"] != F.col("id")), lambda x: x["id"])
     return own.select("id", F.posexplode(F.slice(others, 1, n)).alias("pos", "related_id")).select("id", "related_id", (F.col("pos") + 1).alias("pos"))
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
-from tidemark.operators.keyed import small
 from tidemark.semantics import at, ago, js_trim
 
 # Allowed relations, their end types, and the fixed narrative clusters.
@@ -63,7 +62,7 @@ def coin_entities(mentions: DataFrame, posts: DataFrame, as_of, names: DataFrame
         .groupBy("coin_symbol").agg(F.sum("mention_count").alias("n"), F.count_distinct("source").alias("k"))
     )
     if names is not None:
-        g = g.join(small(names.groupBy(F.col("symbol").alias("coin_symbol")).agg(F.min("name").alias("_name"))), "coin_symbol", "left")
+        g = g.join(names.groupBy(F.col("symbol").alias("coin_symbol")).agg(F.min("name").alias("_name")), "coin_symbol", "left")
     else:
         g = g.withColumn("_name", F.lit(None).cast("string"))
     g = g.withColumn("name", F.coalesce("_name", "coin_symbol"))
@@ -286,14 +285,14 @@ def top_entities(ent: DataFrame, n: int = 30, search: str | None = None, kind: s
 def with_endpoints(rel: DataFrame, ent: DataFrame) -> DataFrame:
     """Edges with both end entities attached."""
     def side(p: str) -> DataFrame:
-        return small(ent.select(F.col("id").alias(f"{p}_id"), F.col("entity_type").alias(f"{p}_kind"), F.col("name").alias(f"{p}_name"), F.col("symbol").alias(f"{p}_symbol")))
+        return ent.select(F.col("id").alias(f"{p}_id"), F.col("entity_type").alias(f"{p}_kind"), F.col("name").alias(f"{p}_name"), F.col("symbol").alias(f"{p}_symbol"))
 
     return rel.join(side("source"), "source_id").join(side("target"), "target_id")
 
 
 def touching(rel: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with at least one end in ``nodes`` (column id): two semi joins instead of an OR join."""
-    ids = small(nodes.select("id").distinct())
+    ids = nodes.select("id").distinct()
     by_source = rel.join(ids, rel["source_id"] == ids["id"], "left_semi")
     by_target = rel.join(ids, rel["target_id"] == ids["id"], "left_semi").join(ids, F.col("source_id") == ids["id"], "left_anti")
     return by_source.unionByName(by_target)
@@ -301,7 +300,7 @@ def touching(rel: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def induced(rel: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes``."""
-    ids = small(nodes.select("id").distinct())
+    ids = nodes.select("id").distinct()
     return rel.join(ids, rel["source_id"] == ids["id"], "left_semi").join(ids, F.col("target_id") == ids["id"], "left_semi")
 
 
@@ -335,8 +334,8 @@ def neighbours(links: DataFrame, node: str) -> DataFrame:
 
 def event_timeline(ent: DataFrame, rel: DataFrame, as_of, days: int = 30, coin: str | None = None, limit: int = 50) -> DataFrame:
     """Events, newest first, with the coins they impact; the stored coin list where no relation exists."""
-    ev = ent.where((F.col("entity_type") == "event") & (F.col("last_seen_at") >= ago(as_of, min(days, 90) * 86400)))
-    ev = ev.orderBy(F.col("last_seen_at").desc(), "id").limit(min(limit, 100))
+    ev = ent.where((F.col("entity_type") == "event") & (F.col("last_seen_at") >= ago(as_of, days * 86400)))
+    ev = ev.orderBy(F.col("last_seen_at").desc(), "id").limit(limit)
     coins = ent.where("entity_type = 'coin'").select(F.col("id").alias("target_id"), F.col("symbol").alias("_sym"))
     r = rel.where("relation_type = 'impacts'").join(ev.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(coins, "target_id")
     ctx = F.coalesce("context", F.lit(""))

@@ -16,19 +16,22 @@ def text_length(*cols: str) -> Column:
     return total
 
 
+def newest(df: DataFrame, ts: str, limit: int | None) -> DataFrame:
+    """The newest ``limit`` rows; all rows, unsorted, without a limit (``chunked`` numbers them in order)."""
+    return df if limit is None else df.orderBy(F.col(ts).desc(), "id").limit(limit)
+
+
 def posts_without_sentiment(posts: DataFrame, sentiments: DataFrame, mentions: DataFrame | None = None, min_chars: int = 30,
                             limit: int | None = None) -> DataFrame:
     """Newest posts that have no sentiment yet; with ``mentions``, only those naming a coin and long enough."""
     p = posts.join(sentiments.select(F.col("post_id").alias("id")), "id", "left_anti")
     if mentions is not None:
         p = p.where(text_length("title", "body") >= min_chars).join(mentions.select(F.col("post_id").alias("id")), "id", "left_semi")
-    p = p.orderBy(F.col("posted_at").desc(), "id")
-    return p.limit(limit) if limit else p
+    return newest(p, "posted_at", limit)
 
 
 def articles_without_summary(articles: DataFrame, limit: int | None = None) -> DataFrame:
-    a = articles.where(F.col("summary").isNull() & F.col("is_active")).orderBy(F.col("crawled_at").desc(), "id")
-    return a.limit(limit) if limit else a
+    return newest(articles.where(F.col("summary").isNull() & F.col("is_active")), "crawled_at", limit)
 
 
 def chunked(df: DataFrame, order: list[Column], size: int = 10, by: str | None = None) -> DataFrame:
@@ -43,9 +46,8 @@ def posts_mentioning(posts: DataFrame, mentions: DataFrame, coin: str) -> DataFr
     return posts.join(m, "id", "left_semi")
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 12, max_size: int = 50) -> DataFrame:
+def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 12) -> DataFrame:
     """One page in a total order, with the exact total and whether more rows follow."""
-    size = max(1, min(size, max_size))
     lo = (max(1, number) - 1) * size
     total = df.agg(F.count(F.lit(1))).scalar()
     return df.orderBy(*order).offset(lo).limit(size).withColumn("total", total).withColumn("has_more", F.col("total") > lo + size)

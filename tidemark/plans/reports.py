@@ -11,12 +11,12 @@ from tidemark.functions.scores import LABELS
 from tidemark.semantics import js_round, ratio
 
 
-def top_signals(signals: DataFrame, window: str = "24h", kind: str = "fomo", limit: int = 50, latest_only: bool = True, max_limit: int = 200) -> DataFrame:
+def top_signals(signals: DataFrame, window: str = "24h", kind: str = "fomo", limit: int = 50, latest_only: bool = True) -> DataFrame:
     """Best scores of the newest snapshot of a window and type; ``latest_only=False`` mixes snapshots."""
     s = signals.where((F.col("time_window") == window) & (F.col("signal_type") == kind))
     if latest_only:
         s = s.where(F.col("computed_at") == s.agg(F.max("computed_at")).scalar())
-    return s.orderBy(F.col("weighted_score").desc_nulls_last(), "coin_symbol", F.col("computed_at").desc()).limit(min(limit, max_limit))
+    return s.orderBy(F.col("weighted_score").desc_nulls_last(), "coin_symbol", F.col("computed_at").desc()).limit(limit)
 
 
 def hot_alerts(signals: DataFrame, threshold: float = 60, n: int = 3, window: str = "24h") -> DataFrame:

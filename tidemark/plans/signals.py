@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
-from tidemark.operators.keyed import first_per_key, small, top_k
+from tidemark.operators.keyed import first_per_key, top_k
 from tidemark.semantics import WINDOW_SECONDS, at, clamp, exact, js_round, mean, nz
 from tidemark.session import cut_lineage
 
@@ -162,7 +162,7 @@ def trending_ranks(posts: DataFrame, coins: DataFrame, as_of) -> DataFrame:
         (F.col("source") == "coingecko") & (F.col("crawled_at") >= F.timestamp_micros(F.unix_micros(at(as_of)) - 6 * HOUR * 1_000_000))
     )
     by_id = (
-        t.join(small(coins.select("coingecko_id", F.upper("symbol").alias("coin_symbol"))), "coingecko_id")
+        t.join(coins.select("coingecko_id", F.upper("symbol").alias("coin_symbol")), "coingecko_id")
         .groupBy("coin_symbol").agg(F.min("trending_rank").alias("_a"))
     )
     sym = F.regexp_extract("title", r"\(([A-Z]{2,10})\)", 1)

@@ -438,13 +438,14 @@ def b9(t):
     return t.v_posts.where(F.col("author").isNotNull() & (F.col("author") != "author1") & (F.col("source") != "click")).select("id")
 
 
-GT = T.GARBAGE_TITLES_ANY_CASE
-GARB = """(regexp_full_match(tt, '{a}') OR regexp_full_match(tt, '{e}') OR regexp_matches(tt, '^({s})') OR regexp_matches(tt, '(?i)^({sa})') OR regexp_matches(tt, '{w}')
- OR regexp_matches(uu, '(?i){u}') OR uu = '' OR tt = '')""".format(
-    a="(?i)(" + "|".join(f"({p})" for p in GT) + ")", e="(" + "|".join(f"({p})" for p in T.GARBAGE_TITLES_EXACT_CASE) + ")", s="|".join(T.GARBAGE_TITLE_STARTS),
-    sa="|".join(T.GARBAGE_TITLE_STARTS_ANY_CASE), w="|".join(T.GARBAGE_TITLE_ANYWHERE), u="|".join(f"({p})" for p in T.GARBAGE_URLS))
-WORDS = ["", "Login", "sign in", "Sign In", "다음 페이지", "more", "Privacy notes", "123", "abc", "..."]
-LINKS = ["", "/login", "/about/", "/products", "/a/privacy", "/a/x"]
+# written out, so that a lost or changed pattern of the library shows
+GARB = r"""(regexp_full_match(tt, '(?i)(login|logout|register|(previous|next|first|last)\s*page|prev|next|검색|search|홈|home|메인|main|메뉴|menu|닫기|close|terms\s*of\s*service|privacy\s*policy|공유하기|스크랩|좋아요|share|like|bookmark|목록|list|더\s*보기|more|view\s*all|see\s*more|top|맨위로|scroll\s*to\s*top|back\s*to\s*top)')
+ OR regexp_full_match(tt, '(로그인|로그아웃|회원가입|Sign\s*[Ii]n|Sign\s*[Uu]p|(이전|다음|처음|마지막)\s*페이지|.{0,3}|\s*|[.,!?;:\-_]+|\d+)')
+ OR regexp_matches(tt, '^(비밀번호|(페이스북|트위터|인스타)\s*새창)|블로그\s*새창으로\s*열기') OR regexp_matches(tt, '(?i)^(이용약관|개인정보|privacy|(facebook|twitter|instagram)\s*new\s*window)')
+ OR regexp_matches(uu, '(?i)/login|/signup|/register|/auth/|/logout|^javascript:|/terms|/privacy|/policy|/admin|/settings|/config|/about/?$|/about-us/?$|/contact/?$|/contact-us/?$|/careers?/?$|/faq/?$|/services?/?$|/products?/?$|/pricing/?$|/portfolio/?$|/solutions?/?$|/legal|/cookie|/disclaimer|/sitemap|/feed/?$|/rss/?$|/search/?$|/404/?$|/account|/dashboard|/cart/?$|/checkout')
+ OR regexp_matches(uu, '^#|^mailto:|^tel:') OR uu = '' OR tt = '')"""
+WORDS = ["", "Login", "sign in", "Sign In", "다음 페이지", "more", "Privacy notes", "123", "abc", "...", "비밀번호 찾기", "A 블로그 새창으로 열기", "twitter New Window", "back to top"]
+LINKS = ["", "/login", "/about/", "/products", "/a/privacy", "/a/x", "/Careers", "/cart/1", "/CART/", "/feeds", "/rss", "/404", "/x/dashboard"]
 ITEM_SQL = ("SELECT id, source_name, CASE id % 20 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS)) + " ELSE title END AS title, source_url || CASE id % 18 "
             + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(LINKS)) + " ELSE '' END AS link FROM v_articles")
 ITEM_SQL2 = f"SELECT id, source_name, title, link, {trim_('title')} AS tt, {trim_('link')} AS uu FROM ({ITEM_SQL}) i0"
@@ -543,7 +544,7 @@ def l1(t):
 
 @query("l2_limit_clamp", "SELECT id FROM v_articles WHERE is_active ORDER BY crawled_at DESC, id LIMIT 50")
 def l2(t):
-    return A.list_page(t.v_articles, 1, 500).select("id")
+    return A.list_page(t.v_articles, 1, A.page_size(500)).select("id")
 
 
 @query("l6_category_order", "SELECT n_name AS name, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS display_order FROM nation ORDER BY 2 ASC NULLS LAST, 1 LIMIT 12")
@@ -551,19 +552,20 @@ def l6(t):
     return A.ordered_categories(t.nation.select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("display_order"))).limit(12)
 
 
-@query("l7_sitemap_order", f"""SELECT page_id FROM (SELECT page_id, page_id % 3 AS m, least(len({SEG}), 5) + CASE WHEN regexp_full_match(coalesce({SEG}[len({SEG})], ''), '\\d+') THEN 10 ELSE 0 END AS k
- FROM (SELECT page_id, {PATH} AS p FROM pages) a) b ORDER BY CASE WHEN m > 0 THEN page_id * 7 % 100 END DESC NULLS LAST, CASE WHEN m = 0 THEN k END DESC NULLS LAST, page_id LIMIT 15""")
+@query("l7_sitemap_order", f"""SELECT page_id, site FROM (SELECT page_id, 's' || page_id % 4 AS site, page_id % 3 AS m, least(len({SEG}), 5) + CASE WHEN regexp_full_match(coalesce({SEG}[len({SEG})], ''), '\\d+') THEN 10 ELSE 0 END AS k
+ FROM (SELECT page_id, {PATH} AS p FROM pages) a) b QUALIFY row_number() OVER (PARTITION BY site ORDER BY CASE WHEN m > 0 THEN page_id * 7 % 100 END DESC NULLS LAST, CASE WHEN m = 0 THEN k END DESC NULLS LAST, page_id) <= 15""")
 def l7(t):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 100).cast("int"))
-    e = t.pages.select("page_id", F.col("url").alias("loc"), F.when(F.col("page_id") % 3 > 0, day.cast("timestamp")).alias("lastmod"))
-    return SF.sitemap_order(e, [F.col("page_id")]).limit(15).select("page_id")
+    site = F.concat(F.lit("s"), (F.col("page_id") % 4).cast("string")).alias("site")
+    e = t.pages.select("page_id", site, F.col("url").alias("loc"), F.when(F.col("page_id") % 3 > 0, day.cast("timestamp")).alias("lastmod"))
+    return SF.sitemap_selection(e, F.lit(""), AS_OF, 10_000, tie=[F.col("page_id")]).select("page_id", "site")
 
 
-@query("l8_sub_sitemap_order", "SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 2 THEN -4 WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE 2 END AS score FROM supplier WHERE s_suppkey % 5 <> 2 ORDER BY score DESC, id LIMIT 30")
+@query("l8_sub_sitemap_order", "SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 2 THEN -4 WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE 2 END AS score FROM supplier WHERE s_suppkey % 5 <> 2")
 def l8(t):
     n = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("s_suppkey") % 5 + 1).cast("int"))
     s = t.supplier.select(F.col("s_suppkey").alias("id"), U.sitemap_file_score(F.concat(F.lit("https://x.example.com/"), n, F.lit(".xml"))).alias("score"))
-    return s.where("score >= 0").orderBy(F.col("score").desc(), "id").limit(30)
+    return s.where("score >= 0")
 
 
 @query("l9_label_order", "SELECT signal_label, count(*) AS n FROM v_backtest GROUP BY 1 ORDER BY CASE signal_label WHEN 'extremely_hot' THEN 0 WHEN 'hot' THEN 1 WHEN 'warm' THEN 2 WHEN 'cool' THEN 3 ELSE 4 END")

@@ -86,7 +86,11 @@ def p1l(t):
     return M.extract_mentions_loose(text_posts(t), text_coins(t))
 
 
-TOPIC_RE = "|".join(w.replace(".", r"\.") for w in M.TOPIC_WORDS)
+# written out, so that a lost word of the library shows
+TOPIC_RE = (
+    "crypto|cryptocurrency|blockchain|defi|nft|token|memecoin|meme coin|shitcoin|altcoin|pump|dump|moon|hodl|wagmi|ngmi|degen|rug|rugpull|airdrop|staking|yield|swap|dex|cex|"
+    r"binance|coinbase|kraken|uniswap|raydium|jupiter|solana|ethereum|bitcoin|base chain|arbitrum|pump\.fun|pumpfun|bonding curve|market cap"
+)
 
 
 @query("b15_topic_predicate", rf"SELECT id FROM ({POST_SQL}) p WHERE regexp_matches(title, '\$[A-Z]{{2,10}}\b') OR regexp_matches(lower(title || ' ' || left(body, length(body) - length(tag) * 2 - 8)), '{TOPIC_RE}')")
@@ -160,12 +164,13 @@ def s6(t):
     return SO.trending_posts(t.events.select(js(F.struct(F.array(F.struct(item.alias("item"))).alias("coins"))).alias("payload")), AS_OF).select("source_id", "title", "score")
 
 
-@query("s7_board_threads", """SELECT no FROM (SELECT event_id AS no, CASE WHEN event_type IN ('click', 'error') THEN 'bitcoin ' || props ELSE props END AS x, event_id % 9 AS replies, epoch_us(ts) AS lm FROM events) e
- WHERE contains(x, 'bitcoin') AND replies >= 3 ORDER BY lm DESC, no LIMIT 30""")
+@query("s7_board_threads", """SELECT board, no FROM (SELECT 'b' || user_id % 3 AS board, event_id AS no, CASE WHEN event_type IN ('click', 'error') THEN 'bitcoin ' || props ELSE props END AS x, event_id % 9 AS replies, epoch_us(ts) AS lm FROM events) e
+ WHERE contains(x, 'bitcoin') AND replies >= 3 QUALIFY row_number() OVER (PARTITION BY board ORDER BY lm DESC, no) <= 30""")
 def s7(t):
     th = F.struct(F.col("event_id").alias("no"), F.when(F.col("event_type").isin("click", "error"), F.lit("bitcoin")).alias("sub"), F.concat(F.lit("<b>"), "props", F.lit("</b>")).alias("com"),
                   (F.col("event_id") % 9).cast("int").alias("replies"), F.unix_micros(F.col("ts").cast("timestamp")).alias("last_modified"))
-    return SO.board_threads(t.events.select(js(F.array(F.struct(F.array(th).alias("threads")))).alias("payload"))).select("no")
+    board = F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")).alias("board")
+    return SO.board_threads(t.events.select(board, js(F.array(F.struct(F.array(th).alias("threads")))).alias("payload"))).select("board", "no")
 
 
 @query("s7_board_posts", """SELECT '4chan_biz_' || (conv_id * 1000 + turn) AS source_id, CASE WHEN turn = 0 THEN 'subject ' || conv_id ELSE substr(trim(text), 1, 200) END AS title FROM (

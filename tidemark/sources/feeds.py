@@ -12,7 +12,7 @@ from tidemark.functions import urls as U
 from tidemark.functions.dates import MAX_ARTICLE_AGE_DAYS, parse_date, within_days
 from tidemark.functions.pages import body_text
 from tidemark.functions.text import preview
-from tidemark.operators.keyed import exploded
+from tidemark.operators.keyed import exploded, top_k
 from tidemark.semantics import js_trim
 
 ITEM_FIELDS = ["title", "link", "thumbnail", "author", "date", "content"]
@@ -79,16 +79,16 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
     return e.select(F.col("url").alias("sitemap"), loc.alias("loc"), F.coalesce(mod.try_cast("timestamp"), F.try_to_timestamp(mod)).alias("lastmod")).where(F.col("loc").startswith("http"))
 
 
-def sitemap_order(entries: DataFrame, tie: Sequence[Column] = ()) -> DataFrame:
+def sitemap_order(tie: Sequence[Column] = ()) -> list[Column]:
     """Dated entries newest first, then undated ones by article likelihood."""
     score = F.when(F.col("lastmod").isNull(), U.sitemap_entry_score("loc"))
-    return entries.orderBy(F.col("lastmod").desc_nulls_last(), score.desc_nulls_last(), *(tie or [F.col("loc")]))
+    return [F.col("lastmod").desc_nulls_last(), score.desc_nulls_last(), *(tie or [F.col("loc")])]
 
 
-def sitemap_selection(entries: DataFrame, base_url: str, as_of, days: float = MAX_ARTICLE_AGE_DAYS, include: Sequence[str] = (), exclude: Sequence[str] = (), n: int = 15) -> DataFrame:
-    """Entries to fetch: under the base path, young enough, passing the filters, best first."""
-    e = entries.where(U.under_prefix("loc", F.lit(base_url)) & within_days("lastmod", days, as_of) & U.url_filter("loc", include, exclude))
-    return sitemap_order(e).limit(n)
+def sitemap_selection(entries: DataFrame, base_url: Column, as_of, days: float = MAX_ARTICLE_AGE_DAYS, include: Sequence[str] = (), exclude: Sequence[str] = (), n: int = 15, site: str = "site", tie: Sequence[Column] = ()) -> DataFrame:
+    """Entries to fetch of each site: under its base path, young enough, passing the filters, the best ``n``."""
+    e = entries.where(U.under_prefix("loc", base_url) & within_days("lastmod", days, as_of) & U.url_filter("loc", include, exclude))
+    return top_k(e, [site], sitemap_order(tie), n)
 
 
 def json_path(path: str) -> str:
@@ -131,11 +131,11 @@ def api_items(payloads: DataFrame, as_of, mapping: dict[str, str] | None = None,
     return d if max_age_days is None else d.where(within_days(parse_date("date_text", as_of), max_age_days, as_of))
 
 
-def mapping_valid(payloads: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """(source_name, valid): at least two items, and half of the first five have a title and a link."""
+def mapping_valid(payloads: DataFrame, mapping: dict[str, str], probe: int | None = 5) -> DataFrame:
+    """(source_name, valid): at least two items, and half of the first ``probe`` (None: of all) have a title and a link."""
     v = payloads.select("source_name", F.try_parse_json("payload").alias("v"))
     arr = F.coalesce(F.try_variant_get("v", json_path(mapping["items"]) if mapping.get("items") else "$", "array<variant>"), F.array().cast("array<variant>"))
-    head = F.slice(arr, 1, 5)
+    head = arr if probe is None else F.slice(arr, 1, probe)
     good = F.filter(head, lambda i: (F.coalesce(F.try_variant_get(i, json_path(mapping["title"]), "string"), F.lit("")) != "") & F.try_variant_get(i, json_path(mapping["link"]), "string").isNotNull())
     ok = (F.size(arr) >= 2) & (F.size(good).cast("double") / F.greatest(F.size(head), F.lit(1)) >= 0.5)
     return v.select("source_name", F.coalesce(ok, F.lit(False)).alias("valid"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.titles import article_slug
 from tidemark.functions.urls import host
-from tidemark.operators.keyed import first_per_key, small, top_k
+from tidemark.operators.keyed import first_per_key, top_k
 from tidemark.semantics import ago
 
 # Merge keys of the stored tables, and the label migration.
@@ -36,7 +36,7 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequen
     """
     keys = list(keys)
     last = first_per_key(delta, keys, order) if order else delta.dropDuplicates(keys)
-    return base.join(small(delta.select(*keys).distinct()), keys, "left_anti").unionByName(last, allowMissingColumns=True)
+    return base.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,14 +48,14 @@ def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str], order
 def replace_by_key(base: DataFrame, rows: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
     """Drop all base rows of the touched keys, then add the new rows."""
     t = (touched if touched is not None else rows).select(key).distinct()
-    return base.join(small(t), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+    return base.join(t, key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
 def update_if(base: DataFrame, changes: DataFrame, key: str, condition: Column) -> tuple[DataFrame, DataFrame]:
     """Apply changes only to base rows that still meet the condition; also returns the rows that changed."""
     cols = [c for c in changes.columns if c != key]
     c = changes.select(key, F.lit(True).alias("_hit"), *[F.col(x).alias(f"_n_{x}") for x in cols])
-    j = base.withColumn("_ok", F.coalesce(condition, F.lit(False))).join(small(c), key, "left")
+    j = base.withColumn("_ok", F.coalesce(condition, F.lit(False))).join(c, key, "left")
     hit = F.coalesce(F.col("_hit") & F.col("_ok"), F.lit(False))
     j = j.withColumn("_hit", hit).withColumns({x: F.when(hit, F.col(f"_n_{x}")).otherwise(F.col(x)) for x in cols})
     return j.select(*base.columns), j.where("_hit").select(*base.columns)
@@ -107,26 +107,26 @@ def merge_into(delta: DataFrame, table: str, keys: Sequence[str], condition: Col
 def rename_category(df: DataFrame, renames: DataFrame, column: str = "category") -> DataFrame:
     """Rewrite a category column by (old, new) pairs, per user when both sides have user_id."""
     on = ["old"] + (["user_id"] if "user_id" in renames.columns and "user_id" in df.columns else [])
-    j = df.withColumn("old", F.col(column)).join(small(renames), on, "left")
+    j = df.withColumn("old", F.col(column)).join(renames, on, "left")
     return j.withColumn(column, F.coalesce("new", column)).select(*df.columns)
 
 
 def rename_config_category(sources: DataFrame, renames: DataFrame) -> DataFrame:
     """The same inside the JSON config of sources; other keys stay as they are."""
     conf = F.from_json("config", "map<string,string>")
-    j = sources.withColumn("old", conf["category"]).join(small(renames.select("old", "new")), "old", "left")
+    j = sources.withColumn("old", conf["category"]).join(renames.select("old", "new"), "old", "left")
     changed = F.to_json(F.map_concat(F.map_filter(conf, lambda k, v: k != "category"), F.create_map(F.lit("category"), F.col("new"))))
     return j.withColumn("config", F.when(F.col("new").isNotNull(), changed).otherwise(F.col("config"))).select(*sources.columns)
 
 
 def delete_category(df: DataFrame, names: DataFrame, column: str = "category") -> DataFrame:
-    return df.join(small(names.select(F.col("name").alias(column))), column, "left_anti").select(*df.columns)
+    return df.join(names.select(F.col("name").alias(column)), column, "left_anti").select(*df.columns)
 
 
 def reorder_categories(categories: DataFrame, order: DataFrame) -> DataFrame:
     """``order`` is one row with an array of ids; display_order becomes its place."""
     o = order.select(F.posexplode("ids").alias("pos", "id"))
-    return categories.join(small(o), "id", "left").withColumn("display_order", F.coalesce(F.col("pos") + 1, "display_order")).select(*categories.columns)
+    return categories.join(o, "id", "left").withColumn("display_order", F.coalesce(F.col("pos") + 1, "display_order")).select(*categories.columns)
 
 
 def add_categories(categories: DataFrame, names: DataFrame, user: str) -> DataFrame:

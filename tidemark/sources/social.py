@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import sanitize, strip_board_markup, title_and_body, truncate, view_count
 from tidemark.functions.scores import trending_modifier
-from tidemark.operators.keyed import exploded, first_per_key, small
+from tidemark.operators.keyed import exploded, first_per_key, top_k
 from tidemark.operators.mentions import topic_related
 from tidemark.semantics import at, col, squeeze
 
@@ -108,7 +108,8 @@ def atom_posts(payloads: DataFrame) -> DataFrame:
 
 def channel_page_posts(payloads: DataFrame, crawled_at) -> DataFrame:
     """Public channel page HTML: one block per message, marked by its data-post attribute."""
-    blocks = F.slice(F.split("payload", r'(?=<div[^>]*class="[^"]*\btgme_widget_message\b[^"]*"[^>]*data-post=)'), 2, 1_000_000)
+    blocks = F.split("payload", r'(?=<div[^>]*class="[^"]*\btgme_widget_message\b[^"]*"[^>]*data-post=)')
+    blocks = F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))
     b = exploded(payloads, blocks, "b")
     dp = F.regexp_extract("b", 'data-post="([^"]+)"', 1)
     inner = F.regexp_extract("b", r'(?s)<div[^>]*class="[^"]*tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>', 1)
@@ -187,10 +188,12 @@ def with_fallback_mentions(posts: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def board_threads(catalogs: DataFrame, coin_words: list[str] | None = None, limit: int = MAX_THREADS) -> DataFrame:
-    """Threads on topic with enough replies, the most recently changed first."""
-    t = exploded(exploded(parsed(catalogs, CATALOG), F.col("j"), "pg"), F.col("pg.threads"), "t").select("t.*")
+    """Threads on topic with enough replies of catalogs (board, payload): the most recently changed ``limit`` of each board."""
+    pages = exploded(parsed(catalogs, CATALOG, "board"), F.col("j"), "pg", "board")
+    t = exploded(pages, F.col("pg.threads"), "t", "board").select("board", "t.*")
     plain = strip_board_markup(F.concat_ws(" ", F.coalesce("sub", F.lit("")), F.coalesce("com", F.lit(""))))
-    return t.where(topic_related(plain, coin_words) & (F.col("replies") >= MIN_REPLIES)).orderBy(F.col("last_modified").desc(), "no").limit(limit)
+    t = t.where(topic_related(plain, coin_words) & (F.col("replies") >= MIN_REPLIES))
+    return top_k(t, ["board"], [F.col("last_modified").desc(), F.col("no")], limit)
 
 
 def board_posts(threads: DataFrame, coin_words: list[str] | None = None) -> DataFrame:
@@ -240,14 +243,14 @@ def market_rows(payloads: DataFrame, fetched_at) -> tuple[DataFrame, DataFrame]:
 def sync_coins(listing: DataFrame, wanted: DataFrame) -> DataFrame:
     """Listing row per wanted coin: same symbol, exact name first, else the first of the listing (column ``pos``)."""
     l = listing.select(F.col("id").alias("coingecko_id"), F.upper("symbol").alias("symbol"), F.lower("name").alias("_name"), "pos")
-    j = l.join(small(wanted.select(F.upper("symbol").alias("symbol"), "name")), "symbol")
+    j = l.join(wanted.select(F.upper("symbol").alias("symbol"), "name"), "symbol")
     best = first_per_key(j, ["symbol", "name"], [(F.col("_name") == F.lower("name")).desc(), F.col("pos")])
     return best.select("coingecko_id", "symbol", "name", F.lit(True).alias("is_active"))
 
 
 def admit(posts: DataFrame, channels: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """Posts at or over their channel's minimum score and a 0.5 upvote ratio, first per name."""
-    p = posts.join(small(channels), "channel").where(
+    p = posts.join(channels, "channel").where(
         (F.col("score") >= F.col("min_score")) & (F.coalesce("upvote_ratio", F.lit(1.0)) >= 0.5)
     )
     return first_per_key(p, [key], order)
