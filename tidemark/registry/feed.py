@@ -325,15 +325,31 @@ def h29(t):
     return t.pages.select("page_id", U.display_name("url").alias("display_name"), U.is_main_page("url").alias("main_page"))
 
 
-@query("h29_cms", "SELECT page_id, NULL::VARCHAR AS cms FROM pages WHERE NOT regexp_matches(html, '(?i)wordpress|wp-content|tistory|ghost|com.medium.reader')")
+def with_head(t, *tags):
+    """Pages whose head holds one of the given pieces of markup by page_id, all other pages as they are."""
+    piece = F.coalesce(F.get(F.array(*[F.lit(x) for x in tags]), (F.col("page_id") % (len(tags) + 2)).cast("int")), F.lit(""))
+    return t.pages.select("page_id", F.replace("html", F.lit("</head>"), F.concat(piece, F.lit("</head>"))).alias("html"))
+
+
+@query("h29_cms", """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'WordPress' WHEN 2 THEN 'Tistory' WHEN 3 THEN 'Ghost' WHEN 4 THEN 'Medium' END AS cms,
+ CASE page_id % 7 WHEN 0 THEN '/feed' WHEN 1 THEN '/feed' WHEN 2 THEN '/rss' WHEN 3 THEN '/rss' WHEN 4 THEN '/feed' END AS feed_path FROM pages""")
 def h29c(t):
-    return t.pages.where(~F.col("html").rlike("(?i)wordpress|wp-content|tistory|ghost|com.medium.reader")).select("page_id", P.cms("html")["cms"].alias("cms"))
+    p = with_head(
+        t, '<meta name="generator" content="WordPress 6.1">', '<link rel="stylesheet" href="/wp-content/a.css">', '<script src="https://t1.example.com/tistory/x.js"></script>',
+        '<meta content="Ghost 5" name="generator">', '<meta property="al:android:package" content="com.medium.reader">')
+    return p.select("page_id", P.cms("html").alias("c")).select("page_id", "c.cms", "c.feed_path")
 
 
-@query("h48_page_metadata", r"SELECT page_id, nullif(" + trim_(r"regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1)") + ", '') AS title, NULL::VARCHAR AS image FROM pages WHERE NOT regexp_matches(html, '(?i)<meta[^>]*(og:|name=.title|twitter:)')")
+@query("h48_page_metadata", r"SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'OG' WHEN 1 THEN 'Named' WHEN 2 THEN 'OG2' ELSE nullif(" + trim_(r"regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1)") + """, '') END AS title,
+ CASE page_id % 6 WHEN 0 THEN '/i.png' WHEN 1 THEN '/t.png' WHEN 2 THEN '/o.png' END AS image, CASE page_id % 6 WHEN 0 THEN 'A. B.' WHEN 3 THEN 'C' END AS author, CASE page_id % 6 WHEN 1 THEN '2024-01-02' WHEN 3 THEN '2024-03-04' END AS published,
+ CASE page_id % 6 WHEN 2 THEN 'og text' WHEN 3 THEN 'plain text' END AS description FROM pages""")
 def h48(t):
-    p = t.pages.where(~F.col("html").rlike("(?i)<meta[^>]*(og:|name=.title|twitter:)")).select("page_id", P.page_metadata("html").alias("m"))
-    return p.select("page_id", "m.title", "m.image")
+    p = with_head(
+        t, '<meta property="og:title" content="OG"><meta property="og:image" content="/i.png"><meta name="author" content="A. B.">',
+        '<meta content="Named" name="title"><meta name="twitter:image" content="/t.png"><meta property="article:published_time" content="2024-01-02">',
+        '<meta name="title" content="No"><meta property="og:title" content="OG2"><meta name="twitter:image" content="/x.png"><meta property="og:image" content="/o.png"><meta name="description" content="no"><meta property="og:description" content="og text">',
+        '<meta property="article:author" content="C"><time datetime="2024-03-04">4 March</time><meta name="description" content="plain text">')
+    return p.select("page_id", P.page_metadata("html").alias("m")).select("page_id", "m.title", "m.image", "m.author", "m.published", "m.description")
 
 
 BODY = squeeze(rr(rr(rr(r"CASE WHEN regexp_matches(html, '(?i)<body[^>]*>[\s\S]*</body>') THEN regexp_extract(html, '(?i)<body[^>]*>([\s\S]*)</body>', 1) ELSE html END", r"(?i)<script[\s\S]*?</script>"), r"(?i)<style[\s\S]*?</style>"), "<[^>]+>", " "))

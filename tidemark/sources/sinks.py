@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.titles import article_slug
 from tidemark.functions.urls import host
-from tidemark.operators.keyed import first_per_key, top_k
+from tidemark.operators.keyed import first_per_key, row_numbers, top_k
 from tidemark.semantics import ago
 
 # Merge keys of the stored tables, and the label migration.
@@ -134,8 +134,8 @@ def add_categories(categories: DataFrame, names: DataFrame, user: str) -> DataFr
     have = categories.where(F.col("user_id") == user)
     new = names.select(F.trim("name").alias("name")).where("name <> ''").distinct().join(have.select("name"), "name", "left_anti")
     top = F.coalesce(categories.agg(F.max("display_order")).scalar(), F.lit(0))
-    w = Window.partitionBy(F.lit(1)).orderBy("name")  # a user's category names: a handful of rows
-    return new.select("name", F.lit(user).alias("user_id"), (top + F.row_number().over(w)).cast("int").alias("display_order"))
+    n = row_numbers(new.withColumn("_all", F.lit(1)), ["_all"], [F.col("name")], "_n")
+    return n.select("name", F.lit(user).alias("user_id"), (top + F.col("_n")).cast("int").alias("display_order"))
 
 
 def copy_from_others(articles: DataFrame, source_name: str, user: str, category: str | None = None, n: int = 10) -> DataFrame:
