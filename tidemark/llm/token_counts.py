@@ -38,19 +38,20 @@ def spans(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [*out, (start, n)]
 
 
-def splice(text: str, cuts: list[tuple[int, int]], encoded: list) -> list | None:
+def splice(text: str, cuts: list[tuple[int, int]], encoded: list, margin: int = 0) -> list | None:
     """Token ids of the text from those of its chunks; None if two neighbours have no common stable boundary.
 
     The chunks meet at a place inside their overlap where both have a token
     boundary and where STABLE proves that no token crosses it: what precedes it
-    is encoded in full by the first chunk, what follows by the second.
+    is encoded in full by the first chunk, what follows by the second.  The first
+    chunk goes on for ``margin`` characters, so that a special string that begins there is seen by both.
     """
     starts = [np.array([a for a, _ in e.offsets], dtype=np.int64) + lo for e, (lo, _) in zip(encoded, cuts, strict=True)]
     out, begin = [], 0
     for k, e in enumerate(encoded[:-1]):
-        lo, hi = cuts[k + 1][0] + 1, cuts[k][1] - 1
+        lo, hi = cuts[k + 1][0] + 1, cuts[k][1] - 1 - margin
         both = set(starts[k].tolist()).intersection(starts[k + 1].tolist())
-        at = next((m.start() for m in STABLE.finditer(text, lo, hi) if m.start() in both), None)
+        at = next((m.start() for m in STABLE.finditer(text, lo, hi) if m.start() in both), None) if lo < hi else None
         if at is None:
             return None
         i, j = np.searchsorted(starts[k], (begin, at))
@@ -67,6 +68,7 @@ def encode(values: list[str], name: str, chunk: int = 16_384, overlap: int = 128
     encoded anew with twice the overlap, in the end as one chunk.
     """
     tok, out = tokenizer(name), [None] * len(values)
+    margin = max((len(t.content) for t in tok.get_added_tokens_decoder().values()), default=0)
     todo = {i: overlap for i in range(len(values))}
     while todo:
         cuts = {i: spans(len(values[i]), chunk, o) for i, o in todo.items()}
@@ -75,7 +77,7 @@ def encode(values: list[str], name: str, chunk: int = 16_384, overlap: int = 128
         for i, c in cuts.items():
             mine = pieces[k : k + len(c)]
             k += len(c)
-            out[i] = [mine[0].ids] if len(c) == 1 else splice(values[i], c, mine)
+            out[i] = [mine[0].ids] if len(c) == 1 else splice(values[i], c, mine, margin)
         todo = {i: todo[i] * 2 for i in todo if out[i] is None}
     return out
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -61,63 +61,78 @@ def unpack(payload: bytes, offsets: np.ndarray, width: int, start: int, n: int,
     return ids[start - first * block_ids :][:n]
 
 
+#: Bytes as the characters that a byte-level vocabulary is written in: printable ones are themselves, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
+#: Letters of the scripts whose words are one piece each; other pieces go through the whole tokenizer.
+LAST_LETTER = "\u024f"
+
+
 class PieceIds(dict):
-    """Ids of pieces (four bytes each) that a worker has met: words with the space before them, first words of lines.
+    """Ids of pieces (four bytes each) as a worker meets them: words with the space before them, first words of lines.
 
     Emptied when it has ``most`` entries; the ids do not depend on it.
     """
 
-    def __init__(self, name: str, most: int = 400_000):
-        self.tok, self.most, self.new = tokenizer(name), most, []
-        self.line_feed = np.array(self.tok.encode("\n").ids, dtype="<u4")
+    def __init__(self, name: str, most: int = 1_200_000):
+        self.tok, self.most = tokenizer(name), most
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.line_feed = self.whole("\n")
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        first, word = piece[0] == "\n", piece[1:] if piece[0] == "\n" else piece
+        if word.isalpha() and max(word) <= LAST_LETTER:
+            # one run of letters is one piece of the pre-tokenizer, so the model alone splits it
+            named = (word if first else " " + word).encode().decode("latin-1").translate(BYTE_NAMES)
+            ids = [x.id for x in self.tok.model.tokenize(named)]
+            ids = struct.pack(f"<{len(ids)}I", *ids)
+        elif word[-1] in self.marks and word[:-1].isalpha():  # letters end before a mark
+            self[piece] = ids = self[piece[:-1]] + self.marks[word[-1]]
+            return ids
+        else:
+            ids = self.whole(word if first else " " + word)
+        self[piece] = ids = self.line_feed + ids if first else ids
+        return ids
 
-    def __missing__(self, piece: str):
-        self.new.append(piece)
 
-    def learn(self) -> None:
-        new = list(set(self.new))
-        self.new.clear()
-        for first in (True, False):
-            kind = [x for x in new if x.startswith("\n") == first]
-            for k in range(0, len(kind), 2048):
-                part = kind[k : k + 2048]
-                sep = "" if first else "\n "
-                ids = np.array(self.tok.encode(sep + sep.join(part) + "\n", add_special_tokens=False).ids, dtype="<u4")
-                at, raw = np.flatnonzero(ids == self.line_feed[0]) * 4, ids.tobytes()
-                for piece, i, j in zip(part, (at if first else at + 4).tolist(), at[1:].tolist(), strict=False):
-                    self[piece] = raw[i:j]
+piece_ids = functools.cache(PieceIds)
+#: White space other than the space and the line feed.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-piece_ids = functools.cache(PieceIds)
-#: White space that is not a lone space or line feed between other characters.
-IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\A\s|\s\Z")
+def irregular(text: str) -> bool:
+    """Whether a text has white space that is not a lone space or line feed between other characters."""
+    return (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        or any(c in text for c in OTHER_SPACE)
+    )
 
 
 def encode_regular(values: list[str], name: str) -> list[np.ndarray]:
     """Token ids of each text, word by word where its white space is regular.
 
     Before a lone space, and before and after a lone line feed, the pre-tokenizer
-    always ends a piece, so a text's ids are those of its words, each with the
-    space before it; words met before are not encoded again.  Other texts are
-    encoded as a whole.
+    of a byte-level BPE always ends a piece, so a text's ids are those of its words, each with
+    the space before it; words met before are not encoded again.  Texts with other white space
+    or with special strings are encoded as a whole.
     """
-    memo, out, odd = piece_ids(name), [None] * len(values), []
+    memo, out, odd = piece_ids(name), [], []
     if len(memo) > memo.most:
         memo.clear()
-    pieces = {}
     for i, x in enumerate(values):
         if x == "":
-            out[i] = np.empty(0, dtype="<u4")
-        elif IRREGULAR.search(x):
+            out.append(np.empty(0, dtype="<u4"))
+        elif irregular(x) or any(t in x for t in memo.special):
             odd.append(i)
+            out.append(None)
         else:
-            pieces[i] = ("\n" + x.replace("\n", " \n")).split(" ")
-    got = {i: list(map(memo.__getitem__, p)) for i, p in pieces.items()}
-    if memo.new:
-        memo.learn()
-        got = {i: list(map(memo.__getitem__, p)) if None in got[i] else got[i] for i, p in pieces.items()}
-    for i, g in got.items():
-        out[i] = np.frombuffer(b"".join(g), dtype="<u4")[1:]  # without the line feed put before the first word
+            pieces = ("\n" + x.replace("\n", " \n")).split(" ")
+            # without the line feed put before the first word
+            out.append(np.frombuffer(b"".join(map(memo.__getitem__, pieces)), dtype="<u4")[1:])
     for i, parts in zip(odd, encode([values[i] for i in odd], name), strict=True):
         out[i] = np.array([t for p in parts for t in p], dtype="<u4")
     return out
