@@ -77,6 +77,31 @@ def test_extract_strict(spark):
     run(spark, True)
 
 
+def test_loose_against_containment(spark):
+    p = posts()
+    df = spark.createDataFrame(p, "id int, title string, body string")
+    coins = spark.createDataFrame([*COINS, ("KOR", "비트 코인"), ("ETC", "éther")], "symbol string, name string")
+    got = {(r.id, r.coin_symbol): r.mention_count for r in M.extract_mentions_loose(df, coins).collect()}
+    want = {}
+    for i, title, body in p:
+        low = f"{title}\n{body or ''}".lower()
+        for s, name in [*COINS, ("KOR", "비트 코인"), ("ETC", "éther")]:
+            n = sum(len(a) >= 3 and a in low for a in (name.lower(), s.lower()))
+            n += sum(m.upper() == s for m in re.findall(r"[$#]([A-Za-z]{2,10})(?![A-Za-z0-9_])", f"{title}\n{body or ''}"))
+            caps = any(m == s and m not in M.BLACKLIST for m in re.findall(r"(?<![A-Za-z0-9_])([A-Z]{3,6})(?![A-Za-z0-9_])", title))
+            if n or caps:
+                want[i, s] = n or 1
+    assert got == want
+
+
+def test_alias_without_ascii_words(spark):
+    df = spark.createDataFrame([(1, "오늘 비트코인은 x", None), (2, "a비트코인b", None), (3, "none", None)], "id int, title string, body string")
+    coins = spark.createDataFrame([("XXX", "비트코인")], "symbol string, name string")
+    # ASCII edges: the name is no word, so it needs an ASCII word character on both sides
+    assert [(r.id, r.mention_count) for r in M.extract_mentions(df, coins).collect()] == [(2, 1)]
+    assert sorted(r.id for r in M.extract_mentions_loose(df, coins).collect()) == [1, 2]
+
+
 def test_context(spark):
     df = spark.createDataFrame([(1, "x" * 50 + " $BTC " + "y" * 50, None)], "id int, title string, body string")
     r = M.extract_mentions(df, spark.createDataFrame(COINS, "symbol string, name string")).collect()[0]

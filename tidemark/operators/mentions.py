@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,69 +99,98 @@ def alias_at(low: Column, alias: Column) -> Column:
 
 
 def word_starts(text: Column, word: Column) -> Column:
-    """0-based places of every stand-alone ``word`` in a text."""
+    """0-based places of every stand-alone ``word`` in a text, with the running length carried along once."""
     parts = F.split(text, F.concat(F.lit(LEFT), word, F.lit(RIGHT)), -1)
-    n = F.size(parts)
-    step = F.char_length(word)
-    return F.when(n > 1, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda acc, s: acc + F.char_length(s)) + (i - 1) * step,
-    )).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def step(acc: Column, part: Column) -> Column:
+        hit = acc["at"] + F.char_length(part)
+        return F.struct((hit + F.char_length(word)).alias("at"), F.concat(acc["all"], F.array(hit)).alias("all"))
+
+    # every part but the last ends at a hit
+    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["all"])
+
+
+def post_texts(posts: DataFrame) -> DataFrame:
+    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
+    text = F.concat(title, F.lit("\n"), body)
+    return posts.select("id", title.alias("title"), text.alias("text"), F.lower(text).alias("low"))
+
+
+def ticker_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, symbol, n) of cashtags and hashtags that name a coin."""
+    t = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
+    return t.groupBy("id", "symbol").agg(F.count(F.lit(1)).cast("int").alias("n")).join(symbols, "symbol", "left_semi")
+
+
+def caps_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, symbol) of upper-case title words that name a coin."""
+    caps = F.array_distinct(F.regexp_extract_all("title", F.lit(LEFT + "([A-Z]{3,6})" + RIGHT), F.lit(1)))
+    c = exploded(p, F.array_except(caps, F.array(*[F.lit(w) for w in BLACKLIST])), "symbol", "id")
+    return c.join(symbols, "symbol", "left_semi").select("id", "symbol")
 
 
 def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -> DataFrame:
     """(id, coin_symbol, coin_name, mention_count, context) for posts (id, title, body).
 
     ``strict`` is for sources with much small talk: cashtags and long aliases only.
+
+    Only ids and words are joined to the aliases; the candidates of a post come
+    back to it as one array, and places, context and gate are worked out inside
+    that row. A text is never copied per word or candidate, and is moved at
+    most once, when AQE does not broadcast the candidates.
     """
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-    p = posts.select("id", title.alias("title"), F.concat(title, F.lit("\n"), body).alias("text"))
+    p = post_texts(posts)
     names = coins.groupBy(F.upper("symbol").alias("symbol")).agg(F.max("name").alias("coin_name"))
     symbols = names.select("symbol")
     dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
 
-    ticks = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
-    ticks = ticks.join(symbols, "symbol", "left_semi").groupBy("id", "symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))
-    cand = exploded(p, words, "key", "id").join(dim.where("key IS NOT NULL"), "key")
-    none = F.lit(None)
-    rows = ticks.select("id", "symbol", F.lit("tick").alias("kind"), none.cast("string").alias("alias"), F.lit(0).alias("idx"), "n")
-    rows = rows.unionByName(cand.select("id", "symbol", F.lit("alias").alias("kind"), "alias", "idx", F.lit(1).alias("n")))
-    if not strict:
-        caps = F.array_distinct(F.regexp_extract_all("title", F.lit(LEFT + "([A-Z]{2,10})" + RIGHT), F.lit(1)))
-        c = exploded(p, caps, "symbol", "id").where(F.char_length("symbol").between(3, 6) & ~F.col("symbol").isin(BLACKLIST))
-        c = c.join(symbols, "symbol", "left_semi")
-        rows = rows.unionByName(c.select("id", "symbol", F.lit("caps").alias("kind"), none.cast("string").alias("alias"), F.lit(0).alias("idx"), F.lit(1).alias("n")))
+    words = F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z0-9_]+)"), F.lit(1)))
+    cand = exploded(p, words, "key", "id").join(dim.where("key IS NOT NULL"), "key").select("id", "symbol", "alias", "idx")
+    # aliases without an ASCII word meet the posts on their first three characters
+    wordless = dim.where("key IS NULL").select("symbol", "alias", "idx", F.substring("alias", 1, MIN_ALIAS).alias("gram"))
+    other = exploded(p, grams(F.col("low"), r"[^\sa-z0-9_]"), "gram", "id")
+    cand = cand.unionByName(other.join(wordless, "gram").select("id", "symbol", "alias", "idx"))
 
-    # one row per post with its candidates, so the text is shuffled once and only for posts that have any
+    none = F.lit(None).cast("string")
+    rows = cand.select("id", "symbol", F.lit("alias").alias("kind"), "alias", "idx", F.lit(1).alias("n"))
+    rows = rows.unionByName(ticker_rows(p, symbols).select("id", "symbol", F.lit("tick").alias("kind"), none.alias("alias"), F.lit(0).alias("idx"), "n"))
+    if not strict:
+        rows = rows.unionByName(caps_rows(p, symbols).select("id", "symbol", F.lit("caps").alias("kind"), none.alias("alias"), F.lit(0).alias("idx"), F.lit(1).alias("n")))
     per_post = rows.groupBy("id").agg(F.collect_list(F.struct("symbol", "kind", "alias", "idx", "n")).alias("c"))
-    j = p.join(per_post, "id").select("id", "title", "text", F.lower("text").alias("low"), "c")
-    j = j.select("id", "title", "text", "low", F.explode("c").alias("c")).select("id", "title", "text", "low", "c.*")
-    text, low = F.col("text"), F.col("low")
-    alias, sym = F.col("alias"), F.col("symbol")
-    j = j.withColumn("at", F.when(F.col("kind") == "alias", alias_at(low, alias)).when(
-        F.col("kind") == "tick", F.regexp_instr(text, F.concat(F.lit(r"(?i)[$#]"), sym, F.lit(RIGHT))) - 1))
-    ambiguous = sym.isin(AMBIGUOUS)
-    starts = F.when(ambiguous, F.filter(word_starts(F.col("title"), sym), lambda s: in_context(low, s, F.char_length(sym)))).otherwise(
-        word_starts(F.col("title"), sym))
-    caps_at = F.when(F.col("kind") == "caps", F.try_element_at(starts, F.lit(1)))
-    gated = (F.char_length(alias) <= 4) & ambiguous
-    j = j.withColumns({
-        "hit": F.when(F.col("kind") == "caps", caps_at.isNotNull()).otherwise(F.col("at") >= 0),
-        "sure": F.when(F.col("kind") == "alias", ~gated | in_context(low, F.col("at"), F.char_length(alias))).otherwise(F.lit(True)),
-        "ctx": F.when(F.col("kind") == "alias", snippet(text, F.col("at"), F.char_length(alias)))
-        .when(F.col("kind") == "caps", snippet(F.col("title"), caps_at, F.char_length(sym)))
-        .otherwise(snippet(text, F.col("at"), F.char_length(sym) + 1)),
-    })
+    j = p.join(per_post, "id")
+
+    text, low, title = F.col("text"), F.col("low"), F.col("title")
+
+    def placed(c: Column) -> Column:
+        """Kind, place, certainty and context of one candidate; place null for a miss."""
+        sym, alias = c["symbol"], c["alias"]
+        ambiguous = sym.isin(*AMBIGUOUS)
+        starts = word_starts(title, sym)
+        starts = F.when(ambiguous, F.filter(starts, lambda s: in_context(low, s, F.char_length(sym)))).otherwise(starts)
+        at = F.when(c["kind"] == "alias", alias_at(low, alias)).when(c["kind"] == "caps", F.coalesce(F.get(starts, F.lit(0)), F.lit(-1))).otherwise(
+            F.regexp_instr(text, F.concat(F.lit(r"(?i)[$#]"), sym, F.lit(RIGHT))) - 1)
+
+        def described(at: Column) -> Column:
+            gated = (F.char_length(alias) <= 4) & ambiguous
+            sure = F.when(c["kind"] == "alias", ~gated | in_context(low, at, F.char_length(alias))).otherwise(F.lit(True))
+            ctx = F.when(c["kind"] == "alias", snippet(text, at, F.char_length(alias))).when(
+                c["kind"] == "caps", snippet(title, at, F.char_length(sym))).otherwise(snippet(text, at, F.char_length(sym) + 1))
+            return F.when(at >= 0, F.struct(sym.alias("symbol"), c["kind"].alias("kind"), c["idx"].alias("idx"), c["n"].alias("n"), sure.alias("sure"), ctx.alias("ctx")))
+
+        return let(at, described)
+
+    j = j.select("id", F.array_compact(F.transform("c", placed)).alias("hits"))
+    # small rows from here on: no text
+    h = j.select("id", F.explode("hits").alias("h")).select("id", "h.*")
     item = F.struct("idx", "sure", "ctx")
 
-    def when(kind: str, value: Column) -> Column:
-        return F.when(F.col("hit") & (F.col("kind") == kind), value)
+    def of(kind: str, value: Column) -> Column:
+        return F.when(F.col("kind") == kind, value)
 
-    # misses drop out in the aggregate: a filter here would run the search a second time
-    g = j.groupBy("id", "symbol").agg(
-        F.coalesce(F.sum(when("tick", F.col("n"))), F.lit(0)).alias("ticks"), F.max(when("tick", F.col("ctx"))).alias("tick_ctx"),
-        F.array_sort(F.collect_list(when("alias", item))).alias("al"), F.max(when("caps", F.col("ctx"))).alias("caps_ctx"),
+    g = h.groupBy("id", "symbol").agg(
+        F.coalesce(F.sum(of("tick", F.col("n"))), F.lit(0)).alias("ticks"), F.max(of("tick", F.col("ctx"))).alias("tick_ctx"),
+        F.array_sort(F.collect_list(of("alias", item))).alias("al"), F.max(of("caps", F.col("ctx"))).alias("caps_ctx"),
     )
     # an alias in doubt is accepted once something before it named the coin
     first_sure = F.array_min(F.transform(F.filter("al", lambda a: a["sure"]), lambda a: a["idx"]))
@@ -176,45 +204,28 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
     )
 
 
-def substring_hits(text: Column, aliases: list[str]) -> Column:
-    """Aliases contained anywhere in a lower-case text, by one automaton pass per text."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        try:
-            import ahocorasick
+def grams(text: Column, first: str = ".", n: int = MIN_ALIAS) -> Column:
+    """Distinct runs of ``n`` characters of a text that begin with a character of the pattern ``first``."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}.{{{n - 1}}}))"), F.lit(1)))
 
-            machine = ahocorasick.Automaton()
-            for a in aliases:
-                machine.add_word(a, a)
-            machine.make_automaton()
-            return texts.map(lambda t: sorted({a for _, a in machine.iter(t or "")}))
-        except ImportError:
-            return texts.map(lambda t: [a for a in aliases if a in (t or "")])
 
-    return run(text)
-
-
-def extract_mentions_loose(posts: DataFrame, coins: DataFrame, limit_chars: int = 16_000_000) -> DataFrame:
+def extract_mentions_loose(posts: DataFrame, coins: DataFrame) -> DataFrame:
     """Chat form: aliases match as substrings, without boundaries or context tests.
 
-    The alias list goes to the tasks as a value, so its size is checked.
+    A text contains an alias only if it contains the alias's first three
+    characters; posts and aliases meet on those, as ids and grams only, and each
+    post then tests its few candidates in its own row.
     """
-    dim = alias_dim(coins).where(F.char_length("alias") >= MIN_ALIAS)
-    names = dim.select("alias").distinct()
-    if (names.agg(F.sum(F.char_length("alias"))).first()[0] or 0) > limit_chars:
-        raise ValueError("alias table too large for the substring form; use extract_mentions")
-    aliases = sorted(r.alias for r in names.collect())
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-    p = posts.select("id", title.alias("title"), F.concat(title, F.lit("\n"), body).alias("text"))
+    dim = alias_dim(coins).where(F.char_length("alias") >= MIN_ALIAS).select("symbol", "alias", F.substring("alias", 1, MIN_ALIAS).alias("gram"))
+    p = post_texts(posts)
     symbols = coins.select(F.upper("symbol").alias("symbol")).distinct()
-    ticks = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
-    ticks = ticks.join(symbols, "symbol", "left_semi").groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    found = exploded(p, substring_hits(F.lower("text"), aliases), "alias", "id").join(dim.select("alias", "symbol", "idx"), "alias")
-    found = found.groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    caps = F.array_distinct(F.regexp_extract_all("title", F.lit(LEFT + "([A-Z]{3,6})" + RIGHT), F.lit(1)))
-    c = exploded(p, caps, "symbol", "id").where(~F.col("symbol").isin(BLACKLIST)).join(symbols, "symbol", "left_semi")
-    rows = ticks.withColumn("k", F.lit(0)).unionByName(found.withColumn("k", F.lit(0))).unionByName(c.withColumns({"n": F.lit(1), "k": F.lit(1)}))
+    # one row per gram that an alias starts with
+    heads = dim.groupBy("gram").agg(F.collect_list(F.struct("symbol", "alias")).alias("c"))
+    near = exploded(p, grams(F.col("low")), "gram", "id").join(heads, "gram").groupBy("id").agg(F.flatten(F.collect_list("c")).alias("c"))
+    hits = p.join(near, "id").select("id", F.filter("c", lambda c: F.contains(F.col("low"), c["alias"])).alias("hits"))
+    found = hits.select("id", F.explode("hits").alias("h")).groupBy("id", F.col("h.symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    rows = ticker_rows(p, symbols).select("id", "symbol", F.col("n").cast("long").alias("n"), F.lit(0).alias("k")).unionByName(found.withColumn("k", F.lit(0)))
+    rows = rows.unionByName(caps_rows(p, symbols).withColumns({"n": F.lit(1).cast("long"), "k": F.lit(1)}))
     g = rows.groupBy("id", "symbol").agg(F.sum(F.when(F.col("k") == 0, F.col("n"))).alias("n"))
     return g.select("id", F.col("symbol").alias("coin_symbol"), F.coalesce("n", F.lit(1)).cast("int").alias("mention_count"))
 

@@ -12,6 +12,7 @@ from tidemark.functions.dom import page_elements, page_items, page_text
 from tidemark.functions.text import preview
 from tidemark.operators.keyed import first_per_key, top_k
 from tidemark.semantics import col, js_trim, ratio
+from tidemark.session import cut_lineage
 
 PER_SOURCE = 3
 MIN_TITLE_KEY = 10
@@ -119,16 +120,23 @@ def duplicate_groups(articles: DataFrame) -> DataFrame:
     return n.groupBy("title_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_name").alias("sources")).where("n >= 2")
 
 
+def title_digests(articles: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, digest of the normalised title), for titles long enough to compare; each title is normalised once."""
+    key = F.when(F.char_length("_title") >= MIN_TITLE_KEY, F.sha2("_title", 256))
+    n = articles.select(*keep, T.normalize_title("title").alias("_title")).select(*keep, key.alias("title_digest"))
+    return cut_lineage(n.where("title_digest IS NOT NULL"))
+
+
 def duplicates_to_remove(articles: DataFrame, ts: str = "crawled_at") -> DataFrame:
-    """All but the oldest article of each duplicate title.
+    """(id, title_digest) of all but the oldest article of each duplicate title.
 
-    The keeper per title is a min that combines map side; the rest is an anti
-    join on the unique id, so a title that a third of all rows share is no
-    hot key.
+    Only ids, times and digests are stored and shuffled. The keeper per title is a
+    min that combines map side; the rest is an anti join on the unique
+    id, so a title that a third of all rows share is no hot key.
     """
-    n = articles.withColumn("title_key", T.normalize_title("title")).where(F.char_length("title_key") >= MIN_TITLE_KEY)
-    keep = n.groupBy("title_key").agg(F.min_by("id", F.struct(ts, "id")).alias("id")).select("id")
-    return n.join(keep, "id", "left_anti")
+    n = title_digests(articles, "id", ts)
+    keep = n.groupBy("title_digest").agg(F.min_by("id", F.struct(ts, "id")).alias("id")).select("id")
+    return n.join(keep, "id", "left_anti").select("id", "title_digest")
 
 
 # --- pages -------------------------------------------------------------------------

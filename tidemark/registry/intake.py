@@ -9,7 +9,7 @@ from tidemark.operators.keyed import first_per_key
 from tidemark.plans import phases
 from tidemark.plans import signals as G
 from tidemark.registry.base import AS_OF, query
-from tidemark.registry.feed import NAMES, PATH, SEG, TAGS_SQL, cats, tagged
+from tidemark.registry.feed import NAMES, PATH, SEG, TAGS_SQL, cats, tagged, trim_
 from tidemark.semantics import js_round
 from tidemark.session import cut_lineage
 from tidemark.sources import exports as E
@@ -25,15 +25,15 @@ def us(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-# --- P1: coins are the most frequent words of the documents ----------------------
+# --- P1: coins are the words of the documents that occur often enough ----------------------
 
-COIN_SQL = """SELECT upper(w) AS symbol, 'the ' || w AS name, w, row_number() OVER (ORDER BY n DESC, w) AS rn FROM (
- SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS w FROM documents) a WHERE length(w) BETWEEN 4 AND 8 GROUP BY 1) b QUALIFY rn <= 60"""
+COIN_SQL = """SELECT upper(w) AS symbol, 'the ' || w AS name, w FROM (
+ SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS w FROM documents) a WHERE length(w) BETWEEN 4 AND 8 GROUP BY 1) b WHERE n >= 40"""
 
 
 def text_coins(t):
     w = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).where(F.char_length("w").between(4, 8))
-    top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(60)
+    top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 40")
     # coins are a stored table in practice; keep the derived one from being counted again per use
     return cut_lineage(top.select(F.upper("w").alias("symbol"), F.concat(F.lit("the "), "w").alias("name")))
 
@@ -72,7 +72,19 @@ def p1s(t):
     return M.extract_mentions(text_posts(t), text_coins(t), strict=True).select("id", "coin_symbol", "mention_count")
 
 
-@query("h16_mention_context")
+def around(at, n):
+    return f"substr(full_text, greatest({at} - 30, 0) + 1, least({at} + {n} + 30, length(full_text)) - greatest({at} - 30, 0))"
+
+
+@query("h16_mention_context", rf"""
+WITH coins AS MATERIALIZED ({COIN_SQL}), posts AS MATERIALIZED (SELECT id, lower(title || chr(10) || body) AS low, title || chr(10) || body AS full_text FROM ({POST_SQL}) p),
+named AS (SELECT d.id, c.symbol, c.name, c.w FROM (SELECT DISTINCT id, unnest(regexp_extract_all(low, '([a-z0-9_]+)', 1)) AS w FROM posts) d JOIN coins c ON c.w = d.w),
+tk AS (SELECT DISTINCT id, upper(s) AS symbol FROM (SELECT id, unnest(regexp_extract_all(full_text, '[$#]([A-Za-z]{{2,10}})', 1)) AS s FROM posts) a),
+hit AS (SELECT coalesce(n.id, t.id) AS id, coalesce(n.symbol, t.symbol) AS symbol, n.name, n.w, t.id IS NOT NULL AS tick FROM named n FULL JOIN (SELECT tk.* FROM tk JOIN coins USING (symbol)) t ON t.id = n.id AND t.symbol = n.symbol),
+pl AS (SELECT h.*, p.full_text, length(regexp_extract(p.full_text, '(?is)^(.*?)[$#]' || h.symbol || '', 1)) AS at_tick,
+  length(regexp_extract(p.low, '(?s)^(.*?)' || h.name || '', 1)) AS at_name, regexp_matches(p.low, '' || h.name || '') AS has_name, length(regexp_extract(p.low, '(?s)^(.*?)' || h.w || '', 1)) AS at_word
+  FROM hit h JOIN posts p ON p.id = h.id)
+SELECT id, symbol AS coin_symbol, nullif({trim_("replace(CASE WHEN tick THEN " + around("at_tick", "length(symbol) + 1") + " WHEN has_name THEN " + around("at_name", "length(name)") + " ELSE " + around("at_word", "length(w)") + " END, chr(10), ' ')")}, '') AS context FROM pl""")
 def h16(t):
     return M.extract_mentions(text_posts(t), text_coins(t)).select("id", "coin_symbol", "context")
 
