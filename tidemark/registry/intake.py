@@ -79,10 +79,10 @@ def around(at, n):
 @query("h16_mention_context", rf"""
 WITH coins AS MATERIALIZED ({COIN_SQL}), posts AS MATERIALIZED (SELECT id, lower(title || chr(10) || body) AS low, title || chr(10) || body AS full_text FROM ({POST_SQL}) p),
 named AS (SELECT d.id, c.symbol, c.name, c.w FROM (SELECT DISTINCT id, unnest(regexp_extract_all(low, '([a-z0-9_]+)', 1)) AS w FROM posts) d JOIN coins c ON c.w = d.w),
-tk AS (SELECT DISTINCT id, upper(s) AS symbol FROM (SELECT id, unnest(regexp_extract_all(full_text, '[$#]([A-Za-z]{{2,10}})', 1)) AS s FROM posts) a),
+tk AS (SELECT DISTINCT id, upper(s) AS symbol FROM (SELECT id, unnest(regexp_extract_all(full_text, '[$#]([A-Za-z]{{2,10}})\b', 1)) AS s FROM posts) a),
 hit AS (SELECT coalesce(n.id, t.id) AS id, coalesce(n.symbol, t.symbol) AS symbol, n.name, n.w, t.id IS NOT NULL AS tick FROM named n FULL JOIN (SELECT tk.* FROM tk JOIN coins USING (symbol)) t ON t.id = n.id AND t.symbol = n.symbol),
-pl AS (SELECT h.*, p.full_text, length(regexp_extract(p.full_text, '(?is)^(.*?)[$#]' || h.symbol || '', 1)) AS at_tick,
-  length(regexp_extract(p.low, '(?s)^(.*?)' || h.name || '', 1)) AS at_name, regexp_matches(p.low, '' || h.name || '') AS has_name, length(regexp_extract(p.low, '(?s)^(.*?)' || h.w || '', 1)) AS at_word
+pl AS (SELECT h.*, p.full_text, length(regexp_extract(p.full_text, '(?is)^(.*?)[$#]' || h.symbol || '\b', 1)) AS at_tick,
+  length(regexp_extract(p.low, '(?s)^(.*?)\b' || h.name || '\b', 1)) AS at_name, regexp_matches(p.low, '\b' || h.name || '\b') AS has_name, length(regexp_extract(p.low, '(?s)^(.*?)\b' || h.w || '\b', 1)) AS at_word
   FROM hit h JOIN posts p ON p.id = h.id)
 SELECT id, symbol AS coin_symbol, nullif({trim_("replace(CASE WHEN tick THEN " + around("at_tick", "length(symbol) + 1") + " WHEN has_name THEN " + around("at_name", "length(name)") + " ELSE " + around("at_word", "length(w)") + " END, chr(10), ' ')")}, '') AS context FROM pl""")
 def h16(t):
