@@ -94,13 +94,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(bags: Bags, toxic: np.ndarray, rounds: int, epochs: int, rate: float, scale: float, seed: int) -> tuple[np.ndarray, float]:
+def fit(bags: Bags, toxic: np.ndarray, rounds: int, epochs: int, rate: float, scale: float, seed: int, share: float = 0.2, floor: float = 1e-4) -> tuple[np.ndarray, float]:
     """Worth of each bucket and bias.
 
     A text's label says that some window of it is toxic.  The first round
     takes all windows of toxic texts as positive, each later one the window of
-    each toxic text that the model so far finds most toxic.  Adam's epsilon is large, so
-    that buckets seen in few windows stay near zero.
+    each toxic text that the model so far finds most toxic.  Positive windows
+    have the share ``share`` of all weight, so unknown words count as clean.  Adam's
+    epsilon ``floor`` is large, so that buckets seen in few windows stay near zero.
     """
     doc = np.repeat(np.arange(len(toxic)), bags.many)
     size = np.maximum(bags.windows(np.ones(BUCKETS)), LEAST_GRAMS)
@@ -114,7 +115,7 @@ def fit(bags: Bags, toxic: np.ndarray, rounds: int, epochs: int, rate: float, sc
             z = bags.windows(e @ (w[1] - w[0])) / size
             positive = toxic[doc] & (z == np.maximum.reduceat(z, first)[doc])
             used = positive | ~toxic[doc]
-        weight = np.where(positive, 0.5 / positive.sum(), 0.5 / (used & ~positive).sum()) * used
+        weight = np.where(positive, share / positive.sum(), (1 - share) / (used & ~positive).sum()) * used
         state = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, bias)]
         for t in range(1, epochs + 1):
             z = scale * bags.windows(e @ (w[1] - w[0])) / size + (bias[1] - bias[0])
@@ -125,7 +126,7 @@ def fit(bags: Bags, toxic: np.ndarray, rounds: int, epochs: int, rate: float, sc
             for x, g, (m, v) in zip((e, w, bias), grads, state, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 3e-4)
+                x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + floor)
     return (scale * (e @ (w[1] - w[0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
