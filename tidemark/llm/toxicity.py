@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple
@@ -35,7 +36,8 @@ class Model(NamedTuple):
 def word_buckets(word: str) -> list[int]:
     """Hash buckets of a word and its character n-grams, word ends marked; punctuation around the word is left out."""
     w = "<" + word.strip("\"'`.,;:!?()[]{}*_-~|&$%#<>/\\") + ">"
-    return [zlib.crc32(g.encode()) % BUCKETS for g in {w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))}]
+    crc, last = zlib.crc32, BUCKETS - 1
+    return [crc(g.encode()) & last for g in {w, *[w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]}]
 
 
 def words_of(text: str) -> list[str]:
@@ -175,29 +177,34 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
 
 
 class WordWorth(dict):
-    """Index of a word's (sum of worth, number of grams) as a worker meets words; emptied when it has ``most`` entries."""
+    """Place of a word in the sums of worth and numbers of grams of the words a worker has met; emptied at ``most`` entries."""
 
-    def __init__(self, worth: np.ndarray, most: int = 400_000):
-        self.worth, self.most, self.sums, self.counts = worth, most, [], []
+    def __init__(self, worth: np.ndarray, most: int = 800_000):
+        self.worth, self.most, self.sums, self.counts = worth.tolist(), most, array("d"), array("d")
 
     def __missing__(self, word: str) -> int:
         b = word_buckets(word)
         self[word] = n = len(self.sums)
-        self.sums.append(float(self.worth[b].sum()))
+        self.sums.append(sum([self.worth[i] for i in b]))
         self.counts.append(len(b))
         return n
 
+    def places(self, text: str) -> np.ndarray:
+        """Places of the words of a text, as ``words_of`` has them."""
+        words = text.lower().split() or [""]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return at[np.append(True, at[1:] != at[:-1])]
+
 
 def largest_windows(values: list[str], model: Model, memo: WordWorth) -> np.ndarray:
     """Logit of the most toxic window of each text."""
     if len(memo) > memo.most:
         memo.clear()
-        memo.sums, memo.counts = [], []
-    words = [words_of(x) for x in values]
-    flat = np.array([i for ws in words for i in map(memo.__getitem__, ws)], dtype=np.int64)
-    starts, many = halves(np.array([len(w) for w in words]))
-    s = paired(np.add.reduceat(np.array(memo.sums)[flat], starts), many)
-    n = paired(np.add.reduceat(np.array(memo.counts)[flat], starts), many)
+        memo.sums, memo.counts = array("d"), array("d")
+    places = [memo.places(x) for x in values]
+    flat = np.concatenate(places)
+    starts, many = halves(np.array([len(x) for x in places]))
+    s, n = (paired(np.add.reduceat(np.frombuffer(x)[flat], starts), many) for x in (memo.sums, memo.counts))
     return np.maximum.reduceat(s / np.maximum(n, LEAST_GRAMS), np.cumsum(many) - many) + model.bias
 
 
