@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
 from tidemark.semantics import at, ago, js_trim
+from tidemark.session import cut_lineage
 
 # Allowed relations, their end types, and the fixed narrative clusters.
 GRAMMAR = {
@@ -164,20 +165,19 @@ def co_mentions(mentions: DataFrame, min_weight: int = 3) -> DataFrame:
 
     Posts with the same coin set are counted once with a multiplicity, and coins
     seen in fewer than ``min_weight`` multi-coin posts cannot reach the weight
-    and are dropped first; only then are a set's pairs listed. A set holds
-    distinct coins, so it is no larger than the coin table.
+    and are dropped first; only then is a set joined to itself. At ``min_weight``
+    1 the result is all pairs by definition.
     """
     pc = mentions.select("post_id", "coin_symbol").distinct()
     sets = pc.groupBy("post_id").agg(F.array_sort(F.collect_set("coin_symbol")).alias("coins")).where(F.size("coins") >= 2)
     sets = sets.groupBy("coins").agg(F.count(F.lit(1)).alias("n"))
     often = sets.select(F.explode("coins").alias("coin_symbol"), "n").groupBy("coin_symbol").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_weight)
-    kept = (
-        sets.withColumn("_id", F.xxhash64("coins")).select("_id", "coins", "n", F.explode("coins").alias("coin_symbol"))
+    of_set = cut_lineage(
+        sets.select(F.md5(F.array_join("coins", "|")).alias("_set"), "n", F.explode("coins").alias("coin_symbol"))
         .join(often.select("coin_symbol"), "coin_symbol", "left_semi")
-        .groupBy("_id", "coins", "n").agg(F.array_sort(F.collect_set("coin_symbol")).alias("kept"))
     )
-    first = kept.select("n", "kept", F.posexplode("kept").alias("i", "src"))
-    pairs = first.select("n", "src", F.explode(F.slice("kept", F.col("i") + 2, F.size("kept"))).alias("tgt"))
+    src, tgt = (of_set.select("_set", "n", F.col("coin_symbol").alias(c)) for c in ("src", "tgt"))
+    pairs = src.join(tgt.drop("n"), "_set").where("src < tgt")
     return pairs.groupBy("src", "tgt").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_weight)
 
 
@@ -204,11 +204,16 @@ def relation(df: DataFrame, kind: str, src: Column, tgt: Column, weight: Column,
 def refresh(
     mentions: DataFrame, posts: DataFrame, sentiments: DataFrame, outputs: DataFrame, fixed: DataFrame, as_of, names: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """New entities and relations of one run, ready for upsert."""
-    coins = coin_entities(mentions, posts, as_of, names)
-    infl = influencer_entities(posts, as_of)
-    members = narrative_coins(outputs, mentions, as_of, fixed)
-    ev = event_coins(outputs, as_of)
+    """New entities and relations of one run, ready for upsert.
+
+    What several entity and edge kinds share is worked out once and stored: the
+    day's outputs, the coins, the influencers, the narrative members and the events.
+    """
+    outputs = cut_lineage(outputs.where(F.col("created_at") >= ago(as_of, 86400)))
+    coins = cut_lineage(coin_entities(mentions, posts, as_of, names))
+    infl = cut_lineage(influencer_entities(posts, as_of))
+    members = cut_lineage(narrative_coins(outputs, mentions, as_of, fixed))
+    ev = cut_lineage(event_coins(outputs, as_of))
     entities = coins.unionByName(infl).unionByName(narrative_entities(members)).unionByName(event_entities(ev))
     entities = entities.withColumn("last_seen_at", at(as_of))
 
@@ -217,7 +222,7 @@ def refresh(
     co = co_mentions(mentions.where(F.col("created_at") >= ago(as_of, 86400)))
     co = co.join(ids.select(F.col("symbol").alias("src"), F.col("coin_id").alias("a")), "src").join(
         ids.select(F.col("symbol").alias("tgt"), F.col("coin_id").alias("b")), "tgt")
-    ip = influencer_posts(posts, mentions, sentiments, infl, as_of).join(by_coin, "coin_symbol")
+    ip = cut_lineage(influencer_posts(posts, mentions, sentiments, infl, as_of).join(by_coin, "coin_symbol"))
     latest = F.struct("posted_at", "post_id")
     said = ip.groupBy("author", "coin_id").agg(F.max_by("score", latest).alias("score"))
     rec = ip.where((F.col("sentiment_label") == "bullish") & (F.col("confidence") > 0.7)).groupBy("author", "coin_id").agg(
