@@ -19,19 +19,14 @@ from tidemark.semantics import col
 from tidemark.session import cut_lineage
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, an upper bound for scans, filters and projections."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, bytes_per_task: int = 32 * 1024 * 1024) -> DataFrame:
-    """Rows over all cores when a small input would leave most of them idle; nothing to do for inputs of many splits.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than cores, dealt to all cores; tables of many files are left alone.
 
     For per-row work that is heavy on the CPU: one parquet row group is one
     task, however long its texts take.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if plan_bytes(df) < n * bytes_per_task else df
+    return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
 def exploded(df: DataFrame, array: Column, name: str, *keep, pos: str | None = None) -> DataFrame:
@@ -204,10 +199,15 @@ def asof_first_ticks(
     merged = t.withColumn("_tick", F.lit(1)).unionByName(
         starts.withColumn("_v", F.lit(None).cast("double")).withColumn("_tick", F.lit(0))
     )
-    ranked = row_numbers(merged, ["_k"], [F.col("_t"), F.col("_tick"), F.col("_v")], "_all")
-    asked = row_numbers(ranked.where("_tick = 0").select("_k", "_t", "_all"), ["_k"], [F.col("_t")], "_probe_no")
-    pos = asked.select("_k", F.col("_t").alias("_from"), (F.col("_all") - F.col("_probe_no")).alias("_ticks_before"))
-    tick_rank = row_numbers(t, ["_k"], [F.col("_t"), F.col("_v")], "_rn")
+    # one sorted pass: the running number of ticks ranks each tick and counts the ticks before each start
+    s = sorted_parts(merged, ["_k"], [F.col("_t"), F.col("_tick"), F.col("_v")])
+    local = s.groupBy("_part", "_k").agg(F.sum("_tick").alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = local.select("_part", "_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    here = Window.partitionBy("_part", "_k").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = s.withColumn("_cum", F.sum("_tick").over(here)).join(offs, ["_part", "_k"]).withColumn("_cum", F.col("_off") + F.col("_cum"))
+    tick_rank = ranked.where("_tick = 1").select("_k", F.col("_cum").alias("_rn"), "_t", "_v")
+    pos = ranked.where("_tick = 0").select("_k", F.col("_t").alias("_from"), F.col("_cum").alias("_ticks_before"))
     look = pos.withColumn("_rn", F.explode(F.sequence(F.col("_ticks_before") + 1, F.col("_ticks_before") + first)))
     cand = look.join(tick_rank, ["_k", "_rn"]).where(F.col("_t") <= F.col("_from") + 2 * tol)
     best = cand.groupBy("_k", "_from").agg(

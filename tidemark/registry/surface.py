@@ -35,8 +35,8 @@ def h38(t):
 SELECT signal_label, signal_type, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(total) AS BIGINT) AS total FROM (SELECT signal_label, signal_type, lookup_window, count(*) FILTER (WHERE hit) AS wins, count(*) FILTER (WHERE evaluated_at IS NOT NULL) AS total
  FROM v_backtest GROUP BY 1, 2, 3) x GROUP BY 1, 2""")
 def x3(t):
-    B.summary_view(t.v_backtest).createOrReplaceTempView("backtest_summary")
-    return t.spark.sql("SELECT signal_label, signal_type, sum(wins) AS wins, sum(total_evaluated) AS total FROM backtest_summary GROUP BY signal_label, signal_type")
+    view = B.summary_view(t.v_backtest)
+    return t.spark.sql("SELECT signal_label, signal_type, sum(wins) AS wins, sum(total_evaluated) AS total FROM {view} GROUP BY signal_label, signal_type", view=view)
 
 
 @query("x4_list_strategies")
