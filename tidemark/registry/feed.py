@@ -360,9 +360,18 @@ def h49b(t):
     return t.pages.select("page_id", P.body_text("html").alias("body"))
 
 
-@query("h49_invalid_reason")
+DATES_SQL = r"""list_transform(regexp_extract_all(html, '\d{4}[-./]\d{1,2}[-./]\d{1,2}'), lambda s: CAST(make_date(CAST(regexp_split_to_array(s, '[-./]')[1] AS INT), 1, 1)
+  + to_months(CAST(regexp_split_to_array(s, '[-./]')[2] AS INT) - 1) AS DATE) + CAST(regexp_split_to_array(s, '[-./]')[3] AS INT) - 1)"""
+
+
+@query("h49_invalid_reason", f"""SELECT page_id, CASE WHEN contains(html, '서비스가 종료') THEN 'closed' WHEN length(body) < 200 THEN 'empty' WHEN regexp_matches(lower(regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1)), '\\b(404|not found|error)\\b') THEN 'error'
+ WHEN list_max(list_filter({DATES_SQL}, lambda d: d <= DATE '2024-01-30' AND d >= DATE '2000-01-01')) < DATE '2023-07-30' THEN 'stale' WHEN contains(html, 'CAPTCHA') THEN 'blocked'
+ WHEN page_id % 7 = 3 AND len(regexp_extract_all(html, '(?i)<article[\\s>]')) < 3 THEN 'not_a_list' END AS reason FROM (
+ SELECT page_id, html, {BODY} AS body FROM (SELECT page_id, replace(html, '</body>', CASE page_id % 7 WHEN 0 THEN ' posted 2020-02-03 ' WHEN 1 THEN ' CAPTCHA ' WHEN 2 THEN ' 서비스가 종료 ' ELSE '' END || '</body>') AS html FROM pages) a) b""")
 def h49(t):
-    return t.pages.select("page_id", P.invalid_reason("html", "url", AS_OF).alias("reason"))
+    piece = F.coalesce(F.get(F.array(F.lit(" posted 2020-02-03 "), F.lit(" CAPTCHA "), F.lit(" 서비스가 종료 ")), (F.col("page_id") % 7).cast("int")), F.lit(""))
+    p = t.pages.select("page_id", F.replace("html", F.lit("</body>"), F.concat(piece, F.lit("</body>"))).alias("html"), F.when(F.col("page_id") % 7 == 3, "https://x.example.com/").otherwise("https://x.example.com/blog").alias("url"))
+    return p.select("page_id", P.invalid_reason("html", "url", AS_OF).alias("reason"))
 
 
 @query("h50_sniff", """SELECT page_id, regexp_matches(substr(html, 1, 2048), '(?i)<rss|<feed|<channel') AS is_feed FROM (

@@ -441,7 +441,17 @@ def feed(t):
     return E.feed_rows(blog(t), a, "https://x.example.com", F.lit(AS_OF).cast("timestamp"))
 
 
-@query("s26_feed_xml")
+def esc(x):
+    for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")]:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@query("s26_feed_xml", f"""SELECT part, tie, '<item><title>' || {esc('title')} || '</title><link>' || {esc('link')} || '</link><guid isPermaLink="true">' || {esc('link')} || '</guid><pubDate>' || strftime(pub, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate>'
+  || coalesce('<description>' || {esc('description')} || '</description>', '') || coalesce('<category>' || {esc('category')} || '</category>', '') || '</item>' AS xml FROM (
+ SELECT * FROM (SELECT 0 AS part, 'post-' || doc_id AS tie, split_part(text, '.', 1) AS title, 'https://x.example.com/ko/blog/post-' || doc_id AS link, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS pub, source AS description, '블로그' AS category
+  FROM documents WHERE n_chars > 500 AND lang = 'en' ORDER BY doc_id DESC LIMIT 10) a
+ UNION ALL SELECT * FROM (SELECT 1, CAST(id AS VARCHAR), coalesce(nullif(title, ''), 'Untitled'), 'https://x.example.com/ko/articles/' || id, crawled_at, nullif(summary, ''), nullif(category, '') FROM v_articles WHERE is_active ORDER BY crawled_at DESC, id LIMIT 20) b) c""")
 def s26x(t):
     return E.feed_items(feed(t))
 
