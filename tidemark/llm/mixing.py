@@ -138,13 +138,20 @@ def mix_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns."""
-    row, copies, copy = free_name(docs, "row_key"), free_name(docs, "n_copies"), free_name(docs, "copy_no")
-    # rows that repeat an id and text share their copies
-    taken = mix_copies(docs, weights, most).groupBy("doc_id", "row").agg(F.collect_list("copies").alias("copies"))
-    taken = taken.select(F.col("doc_id").alias("doc_id"), F.col("row").alias(row), F.col("copies").alias(copies))
-    keyed = docs.withColumn(row, F.xxhash64("text"))
-    rank = free_name(docs, "same_no")
-    same = keyed.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", row).orderBy(F.lit(1))))
-    found = null_safe_join(same, taken, ["doc_id", row]).where(F.get(copies, F.col(rank) - 1) > 0)
-    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.get(copies, F.col(rank) - 1)))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with all its columns.
+
+    Documents are dealt once by id and text; rows that repeat both are numbered and share out their copies.
+    """
+    id_, none, row, rank, copies, copy = (free_name(docs, c) for c in ("id_key", "id_is_null", "row_key", "same_no", "n_copies", "copy_no"))
+    key = [id_, none, row]
+
+    def keyed(df: DataFrame, text_hash: Column) -> DataFrame:
+        """Keys without nulls, so that numbering and join use one partitioning."""
+        return df.withColumns({id_: F.coalesce("doc_id", F.lit(0)), none: F.isnull("doc_id"), row: text_hash})
+
+    taken = keyed(mix_copies(docs.select("doc_id", "text", "source"), weights, most), F.col("row"))
+    taken = stored(taken.groupBy(*key).agg(F.collect_list("copies").alias(copies)), "taken")
+    same = keyed(docs, F.xxhash64("text")).withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    n = F.get(copies, F.col(rank) - 1)
+    found = same.join(taken, key).where(n > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
