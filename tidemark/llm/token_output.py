@@ -74,7 +74,7 @@ class PieceIds(dict):
     Emptied when it has ``most`` entries; the ids do not depend on it.
     """
 
-    def __init__(self, name: str, most: int = 1_200_000):
+    def __init__(self, name: str, most: int = 900_000):
         self.tok, self.most = tokenizer(name), most
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.line_feed = self.whole("\n")
