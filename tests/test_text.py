@@ -113,3 +113,9 @@ def test_page_rules(spark):
     assert (m.title, m.author, m.published) == ("T", "me", "2024-01-01")
     xml = "".join(f"<loc>https://a.com/2024/01/{i}</loc>" for i in range(3)) + "<loc>https://a.com/</loc>"
     assert evaluate(spark, P.is_article_sitemap("x"), [xml, "<loc>https://a.com/</loc>", ""]) == [True, False, False]
+
+
+def test_large_relative_counts(spark):
+    values = ["3000000 minutes ago", "2000 years ago", "999999999999 years ago", "99999999999999999999 days ago"]
+    got = evaluate(spark, F.year(D.parse_date(F.col("x"), "2024-01-30 00:00:00")), values)
+    assert got == [2018, 24, None, None]
