@@ -108,15 +108,17 @@ def a6(t):
     return j.select("coin_symbol", "time_window", js_round(z, 3).alias("z_score"))
 
 
+# what each given phrase must count as, written out: class, change of the score and phrase; all other phrases count as nothing
+EXPECTED_EVENTS = {
+    "exchange_listing": (15, "Binance listing"), "security_incident": (-20, "rug pull"), "whale_buy": (10, "whale buy"), "whale_sell": (-10, "whale dump"),
+    "regulatory_positive": (10, "ETF approved"), "regulatory_negative": (-15, "SEC lawsuit"), "partnership": (8, "Partnership"), "airdrop": (5, "airdrop"),
+}
 FLAG_SQL = ",\n".join(
     "max(CASE WHEN m.created_at >= {t0} - to_hours(w.h) AND ({c}) THEN 1 ELSE 0 END) AS ev_{n}".format(
         t0=T0, n=n, c=" OR ".join(f"k.ev_{n} = 1" for _ in [0]))
-    for n in S.EVENT_CLASSES
-)
-PHRASE_FLAGS = ",\n".join(
-    f"max(CASE WHEN {' OR '.join(f'contains(lower(phrase), {chr(39)}{kw}{chr(39)})' for kw in v[1])} THEN 1 ELSE 0 END) AS ev_{n}"
-    for n, v in S.EVENT_CLASSES.items()
+    for n in EXPECTED_EVENTS
 )
+PHRASE_FLAGS = ",\n".join(f"max(CASE WHEN phrase = '{phrase}' THEN 1 ELSE 0 END) AS ev_{n}" for n, (_, phrase) in EXPECTED_EVENTS.items())
 CUR = f"m.created_at >= {T0} - to_hours(w.h)"
 PREV = f"m.created_at >= {T0} - to_hours(2 * w.h) AND m.created_at < {T0} - to_hours(w.h)"
 D3 = "CAST({} AS DECIMAL(20,3))"
@@ -138,8 +140,8 @@ FACTS_SQL = f"""
   LEFT JOIN (SELECT post_id, {PHRASE_FLAGS} FROM v_phrases GROUP BY post_id) k ON k.post_id = m.post_id, {W_SQL}
   WHERE m.created_at <= {T0} AND m.created_at >= {T0} - to_hours(2 * w.h) GROUP BY ALL"""
 
-CLASS_SUM = " + ".join(f"ev_{n} * ({v[0]}.0E0)" for n, v in S.EVENT_CLASSES.items())
-CLASS_NAMES = ", ".join(f"CASE WHEN ev_{n} = 1 THEN '{n}' END" for n in S.EVENT_CLASSES)
+CLASS_SUM = " + ".join(f"ev_{n} * ({v[0]}.0E0)" for n, v in EXPECTED_EVENTS.items())
+CLASS_NAMES = ", ".join(f"CASE WHEN ev_{n} = 1 THEN '{n}' END" for n in EXPECTED_EVENTS)
 CAP_SQL = "SELECT coin_symbol, arg_max(market_cap, fetched_at) AS market_cap, arg_max(price_usd, fetched_at) AS price_usd FROM v_prices GROUP BY 1"
 
 
