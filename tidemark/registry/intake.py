@@ -487,6 +487,14 @@ def s27c(t):
     return E.changed_urls(r, t.v_articles.withColumn("slug", F.concat(F.lit("s-"), F.col("id").cast("string"))))
 
 
+@query("s27_changed_urls_all", f"""SELECT '/' || lc || p AS url FROM (SELECT unnest(['/landing', '/topics', '/tags', '/sources', '/authors', '/blog']) AS p
+ UNION ALL SELECT DISTINCT '/sources/site' || source_id FROM v_crawl_logs WHERE status = 'completed' AND articles_new > 0
+ UNION ALL SELECT * FROM (SELECT '/articles/s-' || id FROM v_articles WHERE is_active ORDER BY crawled_at DESC, id LIMIT (SELECT sum(articles_new) FROM v_crawl_logs)) a) x, {LC}""")
+def s27ca(t):
+    r = t.v_crawl_logs.select((F.col("status") == "completed").alias("success"), "articles_new", F.concat(F.lit("site"), F.col("source_id").cast("string")).alias("source_name"))
+    return E.changed_urls(r, t.v_articles.withColumn("slug", F.concat(F.lit("s-"), F.col("id").cast("string"))))
+
+
 @query("h44_array_ops", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z]+)', 1)))[1:5], ',') AS words FROM documents")
 def h44(t):
     w = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))))
