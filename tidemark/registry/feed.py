@@ -191,6 +191,14 @@ def h17(t):
     return e.unionByName(o).select("id", X.time_ago("ts", AS_OF, "en").alias("en"))
 
 
+@query("h17_time_ago_all", f"""SELECT id, {AGO} AS en FROM (SELECT event_id AS id, (epoch_us({T0}) - epoch_us(ts)) // 1000000 AS s FROM events
+ UNION ALL SELECT o_orderkey + 1000000000, (epoch_us({T0}) - epoch_us(o_orderdate)) // 1000000 FROM orders) x""")
+def h17a(t):
+    e = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    o = t.orders.select((F.col("o_orderkey") + 1000000000).alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return e.unionByName(o).select("id", X.time_ago("ts", AS_OF, "en").alias("en"))
+
+
 @query("h18_parse_date", f"""SELECT event_id, CASE WHEN event_id % 10 IN (0, 1) THEN epoch_us(date_trunc('minute', ts)) WHEN event_id % 10 <= 7 THEN epoch_us(date_trunc('day', ts))
  WHEN event_id % 10 = 8 THEN epoch_us({T0} - to_hours(user_id)) ELSE epoch_us({T0} - to_days(CAST(user_id AS INT))) END AS parsed_us FROM events""")
 def h18(t):
