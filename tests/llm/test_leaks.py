@@ -78,3 +78,12 @@ def test_windows_stay_inside_a_text():
 
     at, many = d.cuts(np.array([5, 1, 33]), 16)
     assert at.tolist() == [0, 5, 6, 22, 38] and many.tolist() == [1, 1, 3]
+
+
+def test_long_repetitive_items_are_found():
+    """Items of few distinct shingles, whole inside long varied texts."""
+    items = [(i, " ".join(f"i{i}r{j % (6 + i % 6)}" for j in range(1040))) for i in range(20)]
+    texts = [f"{sample(3000)} {t} {sample(3000)}" for _, t in items]
+    ready = d.prepare(items, 5, d.PERMUTATIONS)
+    found = {(k, i) for k, i, *_ in d.contained(texts, ready, 5, 0.8, d.PERMUTATIONS)}
+    assert found == {(k, i) for k, i, *_ in brute_force(items, list(enumerate(texts)))} and len(found) == 20
