@@ -104,3 +104,9 @@ def test_components(spark, edges):
 def test_first_of_group_stays(make_docs):
     rows = [(3, "one two three four"), (1, "one two three four"), (2, "something else here now"), (None, "one two three four"), (1, "one two three four")]
     assert sorted((r.doc_id or 0) for r in s.first_of_group(make_docs(rows)).collect()) == [0, 1, 1, 2]
+
+
+def test_other_text_of_a_removed_id_stays(make_docs):
+    rows = [(1, "one two three four"), (5, "one two three four"), (5, "something else here now"), (6, None)]
+    got = sorted((r.doc_id, r.text or "") for r in s.first_of_group(make_docs(rows)).collect())
+    assert got == [(1, "one two three four"), (5, "something else here now"), (6, "")]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_column, texts
+from tidemark.llm.common import free_name, stored, text_column, texts
 from tidemark.llm.components import components
 
 
@@ -29,15 +29,21 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of one id; null is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), one row per input row."""
+    """doc_id, row (the text's key) and fp (the fingerprint as a signed long), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x or "") for x in text_column(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], names=["doc_id", "row", "fp"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    keyed = texts(docs, text_key(F.col("text")).alias("row"))
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, fp long")
 
 
 def parts_code(counts: list) -> Column:
@@ -150,6 +156,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 2048) -> DataF
     are ignored when the smallest is chosen; a group of only null ids has none.
     An empty table gives an empty result.
     """
+    return grouped(docs, radius, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, radius: int = 3, size: int = 2048) -> DataFrame:
+    """doc_id, row (the text's key), fp and component_id, one row per input row."""
     f = stored(fingerprints(docs), "fingerprints")
     first = stored(f.groupBy("fp").agg(F.min("doc_id").alias("first")), "by-fingerprint")
     group = components(close_pairs(first.select("fp"), radius, size))
@@ -158,16 +169,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 2048) -> DataF
     of_fp = first.join(
         stored(linked.join(smallest, "root").select("fp", "component_id"), "linked"), "fp", "left"
     ).select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return f.join(stored(of_fp, "members"), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return f.join(stored(of_fp, "members"), "fp").select("doc_id", "row", "fp", "component_id")
 
 
 def first_of_group(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The document with the smallest doc_id of each group, with all its columns.
 
-    Only ids are joined to the documents.  Rows that share the id of a document that stays all stay; documents without an id stay.
+    Only ids and keys of texts are joined to the documents.  Of an id that has several texts only those leave that are near a
+    smaller id's.  Rows that share the id of a document that stays and are near it all stay; documents without an id stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    key = free_name(docs, "row_key")
+    found = grouped(docs.select("doc_id", "text"), radius)
+    gone = found.where("doc_id <> component_id").select("doc_id", F.col("row").alias(key)).distinct()
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    return keyed.join(stored(gone, "duplicates"), ["doc_id", key], "left_anti").select(*docs.columns)
