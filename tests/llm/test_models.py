@@ -57,3 +57,14 @@ def test_co_training_uses_both_views():
     both = ((m.score(a, b) >= 0.5) == y).mean()
     one = [((v.logit(x) >= 0) == y).mean() for v, x in ((m.content, a), (m.metadata, b))]
     assert both > max(one) and both > 0.9
+
+
+def test_toxicity_sample_in_hash_order_whatever_the_length(spark, make_docs):
+    texts = {i: "word " * (1 + 199 * (i % 2)) for i in range(400)}
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in texts], "doc_id long, toxic int")
+    whole, odds = toxicity.labelled_sample(make_docs(list(texts.items())), labels, "toxic", 400, 10**9)
+    part, same = toxicity.labelled_sample(make_docs(list(texts.items())), labels, "toxic", 400, 30_000)
+    assert odds == same and 0 < sum(len(t) for t, _ in part) <= 60_000 < sum(len(t) for t, _ in whole)
+    for y in (0, 1):
+        long = [len(t) > 100 for t, k in part if k == y]
+        assert 0.2 < sum(long) / len(long) < 0.8

@@ -132,11 +132,11 @@ def fit(bags: Bags, toxic: np.ndarray, rounds: int, epochs: int, rate: float, sc
     return (scale * (e @ (w[1] - w[0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
-def train(values: list[str], toxic: np.ndarray, odds: float | None = None, rounds: int = 3, epochs: int = 30, rate: float = 0.1, scale: float = 16.0, seed: int = 7) -> Model:
+def train(values: list[str], toxic: np.ndarray, odds: float | None = None, rounds: int = 3, epochs: int = 30, rate: float = 0.1, scale: float = 16.0, seed: int = 7, stretches: int = 6, stretch_words: int = 64) -> Model:
     """Embeddings and softmax fitted jointly on four fifths of the texts, calibrated on the rest.
 
-    Of texts without the label, all of whose windows are clean, six stretches
-    of 64 words each are enough.  ``odds`` are those of the label among all labelled rows.  Without both classes the model knows the rate only.
+    Of texts without the label, all of whose windows are clean, ``stretches`` stretches
+    of ``stretch_words`` words each are learned from, dealt by ``seed``; calibration takes whole texts.  ``odds`` are those of the label among all labelled rows.  Without both classes the model knows the rate only.
     """
     toxic = np.asarray(toxic, dtype=bool)
     if toxic.sum() < 2 or (~toxic).sum() < 2:
@@ -147,8 +147,8 @@ def train(values: list[str], toxic: np.ndarray, odds: float | None = None, round
     rest, own, own_toxic = order[::5], [], []
     for i in np.delete(order, np.s_[::5]):
         words = words_of(values[i])
-        starts = [0] if toxic[i] else rng.permutation(range(0, max(1, len(words)), 8 * HALF))[:6]
-        own += [words if toxic[i] else words[k : k + 8 * HALF] for k in starts]
+        starts = [0] if toxic[i] else rng.permutation(range(0, max(1, len(words)), stretch_words))[:stretches]
+        own += [words if toxic[i] else words[k : k + stretch_words] for k in starts]
         own_toxic += [toxic[i]] * len(starts)
     epochs = round(epochs * min(4.0, max(1.0, 2000 / len(own))))  # few texts: cheap rounds, so more of them
     worth, bias = fit(Bags.of(own), np.array(own_toxic), rounds, epochs, rate, scale, seed)
@@ -212,42 +212,47 @@ def score_texts(values: list[str], model: Model, memo: WordWorth) -> np.ndarray:
     return sigmoid(model.slope * largest_windows(values, model, memo) + model.offset)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[tuple[str, int]], float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int) -> tuple[list[tuple[str, int]], float]:
     """Texts with their label, at most ``rows`` of label 1 and twice as many of label 0, and the odds of the label.
 
     Rows are chosen by a hash of the id among all labelled rows that may be
     learned from, before any text is read; conflicting labels of one id count as 1.
+    Of these, in the same order, each label takes ids up to ``most_chars`` characters, by lengths
+    that Spark sums; only the texts of the ids taken reach the driver.  The first id of a label is always taken.
     """
     learned = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     rated = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learned).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = {r.y: r.n for r in rated.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rated.where("y = 1").orderBy(*order).limit(rows).union(rated.where("y = 0").orderBy(*order).limit(2 * rows))
-    # ids and labels of at most 3 * rows documents
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+    # ids, labels and lengths of at most 3 * rows documents
+    sizes = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.sum(F.length("text")).alias("size"))
+    taken, used = [], {}
+    for r in sizes.orderBy("y", *order).collect():
+        now = used.get(r.y, 0) + r["size"]
+        if now <= most_chars or r.y not in used:
+            taken.append((r.doc_id, r.y))
+        used[r.y] = now
+    ids = docs.sparkSession.createDataFrame(taken, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int")
+    got = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
     return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.y, r.doc_id, r.text))], n.get(1, 0) / max(n.get(0, 0), 1)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 1500, most_chars: int = 30_000_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 1500, most_chars: int = 30_000_000, stretches: int = 6, stretch_words: int = 64) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), one row per input row.
 
     The model is fitted on the driver from a bounded sample: at most ``rows``
     labelled texts of label 1 and twice as many of label 0, and ``most_chars``
-    characters of them; rows whose crc32(doc_id as text) is divisible by 5 are held out.  A
+    characters of each label, in hash order whatever their length; of a text of label 0 the
+    embeddings see ``stretches`` stretches of ``stretch_words`` words.  Rows whose crc32(doc_id as text) is divisible by 5 are held out.  A
     text's score is that of its most toxic window of words, calibrated.  It
     depends on the text only; every text is scored whole, in the tasks that read it.
 
     Null and empty texts get the score of an empty window.  A null doc_id is not held out.  Labels
     other than 0 and 1 are ignored; without both labels every score is the rate of label 1.
     """
-    sample, odds = labelled_sample(docs, labels, label, rows)
-    used, size = [], 0
-    for text, y in sample if size_of(sample) <= most_chars else spread_sample(sample):
-        size += len(text)
-        if size > most_chars and used:
-            break
-        used.append((text, y))
-    model = train([t for t, _ in used], np.array([y for _, y in used], dtype=bool), odds)
+    sample, odds = labelled_sample(docs, labels, label, rows, most_chars)
+    model = train([t for t, _ in sample], np.array([y for _, y in sample], dtype=bool), odds, stretches=stretches, stretch_words=stretch_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,12 +264,3 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", row
     scored = texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-def size_of(sample: list[tuple[str, int]]) -> int:
-    return sum(len(t) for t, _ in sample)
-
-
-def spread_sample(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The sample in an order that mixes both labels, shortest texts first."""
-    return sorted(sample, key=lambda x: (len(x[0]), x[1]))
