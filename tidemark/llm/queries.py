@@ -11,7 +11,9 @@ import corpus_pipeline
 from tidemark.llm import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     line_dedup,
+    merkle,
     mixing,
     quality,
     simhash,
@@ -19,6 +21,7 @@ from tidemark.llm import (
     token_output,
     toxicity,
     url_filter,
+    warc,
 )
 from tidemark.llm.common import shared_path
 
@@ -161,3 +164,90 @@ def op9(spark, table):
 @query("op10_token_counts")
 def op10(spark, table):
     return token_counts.count_tokens(table("documents"))
+
+
+@query("op11_warc_archives", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+    d AS (SELECT *, CAST(CAST(unhex(sha1(x)) AS BIT) AS VARCHAR) AS bits FROM p)
+    SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(0, 160, 5), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_reduce(
+             list_transform(string_split(substr(bits, CAST(i AS INT) + 1, 5), ''), lambda b: CAST(b AS INT)), lambda a, b: 2 * a + b)]), '') AS payload_digest,
+           CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+    FROM d""")
+def op11(spark, table):
+    path = shared_path(spark, "warc")
+    warc.write_pages(table("pages"), path)
+    return warc.read_pages(spark, path)
+
+
+@query("op12_filter_audit", r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+    w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+    f AS (SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 10 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM w),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+    abc AS (SELECT unnest(string_split('ABCDE', '')) AS c),
+    o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM abc a, abc b, abc c, abc d, abc e
+          WHERE a.c NOT IN (b.c, c.c, d.c, e.c) AND b.c NOT IN (c.c, d.c, e.c) AND c.c NOT IN (d.c, e.c) AND d.c <> e.c),
+    s AS (SELECT filter_order, CAST(i AS INT) AS step, filter_order[i] AS own, left(filter_order, i - 1) AS before FROM o, range(1, 6) AS r(i)),
+    g AS (
+      SELECT part, filter_order, step, own, contains(fails, own) AS here, translate(before, fails, '') = before AS alive, fails = own AS only_here, n, good, toxic FROM m, s),
+    a AS (
+      SELECT part, filter_order, step, own, CAST(sum(CASE WHEN alive AND NOT here THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN alive AND here THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN NOT alive AND here THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN only_here THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN alive AND here THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN alive AND here THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM g GROUP BY part, filter_order, step, own)
+    SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a""")
+def op12(spark, table):
+    return filter_audit.audit_filters(table("documents"), table("labels"))
+
+
+def merkle_sql(levels: int = 26) -> str:
+    """Level by level, as many as the documents of one language can have (2 to the 26th)."""
+
+    def parents(of: str, tree: str) -> str:
+        return f"""SELECT {tree}p // 2 AS p, CAST(ceil(n / 2) AS BIGINT) AS n, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h
+                   FROM {of} GROUP BY {tree}p // 2, n"""
+
+    def step(k: int, before: str, nodes: str, on: str) -> str:
+        """One level up: the sibling, if any, joins the path; the folded digest takes it in on its side."""
+        mine = "concat(coalesce(CASE WHEN b.p % 2 = 1 THEN s.h END, ''), {}, coalesce(CASE WHEN b.p % 2 = 0 THEN s.h END, ''))"
+        return f"""SELECT b.* REPLACE (b.p // 2 AS p, CAST(ceil(b.n / 2) AS BIGINT) AS n, b.sibs || coalesce(s.h, '') AS sibs,
+                     CASE WHEN b.n = 1 THEN b.fold ELSE sha256({mine.format('b.fold')}) END AS fold)
+                   FROM {before} b LEFT JOIN {nodes} s ON {on} s.p = (CASE WHEN b.p % 2 = 0 THEN b.p + 1 ELSE b.p - 1 END) AND b.n > 1"""
+
+    def value(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+    ctes = [
+        """crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+                   FROM range(0, 256) AS r(i))""",
+        f"""leaves AS (SELECT doc_id, '=' || lang AS tree, {leaf('n_chars')} AS leaf,
+              CASE WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT)),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 7 = 0 AND n_chars IS NOT NULL
+                   THEN {leaf('n_chars + 1')} END AS tampered FROM documents, crc)""",
+        """l0 AS (SELECT coalesce(tree, '') AS tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n,
+                  leaf AS h, leaf, doc_id, coalesce(tampered, leaf) AS fold, '' AS sibs FROM leaves)""",
+        "n0 AS (SELECT tree, p, n, h FROM l0)",
+    ]
+    ctes += [f"n{k + 1} AS MATERIALIZED (SELECT tree, p, n, h FROM ({parents(f'n{k}', 'tree, ')}))" for k in range(levels)]
+    ctes += [f"l{k + 1} AS MATERIALIZED ({step(k, f'l{k}', f'n{k}', 's.tree = b.tree AND')})" for k in range(levels)]
+    ctes += [
+        f"t0 AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n, h FROM n{levels})",
+        f"u0 AS (SELECT b.doc_id, b.leaf, b.fold, b.sibs, t0.p, t0.n, t0.h AS subroot FROM l{levels} b JOIN t0 ON t0.tree = b.tree)",
+    ]
+    top = 12
+    ctes += [f"t{k + 1} AS MATERIALIZED (SELECT p, n, h FROM ({parents(f't{k}', '')}))" for k in range(top)]
+    ctes += [f"u{k + 1} AS MATERIALIZED ({step(k, f'u{k}', f't{k}', '')})" for k in range(top)]
+    return "WITH " + ",\n".join(ctes) + f"""
+    SELECT doc_id, leaf, subroot, t{top}.h AS root, sha256(sibs) AS proof_sha256, fold AS folded_root, fold = t{top}.h AS verified FROM u{top}, t{top}"""
+
+
+@query("op13_merkle_manifest", merkle_sql())
+def op13(spark, table):
+    return merkle.manifest(table("documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
