@@ -62,11 +62,12 @@ def run(spark, strict):
     p = posts()
     df = spark.createDataFrame(p, "id int, title string, body string")
     coins = spark.createDataFrame(COINS, "symbol string, name string")
-    got = {}
-    for r in M.extract_mentions(df, coins, strict).collect():
-        got.setdefault(r.id, {})[r.coin_symbol] = r.mention_count
-    for i, title, body in p:
-        assert got.get(i, {}) == brute(title, body, strict), (i, title, body)
+    for context in (True, False):
+        got = {}
+        for r in M.extract_mentions(df, coins, strict, context).collect():
+            got.setdefault(r.id, {})[r.coin_symbol] = r.mention_count
+        for i, title, body in p:
+            assert got.get(i, {}) == brute(title, body, strict), (i, title, body)
 
 
 def test_extract(spark):
@@ -98,7 +99,8 @@ def test_alias_without_ascii_words(spark):
     df = spark.createDataFrame([(1, "오늘 비트코인은 x", None), (2, "a비트코인b", None), (3, "none", None)], "id int, title string, body string")
     coins = spark.createDataFrame([("XXX", "비트코인")], "symbol string, name string")
     # ASCII edges: the name is no word, so it needs an ASCII word character on both sides
-    assert [(r.id, r.mention_count) for r in M.extract_mentions(df, coins).collect()] == [(2, 1)]
+    for context in (True, False):
+        assert [(r.id, r.mention_count) for r in M.extract_mentions(df, coins, context=context).collect()] == [(2, 1)]
     assert sorted(r.id for r in M.extract_mentions_loose(df, coins).collect()) == [1, 2]
 
 
@@ -107,3 +109,19 @@ def test_context(spark):
     r = M.extract_mentions(df, spark.createDataFrame(COINS, "symbol string, name string")).collect()[0]
     assert (r.coin_symbol, r.coin_name, r.mention_count) == ("BTC", "Bitcoin", 2)
     assert r.context == "x" * 29 + " $BTC " + "y" * 29
+
+
+def test_aliases_of_several_words_and_many_sharers(spark):
+    """A word that all aliases share is not the one they meet on; separators and places must fit exactly."""
+    texts = ["the red fox\nruns", "the  red fox", "a the-red fox", "red fox the blue", "The blue, red", "#the red fox", "the red foxes", "the\nred fox", "the blue\u212a the BLUE"]
+    coins = [("RFX", "the red fox"), ("BLX", "the blue"), ("REX", "the red"), ("TBR", "the blue, red"), ("BLK", "the bluek")]
+    df = spark.createDataFrame([(i, x, None) for i, x in enumerate(texts)], "id int, title string, body string")
+    got = {(r.id, r.coin_symbol): r.mention_count for r in M.extract_mentions(df, spark.createDataFrame(coins, "symbol string, name string")).collect()}
+    want = {(i, s): 1 for i, x in enumerate(texts) for s, a in coins if re.search(r"\b" + re.escape(a) + r"\b", x.lower(), re.A)}
+    assert got == want and len(want) > 9
+
+
+def test_hashtag_in_front_of_line_end(spark):
+    df = spark.createDataFrame([(1, "x ##\nBTC", None), (2, "x #BTC\u00e9", None), (3, "$BTC2", None)], "id int, title string, body string")
+    got = {r.id: r.mention_count for r in M.extract_mentions(df, spark.createDataFrame([("BTC", "zz")], "symbol string, name string")).collect()}
+    assert got == {1: 1, 2: 2}

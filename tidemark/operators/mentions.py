@@ -1,10 +1,9 @@
 """Coin mentions in posts: cashtags, aliases at word boundaries, upper-case title words.
 
-Posts and aliases are never crossed.  Words of a post are joined to the longest
-word of each alias, which leaves a few candidates per post; only those are
-tested against the text with the exact rule.  Every cashtag hit counts, an
-alias counts once however often it appears, a title word only when nothing
-else named the coin.
+Posts and aliases are never crossed.  Words of a post, each with its place, are joined to
+the rarest word of each alias and compared with the alias's other words on the
+neighbouring places.  Every cashtag hit counts, an alias counts once however
+often it appears, a title word only when nothing else named the coin.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.keyed import exploded
 from tidemark.semantics import EDGE, LEFT, RIGHT, WORD, js_trim, let
+from tidemark.session import cut_lineage
 
 # Upper-case words that are no coins, symbols that are also plain words, and words of coin talk.
 BLACKLIST = (
@@ -48,16 +48,38 @@ MIN_ALIAS, MIN_ALIAS_STRICT = 3, 8
 
 
 def alias_dim(coins: DataFrame) -> DataFrame:
-    """(symbol, alias, idx, key): lower-case name then symbol per coin unless an ``aliases`` array is given.
-
-    ``key`` is the alias's longest word, the one least likely to be common.
-    """
+    """(symbol, alias, idx): lower-case name then symbol per coin unless an ``aliases`` array is given."""
     arr = F.col("aliases") if "aliases" in coins.columns else F.array(F.lower("name"), F.lower("symbol"))
     a = coins.select(F.upper("symbol").alias("symbol"), "name", F.posexplode(arr).alias("p", "alias"))
     a = a.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("name", "p")))
-    words = F.regexp_extract_all("alias", F.lit("([a-z0-9_]+)"), F.lit(1))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    return a.select("symbol", F.lower("alias").alias("alias"), "idx", longest.alias("key"))
+    return a.select("symbol", F.lower("alias").alias("alias"), "idx")
+
+
+def rarest(dim: DataFrame, parts: Column) -> DataFrame:
+    """``dim`` with the alias's part that the fewest aliases share (then the longest) and its place: key, key_at.
+
+    A part such as ``the``, which many aliases have, would pair every post with all of them.
+    """
+    rows = dim.select("symbol", "alias", "idx", F.posexplode(parts).alias("at", "part"))
+    common = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("n"), (-F.char_length("part")).alias("len"), F.col("part").alias("key"), F.col("at").alias("key_at"))).alias("b")
+    return rows.join(common, "part").groupBy("symbol", "alias", "idx").agg(best).select("symbol", "alias", "idx", "b.key", "b.key_at")
+
+
+def chunks(text: Column) -> Column:
+    """A text as its words and what lies between them, in turn."""
+    return F.regexp_extract_all(text, F.lit(f"[{WORD}]+|[^{WORD}]+"), F.lit(0))
+
+
+def foldable(text: Column) -> Column:
+    """The text with the two letters whose lower case has an ASCII letter written so that lower-casing keeps every chunk's place."""
+    return F.replace(F.replace(text, F.lit("\u212a"), F.lit("K")), F.lit("\u0130"), F.lit("I\u0307"))
+
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, cut off its lineage and sent to all tasks if it has at most ``most`` rows; otherwise joined by a shuffle."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def snippet(text: Column, start: Column, length: Column, pad: int = 30) -> Column:
@@ -98,23 +120,34 @@ def alias_at(low: Column, alias: Column) -> Column:
     return let(F.position(alias, low), settle)
 
 
-def word_starts(text: Column, word: Column) -> Column:
-    """0-based places of every stand-alone ``word`` in a text, with the running length carried along once."""
-    parts = F.split(text, F.concat(F.lit(LEFT), word, F.lit(RIGHT)), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+def post_texts(posts: DataFrame) -> DataFrame:
+    title, body = foldable(F.coalesce("title", F.lit(""))), foldable(F.coalesce("body", F.lit("")))
+    text = F.concat(title, F.lit("\n"), body)
+    return posts.select("id", title.alias("title"), text.alias("text"), F.lower(text).alias("low"))
+
+
+def postings(p: DataFrame, before: int, after: int) -> DataFrame:
+    """One row per word of a post: id, at (place among the chunks, from 1), word (lower case), near, off, tick, caps.
 
-    def step(acc: Column, part: Column) -> Column:
-        hit = acc["at"] + F.char_length(part)
-        return F.struct((hit + F.char_length(word)).alias("at"), F.concat(acc["all"], F.array(hit)).alias("all"))
+    ``near`` holds the chunks from ``before`` ones in front of the word to ``after`` behind it, the word itself after
+    ``off`` of them.  ``tick`` marks a cashtag or hashtag, ``caps`` an upper-case word of the title.  One pass over the text.
+    """
+    def listed(parts: Column) -> Column:
+        low, title = parts["low"], parts["title"]
 
-    # every part but the last ends at a hit
-    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["all"])
+        def posting(i: Column) -> Column:
+            word, off = F.get(low, i - 1), F.least(i - 1, F.lit(before))
+            raw = F.get(title, i - 1)  # the title comes first, so its chunks have the same places
+            tick = F.coalesce(F.get(low, i - 2).rlike(r"[$#]\z") & word.rlike("^[a-z]{2,10}$"), F.lit(False))
+            caps = F.coalesce(raw.rlike("^[A-Z]{3,6}$") & ~raw.isin(*BLACKLIST), F.lit(False))
+            near = F.slice(low, i - off, off + (after + 1))
+            return F.struct(i.alias("at"), word.alias("word"), near.alias("near"), off.alias("off"), tick.alias("tick"), caps.alias("caps"))
 
+        first = F.when(F.get(low, F.lit(0)).rlike(f"^[{WORD}]"), 1).otherwise(2)
+        return F.transform(F.when(F.size(low) >= first, F.sequence(first, F.size(low), F.lit(2))), posting)
 
-def post_texts(posts: DataFrame) -> DataFrame:
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-    text = F.concat(title, F.lit("\n"), body)
-    return posts.select("id", title.alias("title"), text.alias("text"), F.lower(text).alias("low"))
+    parts = F.struct(chunks(F.col("low")).alias("low"), chunks(F.col("title")).alias("title"))
+    return exploded(p, let(parts, listed), "x", "id").select("id", "x.*")
 
 
 def ticker_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -130,59 +163,99 @@ def caps_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
     return c.join(symbols, "symbol", "left_semi").select("id", "symbol")
 
 
-def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -> DataFrame:
-    """(id, coin_symbol, coin_name, mention_count, context) for posts (id, title, body).
+def named_hits(p: DataFrame, coins: DataFrame, dim: DataFrame, strict: bool) -> DataFrame:
+    """What names a coin by words: id, symbol, kind (tick, alias, caps), alias, idx, n and at, the chunk of the first (caps: one row a place).
 
-    ``strict`` is for sources with much small talk: cashtags and long aliases only.
+    Aliases are sequences of chunks.  Each meets the postings on its rarest word, and only the chunks around that
+    posting are compared with the rest of the alias, so a text is read once however many aliases there are.
+    """
+    none = F.lit(None).cast("string")
+    words = F.transform(chunks(F.col("alias")), lambda c: F.when(c.rlike(f"^[{WORD}]"), c))
+    named = rarest(dim, words).select(
+        F.col("key").alias("word"), "symbol", F.lit("alias").alias("kind"), "alias", "idx", chunks(F.col("alias")).alias("parts"), "key_at"
+    )
+    plain = coins.select(F.upper("symbol").alias("symbol")).distinct().where(F.col("symbol").rlike("^[A-Z]{2,10}$")).select(
+        F.lower("symbol").alias("word"), "symbol", F.lit("symbol").alias("kind"), none.alias("alias"), F.lit(0).alias("idx"), F.array().cast("array<string>").alias("parts"),
+        F.lit(0).alias("key_at"),
+    )
+    names = small(named.unionByName(plain))
+    before, after = names.agg(F.coalesce(F.max("key_at"), F.lit(0)), F.coalesce(F.max(F.size("parts") - F.col("key_at") - 1), F.lit(0))).first()
+    start = F.col("off") - F.col("key_at")
+    whole = (start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, F.size("parts")) == F.col("parts"))
+    caps = F.lit(False) if strict else F.col("caps")
+    # a title word in capitals may be a hashtag too
+    kinds = F.when(F.col("kind") == "alias", F.when(whole, F.array(F.lit("alias")))).otherwise(
+        F.array_compact(F.array(F.when(F.col("tick"), "tick"), F.when(caps, "caps")))
+    )
+    j = postings(p, before, after).join(names, "word").where((F.col("kind") == "alias") | F.col("tick") | caps)
+    rows = exploded(j.withColumn("at", F.col("at") - F.col("key_at")), kinds, "as", "id", "symbol", "alias", "idx", "at")
+    rows = rows.withColumn("spot", F.when(F.col("as") == "caps", F.col("at")))
+    return rows.groupBy("id", "symbol", F.col("as").alias("kind"), "alias", "idx", "spot").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.min("at").alias("at")
+    ).drop("spot")
 
-    Only ids and words are joined to the aliases; the candidates of a post come
-    back to it as one array, and places, context and gate are worked out inside
-    that row. A text is never copied per word or candidate, and is moved at
-    most once, when AQE does not broadcast the candidates.
+
+def odd_hits(p: DataFrame, dim: DataFrame) -> DataFrame | None:
+    """Posts that may hold an alias with something else than a word character at an end: id, symbol, alias, idx.
+
+    Posts and aliases meet on the three characters at that end; None without such aliases.
     """
-    p = post_texts(posts)
-    names = coins.groupBy(F.upper("symbol").alias("symbol")).agg(F.max("name").alias("coin_name"))
-    symbols = names.select("symbol")
-    dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
+    head, tail = F.substring("alias", 1, MIN_ALIAS), F.substring("alias", -MIN_ALIAS, MIN_ALIAS)
+    gram = F.when(F.col("alias").rlike(f"^[{WORD}]"), tail).otherwise(head)
+    odd = small(dim.select("symbol", "alias", "idx", gram.alias("gram")))
+    if odd.isEmpty():
+        return None
+    edge = f"[^{WORD}].{{{MIN_ALIAS - 1}}}|.{{{MIN_ALIAS - 1}}}[^{WORD}]"
+    return exploded(p, grams(F.col("low"), edge), "gram", "id").join(odd, "gram").select("id", "symbol", "alias", "idx")
 
-    words = F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z0-9_]+)"), F.lit(1)))
-    cand = exploded(p, words, "key", "id").join(dim.where("key IS NOT NULL"), "key").select("id", "symbol", "alias", "idx")
-    # aliases without an ASCII word meet the posts on their first three characters
-    wordless = dim.where("key IS NULL").select("symbol", "alias", "idx", F.substring("alias", 1, MIN_ALIAS).alias("gram"))
-    other = exploded(p, grams(F.col("low"), r"[^\sa-z0-9_]"), "gram", "id")
-    cand = cand.unionByName(other.join(wordless, "gram").select("id", "symbol", "alias", "idx"))
 
-    none = F.lit(None).cast("string")
-    rows = cand.select("id", "symbol", F.lit("alias").alias("kind"), "alias", "idx", F.lit(1).alias("n"))
-    rows = rows.unionByName(ticker_rows(p, symbols).select("id", "symbol", F.lit("tick").alias("kind"), none.alias("alias"), F.lit(0).alias("idx"), "n"))
-    if not strict:
-        rows = rows.unionByName(caps_rows(p, symbols).select("id", "symbol", F.lit("caps").alias("kind"), none.alias("alias"), F.lit(0).alias("idx"), F.lit(1).alias("n")))
-    per_post = rows.groupBy("id").agg(F.collect_list(F.struct("symbol", "kind", "alias", "idx", "n")).alias("c"))
+def around(parts: Column, at: Column, before: Column, after: Column) -> Column:
+    """Up to ``before`` characters in front of chunk ``at`` and ``after`` from its start on; a chunk has one character at least."""
+    low = F.greatest(at - before, F.lit(1))
+    return F.concat(F.right(F.array_join(F.slice(parts, low, at - low), ""), before), F.left(F.array_join(F.slice(parts, at, after), ""), after))
+
+
+def one_line(text: Column) -> Column:
+    return js_trim(F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
+def weighed_hits(p: DataFrame, rows: DataFrame) -> DataFrame:
+    """Hits with what the text around them says: id, symbol, kind, idx, n, at, sure, ctx; hits that the text refutes are gone.
+
+    The hits of a post come to it as one array and are worked out in its row, from the chunks around each.
+    """
+    per_post = rows.groupBy("id").agg(F.collect_list(F.struct("symbol", "kind", "alias", "idx", "n", "at")).alias("c"))
     j = p.join(per_post, "id")
 
-    text, low, title = F.col("text"), F.col("low"), F.col("title")
-
-    def placed(c: Column) -> Column:
-        """Kind, place, certainty and context of one candidate; place null for a miss."""
-        sym, alias = c["symbol"], c["alias"]
-        ambiguous = sym.isin(*AMBIGUOUS)
-        starts = word_starts(title, sym)
-        starts = F.when(ambiguous, F.filter(starts, lambda s: in_context(low, s, F.char_length(sym)))).otherwise(starts)
-        at = F.when(c["kind"] == "alias", alias_at(low, alias)).when(c["kind"] == "caps", F.coalesce(F.get(starts, F.lit(0)), F.lit(-1))).otherwise(
-            F.regexp_instr(text, F.concat(F.lit(r"(?i)[$#]"), sym, F.lit(RIGHT))) - 1)
-
-        def described(at: Column) -> Column:
-            gated = (F.char_length(alias) <= 4) & ambiguous
-            sure = F.when(c["kind"] == "alias", ~gated | in_context(low, at, F.char_length(alias))).otherwise(F.lit(True))
-            ctx = F.when(c["kind"] == "alias", snippet(text, at, F.char_length(alias))).when(
-                c["kind"] == "caps", snippet(title, at, F.char_length(sym))).otherwise(snippet(text, at, F.char_length(sym) + 1))
-            return F.when(at >= 0, F.struct(sym.alias("symbol"), c["kind"].alias("kind"), c["idx"].alias("idx"), c["n"].alias("n"), sure.alias("sure"), ctx.alias("ctx")))
-
-        return let(at, described)
-
-    j = j.select("id", F.array_compact(F.transform("c", placed)).alias("hits"))
-    # small rows from here on: no text
-    h = j.select("id", F.explode("hits").alias("h")).select("id", "h.*")
+    def placed(c: Column, parts: Column) -> Column:
+        sym, alias, at, size = c["symbol"], c["alias"], c["at"], F.char_length(F.coalesce(c["alias"], c["symbol"]))
+        ambiguous, talk, pad = sym.isin(*AMBIGUOUS), F.lit(80), F.lit(30)
+        gated = (size <= 4) & ambiguous
+
+        def spoken() -> Column:
+            return around(parts["low"], at, talk, size + talk).rlike(CONTEXT)
+
+        def described(kind: str, at: Column, sure: Column, ctx: Column) -> Column:
+            return F.struct(sym.alias("symbol"), F.lit(kind).alias("kind"), c["idx"].alias("idx"), c["n"].alias("n"), at.alias("at"), sure.alias("sure"), ctx.alias("ctx"))
+
+        def searched(at: Column) -> Column:
+            low, text = F.col("low"), F.col("text")
+            return F.when(at >= 0, described("alias", at, ~gated | in_context(low, at, size), snippet(text, at, size)))
+
+        return (
+            F.when(c["kind"] == "alias", described("alias", at, ~gated | spoken(), one_line(around(parts["text"], at, pad, size + pad))))
+            .when(c["kind"] == "tick", described("tick", at, F.lit(True), one_line(around(parts["text"], at, pad + 1, size + pad))))
+            .when(c["kind"] == "caps", F.when(~ambiguous | spoken(), described("caps", at, F.lit(True), one_line(around(parts["title"], at, pad, size + pad)))))
+            .otherwise(let(alias_at(F.col("low"), alias), searched))
+        )
+
+    parts = F.struct(chunks(F.col("low")).alias("low"), chunks(F.col("text")).alias("text"), chunks(F.col("title")).alias("title"))
+    j = j.select("id", let(parts, lambda t: F.array_compact(F.transform("c", lambda c: placed(c, t)))).alias("hits"))
+    return j.select("id", F.explode("hits").alias("h")).select("id", "h.*")
+
+
+def mention_counts(h: DataFrame) -> DataFrame:
+    """(id, symbol, mention_count, ctx) of weighed hits."""
     item = F.struct("idx", "sure", "ctx")
 
     def of(kind: str, value: Column) -> Column:
@@ -190,41 +263,92 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False) -
 
     g = h.groupBy("id", "symbol").agg(
         F.coalesce(F.sum(of("tick", F.col("n"))), F.lit(0)).alias("ticks"), F.max(of("tick", F.col("ctx"))).alias("tick_ctx"),
-        F.array_sort(F.collect_list(of("alias", item))).alias("al"), F.max(of("caps", F.col("ctx"))).alias("caps_ctx"),
+        F.array_sort(F.collect_list(of("alias", item))).alias("al"), F.min(of("caps", F.struct("at", "ctx"))).alias("caps"),
     )
     # an alias in doubt is accepted once something before it named the coin
     first_sure = F.array_min(F.transform(F.filter("al", lambda a: a["sure"]), lambda a: a["idx"]))
     accepted = F.when(F.col("ticks") > 0, F.col("al")).otherwise(F.filter("al", lambda a: a["idx"] >= first_sure))
     g = g.withColumn("ok", F.coalesce(accepted, F.array().cast("array<struct<idx:int,sure:boolean,ctx:string>>")))
     count = F.col("ticks") + F.size("ok")
-    g = g.withColumn("mention_count", F.when(count > 0, count).when(F.col("caps_ctx").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("int"))
-    ctx = F.coalesce(F.col("tick_ctx"), F.try_element_at("ok", F.lit(1))["ctx"], F.when(count == 0, F.col("caps_ctx")))
-    return g.where("mention_count > 0").join(names, "symbol", "left").select(
-        "id", F.col("symbol").alias("coin_symbol"), "coin_name", "mention_count", F.nullif(ctx, F.lit("")).alias("context")
+    g = g.withColumn("mention_count", F.when(count > 0, count).when(F.col("caps").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("int"))
+    ctx = F.coalesce(F.col("tick_ctx"), F.try_element_at("ok", F.lit(1))["ctx"], F.when(count == 0, F.col("caps.ctx")))
+    return g.where("mention_count > 0").select("id", "symbol", "mention_count", ctx.alias("ctx"))
+
+
+def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False, context: bool = True) -> DataFrame:
+    """(id, coin_symbol, coin_name, mention_count, context) for posts (id, title, body); without ``context`` that column is null.
+
+    ``strict`` is for sources with much small talk: cashtags and long aliases only.
+
+    A post becomes postings (word, place) in one pass, and hits are found on them alone: a text is never copied per word
+    or hit and never searched per alias.  Texts are read again, moved once at most, for the context, or without it for the
+    hits that depend on the words around them: ambiguous symbols, and aliases with something else than a word character at an end.
+    """
+    p = post_texts(posts)
+    names = coins.groupBy(F.upper("symbol").alias("symbol")).agg(F.max("name").alias("coin_name"))
+    dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
+    regular = F.col("alias").rlike(f"(?s)^[{WORD}](.*[{WORD}])?$")
+    rows, odd = named_hits(p, coins, dim.where(regular), strict), odd_hits(p, dim.where(~regular))
+    if odd is not None:
+        odd = odd.withColumns({"kind": F.lit("odd"), "n": F.lit(1), "at": F.lit(None).cast("int")})
+    if context:
+        g = mention_counts(weighed_hits(p, rows if odd is None else rows.unionByName(odd)))
+    else:
+        ambiguous = F.col("symbol").isin(*AMBIGUOUS)
+        some = odd is not None or not coins.where(F.upper("symbol").isin(*AMBIGUOUS)).isEmpty()
+        rows = cut_lineage(rows) if some else rows  # read twice below
+        plain = rows.where(~ambiguous).select("id", "symbol", "kind", "n")
+        rows = rows.where(ambiguous) if odd is None else rows.where(ambiguous).unionByName(odd)
+        if some:
+            weighed = weighed_hits(p, rows)
+            plain = plain.unionByName(weighed.where(~ambiguous).select("id", "symbol", "kind", "n"))
+        # every hit is certain: plain sums
+        one = F.sum(F.when(F.col("kind") == "tick", F.col("n")).when(F.col("kind") == "alias", 1).otherwise(0))
+        g = plain.groupBy("id", "symbol").agg(F.greatest(one, F.lit(1)).cast("int").alias("mention_count")).withColumn("ctx", F.lit(None).cast("string"))
+        if some:
+            g = g.unionByName(mention_counts(weighed.where(ambiguous)).withColumn("ctx", F.lit(None).cast("string")))
+    return g.join(names, "symbol", "left").select(
+        "id", F.col("symbol").alias("coin_symbol"), "coin_name", "mention_count", F.nullif("ctx", F.lit("")).alias("context")
     )
 
 
-def grams(text: Column, first: str = ".", n: int = MIN_ALIAS) -> Column:
-    """Distinct runs of ``n`` characters of a text that begin with a character of the pattern ``first``."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}.{{{n - 1}}}))"), F.lit(1)))
+def grams(text: Column, pattern: str = f".{{{MIN_ALIAS}}}") -> Column:
+    """Distinct runs of characters of a text that fit the pattern, overlapping ones too."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({pattern}))"), F.lit(1)))
+
+
+def runs_of(text: str, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+
+
+#: Runs of characters that posts and aliases of the substring form meet on: an alias has the longest that it can.
+GRAINS = (3, 4, 8)
 
 
 def extract_mentions_loose(posts: DataFrame, coins: DataFrame) -> DataFrame:
     """Chat form: aliases match as substrings, without boundaries or context tests.
 
-    A text contains an alias only if it contains the alias's first three
-    characters; posts and aliases meet on those, as ids and grams only, and each
-    post then tests its few candidates in its own row.
+    A text contains an alias only if it contains any run of characters of it; posts and aliases meet on runs of 3, 4
+    or 8 characters, those that the fewest aliases share, as ids and runs only.  An alias that is longer than its run is then
+    tested in the post's row.
     """
-    dim = alias_dim(coins).where(F.char_length("alias") >= MIN_ALIAS).select("symbol", "alias", F.substring("alias", 1, MIN_ALIAS).alias("gram"))
+    dim = alias_dim(coins).where(F.char_length("alias") >= MIN_ALIAS)
     p = post_texts(posts)
     symbols = coins.select(F.upper("symbol").alias("symbol")).distinct()
-    # one row per gram that an alias starts with
-    heads = dim.groupBy("gram").agg(F.collect_list(F.struct("symbol", "alias")).alias("c"))
-    near = exploded(p, grams(F.col("low")), "gram", "id").join(heads, "gram").groupBy("id").agg(F.flatten(F.collect_list("c")).alias("c"))
-    hits = p.join(near, "id").select("id", F.filter("c", lambda c: F.contains(F.col("low"), c["alias"])).alias("hits"))
-    found = hits.select("id", F.explode("hits").alias("h")).groupBy("id", F.col("h.symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
-    rows = ticker_rows(p, symbols).select("id", "symbol", F.col("n").cast("long").alias("n"), F.lit(0).alias("k")).unionByName(found.withColumn("k", F.lit(0)))
+    near = None
+    for n, above in zip(GRAINS, [*GRAINS[1:], None], strict=True):
+        of_size = dim.where(F.char_length("alias") >= n) if above is None else dim.where(F.char_length("alias").between(n, above - 1))
+        keyed = small(rarest(of_size, runs_of("alias", n)).select(F.col("key").alias("gram"), "symbol", "alias"))
+        if not keyed.isEmpty():
+            met = exploded(p, grams(F.col("low"), f".{{{n}}}"), "gram", "id").join(keyed, "gram").select("id", "symbol", "alias", (F.char_length("alias") == n).alias("whole"))
+            near = met if near is None else near.unionByName(met)
+    rows = ticker_rows(p, symbols).select("id", "symbol", F.col("n").cast("long").alias("n"), F.lit(0).alias("k"))
+    if near is not None:
+        sure = near.where("whole").groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+        asked = near.where("NOT whole").groupBy("id").agg(F.collect_list(F.struct("symbol", "alias")).alias("c"))
+        hits = p.join(asked, "id").select("id", F.explode(F.filter("c", lambda c: F.contains(F.col("low"), c["alias"]))).alias("h"))
+        tested = hits.groupBy("id", F.col("h.symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.unionByName(sure.unionByName(tested).withColumn("k", F.lit(0)))
     rows = rows.unionByName(caps_rows(p, symbols).withColumns({"n": F.lit(1).cast("long"), "k": F.lit(1)}))
     g = rows.groupBy("id", "symbol").agg(F.sum(F.when(F.col("k") == 0, F.col("n"))).alias("n"))
     return g.select("id", F.col("symbol").alias("coin_symbol"), F.coalesce("n", F.lit(1)).cast("int").alias("mention_count"))

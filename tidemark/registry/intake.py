@@ -58,7 +58,7 @@ SELECT id, symbol AS coin_symbol, CAST(sum(n) AS INT) AS mention_count FROM (SEL
 
 @query("p1_mentions", MENTION_SQL)
 def p1(t):
-    return M.extract_mentions(text_posts(t), text_coins(t)).select("id", "coin_symbol", "mention_count")
+    return M.extract_mentions(text_posts(t), text_coins(t), context=False).select("id", "coin_symbol", "mention_count")
 
 
 @query("p1_mentions_strict", r"""
@@ -69,7 +69,7 @@ al AS (SELECT d.id, c.symbol, 1 AS n FROM words d JOIN coins c ON c.w = d.w WHER
 tk AS (SELECT id, upper(s) AS symbol, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(full_text, '[$#]([A-Za-z]{2,10})\b', 1)) AS s FROM posts) a GROUP BY 1, 2)
 SELECT id, symbol AS coin_symbol, CAST(sum(n) AS INT) AS mention_count FROM (SELECT * FROM al UNION ALL SELECT k.* FROM tk k JOIN coins c ON c.symbol = k.symbol) u GROUP BY 1, 2""")
 def p1s(t):
-    return M.extract_mentions(text_posts(t), text_coins(t), strict=True).select("id", "coin_symbol", "mention_count")
+    return M.extract_mentions(text_posts(t), text_coins(t), strict=True, context=False).select("id", "coin_symbol", "mention_count")
 
 
 def around(at, n):
