@@ -133,10 +133,11 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fanout: int = 2, l
     """
     changed = leaf_digest(n_chars=F.col("n_chars") + 1)
     wrong = F.lit(False) if tampered is None else tampered
-    leaves = docs.select(
+    # texts are read and hashed once; from here on rows hold digests only
+    leaves = stored(docs.select(
         "doc_id", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("tree"), leaf_digest().alias("leaf"),
         F.when(wrong & F.col("n_chars").isNotNull(), changed).alias("tampered"),
-    )
+    ), "leaves")
     rows = with_proofs(leaves, "tree", [F.col("doc_id").asc_nulls_first(), F.col("leaf")], fanout, levels)
     rows = rows.select("item.*", "path", "subroot", "root")
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
