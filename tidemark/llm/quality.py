@@ -100,12 +100,20 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, r
     return View(mean, dev, beta)
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = 3, confident: float = 0.97, share: float = 0.25) -> Model | None:
+def log_odds(good: float, bad: float) -> float:
+    return float(np.log((good + 0.5) / (bad + 0.5)))
+
+
+def co_train(
+    a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = 3, confident: float = 0.97, share: float = 0.25, prior: float | None = None
+) -> Model | None:
     """Two views that teach each other: y is 0, 1 or -1 (no label).
 
     Every fifth labelled row is kept for calibration.  In each round each view is
     fitted, and each gives the other its most confident guesses of unlabelled rows, at
     most ``share`` of them a class and only above ``confident``.  None without both labels.
+    ``prior`` is the log odds of label 1 among all labelled rows (default: as in ``y``).  Where the rows of ``y`` are a sample
+    with other odds, each view's calibrated logit is moved by the difference, so guesses and scores are those of all rows.
     """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if min(len(good), len(bad)) < 2:
@@ -114,6 +122,8 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = 3, confi
     held = np.concatenate([good[::5], bad[::5]])
     learn = np.concatenate([np.delete(good, np.s_[::5]), np.delete(bad, np.s_[::5])])
     free = np.flatnonzero(y < 0)
+    here = log_odds(len(good), len(bad))
+    prior = here if prior is None else prior
     views: list[View] = []
     taught = [(np.empty(0, dtype=int), np.empty(0)), (np.empty(0, dtype=int), np.empty(0))]
     for turn in range(rounds):
@@ -122,6 +132,7 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = 3, confi
             use = np.concatenate([learn, rows])
             views.append(fit(x[use], np.concatenate([y[learn], guess]), np.append(np.ones(len(learn)), np.full(len(rows), 0.5))))
         views = [v._replace(**dict(zip(("slope", "offset"), platt(v.raw(x[held]), y[held] == 1), strict=True))) for v, x in zip(views, (a, b), strict=True)]
+        views = [v._replace(offset=v.offset + prior - here) for v in views]
         if turn == rounds - 1 or not len(free):
             break
         taught = []
@@ -131,7 +142,7 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = 3, confi
             high, low = np.argsort(-p, kind="stable")[:most], np.argsort(p, kind="stable")[:most]
             high, low = high[p[high] >= confident], low[p[low] <= 1 - confident]
             taught.append((free[np.concatenate([high, low])], np.append(np.ones(len(high)), np.zeros(len(low)))))
-    return Model(*views, float(np.log((len(good) + 0.5) / (len(bad) + 0.5))))
+    return Model(*views, prior)
 
 
 def features(docs: DataFrame, meta: Sequence[str]) -> Column:
@@ -152,9 +163,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     """Fit on the driver from a bounded sample: at most ``rows`` labelled documents of each label and ``rows`` without one.
 
     Rows are chosen by a hash of their id before texts are read; features are
-    computed in the tasks, only they come to the driver.
+    computed in the tasks, only they come to the driver.  The prior is that of all labelled documents, so the model
+    does not change its level where a label has more rows than the bound.
     """
     rated = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    totals = {r.y: r["count"] for r in docs.select("doc_id").join(rated, "doc_id").groupBy("y").count().collect()}
+    rated = rated.join(docs.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     others = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().join(rated, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("y"))
     chosen = others.orderBy(*order).limit(rows)
@@ -167,7 +181,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     if not got:
         return None
     x = np.array([r.x for r in got])
-    return co_train(x[:, :N_CONTENT], x[:, N_CONTENT:], np.array([r.y for r in got]))
+    return co_train(x[:, :N_CONTENT], x[:, N_CONTENT:], np.array([r.y for r in got]), prior=log_odds(totals.get(1, 0), totals.get(0, 0)))
 
 
 def quality_score(docs: DataFrame, model: Model | None, meta: Sequence[str] = ("source", "lang")) -> Column:
