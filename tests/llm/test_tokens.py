@@ -85,3 +85,21 @@ def test_files(spark, make_docs, run_ids):
     every = np.concatenate(every)
     for a, n in [(0, 10), (len(every) - 5, 50), (1234, 5000), (3, 0)]:
         assert o.read_range(spark, path, a, n).tolist() == every[a : a + n].tolist()
+
+
+def test_other_vocabularies(make_docs):
+    """Ids and counts of a vocabulary that is no byte-level BPE are those of the library too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = "word_bpe_49k.json"
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["Plain words, here.", "UPPER lower  two spaces\nline", "Été 42 don't", "", "many words " * 9000, "x<|endoftext|>y"]
+    docs = make_docs(list(enumerate(texts)))
+    want = [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    assert {r.doc_id: r.n_tokens for r in c.count_tokens(docs, name).collect()} == {i: len(x) for i, x in enumerate(want)}
+    path = shared_path(docs.sparkSession, "other-vocabulary")
+    o.write_tokens(docs, path, name)
+    got = o.read_range(docs.sparkSession, path, 0, sum(map(len, want)) + len(want)).tolist()
+    assert got == [t for x in want for t in [*x, 0]]
+    assert c.byte_level("byte_bpe_50k.json") and not c.byte_level(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -29,6 +30,17 @@ def tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+@functools.cache
+def byte_level(name: str) -> bool:
+    """Whether the vocabulary is a byte-level BPE of the kind whose pieces STABLE knows: no normaliser, the usual pattern, no prefix space."""
+    spec = json.loads(tokenizer(name).to_str())
+    before = spec.get("pre_tokenizer") or {}
+    return (
+        spec["model"].get("type") == "BPE" and spec.get("normalizer") is None and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True) and not before.get("add_prefix_space", False)
+    )
+
+
 def spans(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     """Chunks of ``chunk`` characters and ``overlap`` more; a text that fits into one has one."""
     out, start = [], 0
@@ -65,9 +77,12 @@ def encode(values: list[str], name: str, chunk: int = 16_384, overlap: int = 128
     """Token ids of each text, as a list of parts in order.
 
     Texts over ``chunk + overlap`` characters are encoded in overlapping chunks; where a splice fails, the text is
-    encoded anew with twice the overlap, in the end as one chunk.
+    encoded anew with twice the overlap, in the end as one chunk.  Texts of a vocabulary that is not a byte-level BPE are
+    encoded whole, as nothing is proven of its pieces.
     """
     tok, out = tokenizer(name), [None] * len(values)
+    if not byte_level(name):
+        return [[e.ids] for e in tok.encode_batch(values, add_special_tokens=False)]
     margin = max((len(t.content) for t in tok.get_added_tokens_decoder().values()), default=0)
     todo = {i: overlap for i in range(len(values))}
     while todo:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_column, text_groups, texts
-from tidemark.llm.token_counts import encode, tokenizer
+from tidemark.llm.token_counts import byte_level, encode, tokenizer
 
 BLOCK_IDS = 4096
 #: A file's rows are runs of whole documents: ids are packed block by block, each block starts on a byte.
@@ -118,8 +118,11 @@ def encode_regular(values: list[str], name: str) -> list[np.ndarray]:
     Before a lone space, and before and after a lone line feed, the pre-tokenizer
     of a byte-level BPE always ends a piece, so a text's ids are those of its words, each with
     the space before it; words met before are not encoded again.  Texts with other white space
-    or with special strings are encoded as a whole.
+    or with special strings are encoded as a whole, and so are all texts
+    of a vocabulary of another kind.
     """
+    if not byte_level(name):
+        return [np.array([t for p in parts for t in p], dtype="<u4") for parts in encode(values, name)]
     memo, out, odd = piece_ids(name), [], []
     if len(memo) > memo.most:
         memo.clear()
