@@ -75,3 +75,14 @@ def test_lines(make_docs):
 def test_line_versions_of_one_document(make_docs):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "x\na\nb\nc")]
     assert [r.n_removed for r in line_dedup.remove_repeated_lines(make_docs(rows)).orderBy("n_lines").collect()] == [0, 0, 3]
+
+
+def test_chunk_ends_follow_content_in_any_script(spark):
+    import random
+
+    r = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e\u043f\u0440\u0441\u0442", "".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0xAC00, 0xB000)))):
+        text = " ".join("".join(r.choices(letters, k=r.randrange(2, 9))) for _ in range(12_000))
+        both = spark.range(1).select(exact_dedup.chunks(F.lit(text)).alias("a"), exact_dedup.chunks(F.lit("x" + text)).alias("b")).first()
+        assert "".join(both.a) == text and max(len(c.encode()) for c in both.a) <= 8192
+        assert len({*both.a} & {*both.b}) > 0.9 * len(both.a) > 9

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii, stored, texts
 
-#: A chunk has 768 to 8,192 characters and ends where the text around a word gap has this shape; a text without such a
-#: place is cut at 8,192 characters.  What is left at the end is a chunk of its own.
-CHUNK = r"(?s).{768,8190}?[nrst]\s(?=[a-d][e-o])|.{1,8192}"
+#: Where a chunk may end, over the bytes of UTF-8 as pairs of hexadecimal digits: after six ASCII characters, or three characters of
+#: two or of three bytes, whose last digits are all 0, 5 or A.  In text of any script that is one place in some hundreds of bytes.
+ENDS = r"(?:(?:[2-7][05A]){6}|(?:[CD].[89AB][05A]){3}|(?:E.[89AB].[89AB][05A]){3})"
+#: A chunk has about 768 to 8,192 bytes; a text without such a place is cut before byte 8,192, where a character ends (the digits 8, 9,
+#: A and B go on with one).  What is left at the end is a chunk of its own.
+CHUNK = r"(?:..){760,8180}?" + ENDS + r"|(?:..){1,8192}(?![89AB])"
 
 
 def chunks(text: Column, pattern: str = CHUNK) -> Column:
-    """The text cut into consecutive chunks whose ends depend on its content; an empty text has none."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """The text cut into consecutive chunks whose ends depend on its bytes alone; an empty text has none."""
+    parts = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(pattern), F.lit(0))
+    return F.transform(parts, lambda c: F.decode(F.unhex(c), "UTF-8"))
 
 
 def clashing_digests(docs: DataFrame, text: str, digest: Callable[[Column], Column], pattern: str) -> DataFrame:
