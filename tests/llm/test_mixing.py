@@ -81,3 +81,18 @@ def test_newton_meets_the_constraints(spark):
     logs = [(s, math.log(rate["a", s] / b)) for c, s, n, t, b in cls if c == "a"]
     slope = (logs[1][1] - logs[0][1]) / (logs[1][0] - logs[0][0])
     assert all(math.isclose(y, logs[0][1] + slope * (s - logs[0][0]), abs_tol=1e-9) for s, y in logs)
+
+
+@pytest.mark.parametrize("share", [0.001, 0.07, 0.9, 1.0, 1.5, 2.9, 2.999, 3.0])
+def test_tilt_meets_the_target(spark, share):
+    sizes = [(0, 5), (1, 50), (4, 300), (20, 100), (100, 30), (3000, 4), (90_000, 1)]
+    words = sum(n * s for s, n in sizes)
+    df = spark.createDataFrame([(c, s, n, words * share) for c in ("a", None) for s, n in sizes], "source string, size long, n long, target double")
+    got = {(r.source, r["size"]): r.rate for r in mixing.token_tilt(df.union(spark.createDataFrame([("z", 0, 3, 0.0)], df.schema))).collect()}
+    assert got["z", 0] == 0
+    for c in ("a", None):
+        assert math.isclose(sum(n * s * got[c, s] for s, n in sizes), words * share, rel_tol=1e-6)
+        logs = [(s, math.log(got[c, s])) for s, _ in sizes if s and 1e-300 < got[c, s] < 3 - 1e-9]
+        assert all(math.isclose(y * logs[-1][0], logs[-1][1] * s, rel_tol=1e-6, abs_tol=1e-6) for s, y in logs)
+        if share in (0.07, 1.5):
+            assert len({round(got[c, s], 6) for s, _ in sizes if s}) > 2  # not one flat rate

@@ -90,6 +90,46 @@ def entropy_balance(classes: DataFrame, rounds: int = 60, tolerance: float = 1e-
     return found.withColumn("rate", F.coalesce(rate, F.lit(0.0))).drop("mean", "a", "b")
 
 
+def token_tilt(classes: DataFrame, most: float = 3.0, rounds: int = 80, tolerance: float = 1e-9) -> DataFrame:
+    """Rates of document classes that meet each source's token target: ``classes`` with ``rate``, at most ``most``.
+
+    ``classes`` has source, size, n and target (at most ``most`` times the source's words).  The rates r minimise the sum of
+    n (r log r - r) with sum(n r size) = target and r <= most, so r = min(most, exp(a size / mean)): a source that is cut
+    down loses its long documents first, one that is repeated repeats them first.  The dual has one variable a source.  A
+    Newton round on the logarithm of the words taken sums value and slope per source (combined before the shuffle); a step
+    that leaves the bracket known so far is replaced by its middle.  Without a target or without words a rate is zero.
+    """
+    words, x = F.sum(F.col("n") * F.col("size")), F.col("size") / F.col("mean")
+    of_source = classes.where("size > 0").groupBy("source").agg(
+        words.alias("words"), (words / F.sum("n")).alias("mean"), F.first("target").alias("target"), F.min("size").alias("shortest")
+    ).where("target > 0")
+    # a bracket: here every document is at the limit, or the shortest one's rate alone would take less than the target
+    grows, least = F.col("target") >= F.col("words"), F.col("shortest") / F.col("mean")
+    high = F.when(grows, F.log(F.lit(float(most))) / least).otherwise(0.0)
+    low = F.when(grows, 0.0).otherwise(F.log(F.col("target") / F.col("words")) / least)
+    full = F.col("target") >= F.col("words") * float(most) * (1 - 1e-12)
+    tilt = stored(of_source.select("source", "mean", "target", low.alias("low"), high.alias("high"), F.when(full, high).otherwise(0.0).alias("a")), "tilt")
+    slim = classes.where("size > 0").select("source", "size", "n")
+    for _ in range(rounds):
+        free = F.exp(F.col("a") * x)
+        taken = F.col("n") * F.col("size") * F.least(free, F.lit(float(most)))
+        slope = F.when(free < most, F.col("n") * F.col("size") * x * free).otherwise(0.0)
+        sums = null_safe_join(slim, tilt, ["source"]).groupBy("source").agg(F.sum(taken).alias("s"), F.sum(slope).alias("d"))
+        now = null_safe_join(tilt, sums, ["source"]).withColumn("over", F.log(F.col("s") / F.col("target")))
+        now = now.withColumns({
+            "low": F.when(F.col("over") < 0, F.col("a")).otherwise(F.col("low")), "high": F.when(F.col("over") > 0, F.col("a")).otherwise(F.col("high")),
+            "step": F.col("a") - F.try_divide(F.col("over") * F.col("s"), F.col("d")),
+        })
+        inside = (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
+        a = F.when(F.abs("over") <= tolerance, F.col("a")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
+        tilt = stored(now.select("source", "mean", "target", "low", "high", a.alias("a"), F.abs("over").alias("gap")), "tilt")
+        if tilt.agg(F.coalesce(F.max("gap"), F.lit(0.0))).first()[0] <= tolerance:
+            break
+    found = null_safe_join(classes, tilt.select("source", "mean", "a"), ["source"], "left")
+    rate = F.when(F.col("size") > 0, F.least(F.exp(F.col("a") * x), F.lit(float(most))))
+    return found.withColumn("rate", F.coalesce(rate, F.lit(0.0))).drop("mean", "a")
+
+
 def class_copies(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Copies of each class of one source, longest documents first, what rounding misses carried to the next class."""
 
@@ -109,7 +149,7 @@ def mix_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int
     """How often the mix takes each document: doc_id, size, source_size, target, taken, and row (xxhash64 of the text), copies.
 
     Size is the number of words.  Each source's target follows ``target_sizes``.
-    Documents of one source and size are a class: rates, rounding and their
+    Rates are tilted by size (``token_tilt``).  Documents of one source and size are a class: rates, rounding and their
     carries need only the classes, whose number in one source is at
     most about the root of twice its words.  Inside a class the copies are dealt evenly, one more to
     those first in order of a hash of the id; no document has more than ``most``.
@@ -123,7 +163,7 @@ def mix_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int
     )
     classes = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
     targets = stored(target_sizes(classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most), "targets")
-    balanced = entropy_balance(stored(null_safe_join(classes, targets, ["source"]).withColumn("base", F.lit(1.0)), "classes"))
+    balanced = token_tilt(stored(null_safe_join(classes, targets, ["source"]), "classes"), most)
     kind = docs.schema["source"].dataType.simpleString()
     dealt = balanced.select("source", "size", "n", "rate").groupBy("source").applyInPandas(
         class_copies(most), f"source {kind}, size long, n long, copies long"
