@@ -55,7 +55,7 @@ BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
              CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
       FROM pages),
-    o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+    o AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
     names AS (
       SELECT *, CASE WHEN two IN ('example.com', 'example.net', 'example.org', 'co.uk', 'com.au', 'com.br', 'co.jp') THEN two ELSE one END AS suffix,
              CASE WHEN two IN ('example.com', 'example.net', 'example.org', 'co.uk', 'com.au', 'com.br', 'co.jp') THEN three ELSE two END AS domain
@@ -95,7 +95,7 @@ BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
 def op1(spark, table):
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     labels = table("labels")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.coalesce(bad, F.lit(0)).alias("bad"))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return url_filter.judge_urls(table("pages"), outcomes, ALLOW, BLOCK)
 
 
