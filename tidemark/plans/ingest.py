@@ -121,22 +121,35 @@ def duplicate_groups(articles: DataFrame) -> DataFrame:
 
 
 def title_digests(articles: DataFrame, *keep: str) -> DataFrame:
-    """(kept columns, digest of the normalised title), for titles long enough to compare; each title is normalised once."""
+    """(kept columns, digest of the normalised title, null for titles too short to compare); each title is normalised once.
+
+    The rows are stored before anything filters on the digest: a filter would be pushed below and repeat the whole rule chain.
+    """
     key = F.when(F.char_length("_title") >= MIN_TITLE_KEY, F.sha2("_title", 256))
     n = articles.select(*keep, T.normalize_title("title").alias("_title")).select(*keep, key.alias("title_digest"))
-    return cut_lineage(n.where("title_digest IS NOT NULL"))
+    return cut_lineage(n)
+
+
+def title_keepers(digests: DataFrame, ts: str) -> DataFrame:
+    """(id) of the oldest article of each title; a min per digest, combined map side."""
+    return digests.where("title_digest IS NOT NULL").groupBy("title_digest").agg(F.min_by("id", F.struct(ts, "id")).alias("id")).select("id")
 
 
 def duplicates_to_remove(articles: DataFrame, ts: str = "crawled_at") -> DataFrame:
     """(id, title_digest) of all but the oldest article of each duplicate title.
 
-    Only ids, times and digests are stored and shuffled. The keeper per title is a
-    min that combines map side; the rest is an anti join on the unique
+    Only ids, times and digests are stored and shuffled. The rest of a title is an anti join on the unique
     id, so a title that a third of all rows share is no hot key.
     """
     n = title_digests(articles, "id", ts)
-    keep = n.groupBy("title_digest").agg(F.min_by("id", F.struct(ts, "id")).alias("id")).select("id")
-    return n.join(keep, "id", "left_anti").select("id", "title_digest")
+    return n.where("title_digest IS NOT NULL").join(title_keepers(n, ts), "id", "left_anti").select("id", "title_digest")
+
+
+def without_duplicates(articles: DataFrame, *keep: str, ts: str = "crawled_at") -> DataFrame:
+    """The articles that stay, with the columns ``keep``: the oldest of each title and all with short titles, from one scan."""
+    n = title_digests(articles, "id", ts, *keep)
+    oldest = n.join(title_keepers(n, ts), "id", "left_semi")
+    return oldest.unionByName(n.where("title_digest IS NULL")).select("id", *keep)
 
 
 # --- pages -------------------------------------------------------------------------

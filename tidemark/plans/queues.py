@@ -30,6 +30,25 @@ def posts_without_sentiment(posts: DataFrame, sentiments: DataFrame, mentions: D
     return newest(p, "posted_at", limit)
 
 
+def register_queue_function(posts: DataFrame, sentiments: DataFrame, mentions: DataFrame, name: str = "get_posts_without_sentiment", min_chars: int = 30) -> None:
+    """The queue as an SQL table function with the number of posts as argument.
+
+    Its body is SQL over temporary views, so the optimizer inlines it into the statement that calls it.  As LIMIT takes no
+    argument there, a rank filter does the same; Spark applies it to each partition before rows meet.
+    """
+    for df, view in ((posts, "posts"), (sentiments, "sentiments"), (mentions, "mentions")):
+        df.createOrReplaceTempView(f"{name}_{view}")
+    posts.sparkSession.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(max_rows INT)
+        RETURNS TABLE (id {posts.schema["id"].dataType.simpleString()}, posted_at TIMESTAMP, place INT)
+        RETURN SELECT id, posted_at, place FROM (
+          SELECT p.id, p.posted_at, row_number() OVER (ORDER BY p.posted_at DESC, p.id) AS place FROM {name}_posts p
+          WHERE char_length(coalesce(p.title, '')) + char_length(coalesce(p.body, '')) >= {min_chars}
+            AND NOT EXISTS (SELECT 1 FROM {name}_sentiments s WHERE s.post_id = p.id)
+            AND EXISTS (SELECT 1 FROM {name}_mentions m WHERE m.post_id = p.id)) ranked
+        WHERE place <= {name}.max_rows""")
+
+
 def articles_without_summary(articles: DataFrame, limit: int | None = None) -> DataFrame:
     return newest(articles.where(F.col("summary").isNull() & F.col("is_active")), "crawled_at", limit)
 

@@ -183,17 +183,13 @@ AGO = """CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min
  WHEN s // 604800 < 4 THEN (s // 604800) || 'w ago' WHEN s // 86400 // 30 < 12 THEN (s // 86400 // 30) || ' mo ago' ELSE (s // 86400 // 365) || 'y ago' END"""
 
 
-@query("h17_time_ago", f"""SELECT id, {AGO} AS en FROM (SELECT event_id AS id, (epoch_us({T0}) - epoch_us(ts)) // 1000000 AS s FROM events WHERE ts <= {T0}
- UNION ALL SELECT o_orderkey + 1000000000, (epoch_us({T0}) - epoch_us(o_orderdate)) // 1000000 FROM orders) x""")
-def h17(t):
-    e = t.events.where(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz")).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    o = t.orders.select((F.col("o_orderkey") + 1000000000).alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-    return e.unionByName(o).select("id", X.time_ago("ts", AS_OF, "en").alias("en"))
+AGO_SQL = f"""SELECT id, {AGO} AS en FROM (SELECT event_id AS id, (epoch_us({T0}) - epoch_us(ts)) // 1000000 AS s FROM events
+ UNION ALL SELECT o_orderkey + 1000000000, (epoch_us({T0}) - epoch_us(o_orderdate)) // 1000000 FROM orders) x"""
 
 
-@query("h17_time_ago_all", f"""SELECT id, {AGO} AS en FROM (SELECT event_id AS id, (epoch_us({T0}) - epoch_us(ts)) // 1000000 AS s FROM events
- UNION ALL SELECT o_orderkey + 1000000000, (epoch_us({T0}) - epoch_us(o_orderdate)) // 1000000 FROM orders) x""")
-def h17a(t):
+@query("h17_time_ago", AGO_SQL)
+@query("h17_time_ago_all", AGO_SQL)
+def h17(t):
     e = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     o = t.orders.select((F.col("o_orderkey") + 1000000000).alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     return e.unionByName(o).select("id", X.time_ago("ts", AS_OF, "en").alias("en"))
@@ -713,8 +709,7 @@ def w3(t):
 
 @query("p16_cross_source_dedup", f"SELECT id, source_name FROM v_articles WHERE id NOT IN ({DUP_SQL})")
 def p16(t):
-    a = t.v_articles
-    return a.join(I.duplicates_to_remove(a.drop("title").withColumnRenamed("content", "title")).select("id"), "id", "left_anti").select("id", "source_name")
+    return I.without_duplicates(t.v_articles.drop("title").withColumnRenamed("content", "title"), "source_name")
 
 
 @query("j20_title_anti_join", f"SELECT id FROM v_articles WHERE lang = 'en' AND (length({norm_title_sql('title')}) < 10 OR {norm_title_sql('title')} NOT IN (SELECT {norm_title_sql('title')} FROM v_articles WHERE lang <> 'en' OR id < 300))")

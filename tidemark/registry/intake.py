@@ -479,18 +479,14 @@ def s27(t):
                      act.select(F.concat(F.lit("s-"), F.col("id").cast("string")).alias("slug")), "https://x.example.com").select("url")
 
 
-@query("s27_changed_urls", f"""SELECT '/' || lc || p AS url FROM (SELECT unnest(['/landing', '/topics', '/tags', '/sources', '/authors', '/blog']) AS p
- UNION ALL SELECT DISTINCT '/sources/site' || source_id FROM v_crawl_logs WHERE status = 'completed' AND articles_new > 0 AND source_id < 20
- UNION ALL SELECT * FROM (SELECT '/articles/s-' || id FROM v_articles WHERE is_active ORDER BY crawled_at DESC, id LIMIT (SELECT sum(articles_new) FROM v_crawl_logs WHERE source_id < 20)) a) x, {LC}""")
-def s27c(t):
-    r = t.v_crawl_logs.where("source_id < 20").select((F.col("status") == "completed").alias("success"), "articles_new", F.concat(F.lit("site"), F.col("source_id").cast("string")).alias("source_name"))
-    return E.changed_urls(r, t.v_articles.withColumn("slug", F.concat(F.lit("s-"), F.col("id").cast("string"))))
+CHANGED_SQL = f"""SELECT '/' || lc || p AS url FROM (SELECT unnest(['/landing', '/topics', '/tags', '/sources', '/authors', '/blog']) AS p
+ UNION ALL SELECT DISTINCT '/sources/site' || source_id FROM v_crawl_logs WHERE status = 'completed' AND articles_new > 0
+ UNION ALL SELECT * FROM (SELECT '/articles/s-' || id FROM v_articles WHERE is_active ORDER BY crawled_at DESC, id LIMIT (SELECT sum(articles_new) FROM v_crawl_logs)) a) x, {LC}"""
 
 
-@query("s27_changed_urls_all", f"""SELECT '/' || lc || p AS url FROM (SELECT unnest(['/landing', '/topics', '/tags', '/sources', '/authors', '/blog']) AS p
- UNION ALL SELECT DISTINCT '/sources/site' || source_id FROM v_crawl_logs WHERE status = 'completed' AND articles_new > 0
- UNION ALL SELECT * FROM (SELECT '/articles/s-' || id FROM v_articles WHERE is_active ORDER BY crawled_at DESC, id LIMIT (SELECT sum(articles_new) FROM v_crawl_logs)) a) x, {LC}""")
-def s27ca(t):
+@query("s27_changed_urls", CHANGED_SQL)
+@query("s27_changed_urls_all", CHANGED_SQL)
+def s27c(t):
     r = t.v_crawl_logs.select((F.col("status") == "completed").alias("success"), "articles_new", F.concat(F.lit("site"), F.col("source_id").cast("string")).alias("source_name"))
     return E.changed_urls(r, t.v_articles.withColumn("slug", F.concat(F.lit("s-"), F.col("id").cast("string"))))
 
