@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,15 +68,14 @@ def update_if(spark: SparkSession, path: str, changes: DataFrame, key: str, cond
 
 
 def last_snapshot(spark: SparkSession, path: str) -> int:
-    """Number of the last batch that a snapshot covers, -1 without one; only folder names are looked at."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true")
+    """Number of the last batch that a whole snapshot covers, -1 without one: a marker row per snapshot says so."""
     try:
-        found = names.load(f"{path}/snapshots").select(F.regexp_extract("path", "upto-([0-9]+)/_SUCCESS$", 1).cast("int").alias("upto"))
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+        markers = spark.read.schema("upto int").parquet(f"{path}/markers")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return -1
-    return found.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    return markers.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
 
 
 def read_log(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
@@ -83,13 +83,15 @@ def read_log(spark: SparkSession, path: str, keys: Sequence[str], order: Sequenc
     upto = last_snapshot(spark, path)
     tail = spark.read.parquet(f"{path}/rows").where(F.col("batch") > upto)
     if upto >= 0:
-        tail = tail.unionByName(spark.read.parquet(f"{path}/snapshots/upto-{upto}").withColumn("batch", F.lit(upto)))
+        tail = tail.unionByName(spark.read.parquet(f"{path}/snapshots/{upto}").withColumn("batch", F.lit(upto)))
     return first_per_key(tail, list(keys), [F.col("batch").desc(), *order]).drop("batch")
 
 
 def compact(spark: SparkSession, path: str, upto: int, keys: Sequence[str], order: Sequence[Column] = ()) -> None:
-    """A snapshot of the log up to batch ``upto``, from the one before and the batches since; complete once its _SUCCESS is there."""
-    read_log(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/snapshots/upto-{upto}")
+    """A snapshot of the log up to batch ``upto``, from the one before and the batches since; the marker comes when it is whole."""
+    if last_snapshot(spark, path) < upto:
+        read_log(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/snapshots/{upto}")
+        spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{path}/markers")
 
 
 def upsert_log(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], order: Sequence[Column], every: int = 20) -> None:

@@ -28,8 +28,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 class LinkSets(StatefulProcessor):
     """Emits a source's newest links when their set differs from the one last seen; a hash per source is all that is kept."""
 
-    def __init__(self, n: int, ttl_days: int):
-        self.n, self.ttl_ms = n, ttl_days * 86_400_000
+    def __init__(self, n: int, ttl_days: int | None):
+        self.n, self.ttl_ms = n, ttl_days and ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("links", "hash string", self.ttl_ms)
@@ -47,14 +47,15 @@ class LinkSets(StatefulProcessor):
         pass
 
 
-def changed_links(items: DataFrame, n: int = PER_SOURCE, ttl_days: int = 365) -> DataFrame:
+def changed_links(items: DataFrame, n: int = PER_SOURCE, ttl_days: int | None = None) -> DataFrame:
     """(crawl, source_name, link) of sources whose ``n`` newest links changed; ``items`` has crawl, source_name, link, pos.
 
-    One micro-batch is one crawl of a source.  A source not seen for ``ttl_days`` is forgotten and counts as new.
+    One micro-batch is one crawl of a source.  With ``ttl_days`` a source not seen for so long is forgotten and counts as new;
+    such a stream has to run on, as one that processes what is there and stops would wait for the time to pass.
     """
     rows = items.select("crawl", "source_name", "link", "pos").where("link IS NOT NULL AND source_name IS NOT NULL")
     return rows.groupBy("source_name").transformWithState(
-        LinkSets(n, ttl_days), "crawl int, source_name string, link string", outputMode="Append", timeMode="ProcessingTime"
+        LinkSets(n, ttl_days), "crawl int, source_name string, link string", outputMode="Append", timeMode="ProcessingTime" if ttl_days else "None"
     )
 
 
