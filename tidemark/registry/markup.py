@@ -1,4 +1,4 @@
-"""Feeds, sitemaps and exports through Spark's XML functions; substring search that skips blocks."""
+"""Feeds, sitemaps and exports through Spark's XML functions; substring search that skips blocks; landed payload files."""
 
 from pyspark.sql import functions as F
 
@@ -9,6 +9,7 @@ from tidemark.registry.base import AS_OF, query
 from tidemark.registry.feed import NAMES
 from tidemark.registry.intake import us
 from tidemark.sources import feed_xml as X
+from tidemark.sources import landed as LA
 from tidemark.streaming.streams import stream_folder
 
 T0 = f"TIMESTAMP '{AS_OF}'"
@@ -76,3 +77,24 @@ def b3_blocks(t):
     rare = t.v_articles.where("is_active AND char_length(content) >= 60").agg(F.min_by(F.substring("content", 20, 30), "id")).first()[0] or "tion"
     found = [A.select_articles(BL.candidates(t.spark, path, x), search=x).select(F.lit(n).alias("needle"), "id") for n, x in (("common", "tion"), ("rare", rare))]
     return found[0].unionByName(found[1])
+
+
+def landed(t, path, rows):
+    """Events as payload lines in the folders of their type and day."""
+    payload = F.to_json(F.struct("event_id", "user_id", F.col("value").cast("string").alias("v")))
+    d = rows.select(F.col("event_type").alias("source"), F.col("ts").cast("date").alias("day"), payload.alias("value"))
+    d.repartition("source", "day").write.mode("append").partitionBy("source", "day").text(path)
+    LA.register(t.spark)
+
+
+READ = "event_id long, user_id long, v string"
+
+
+@query("s16_landed_payloads", """SELECT event_type AS source, CAST(ts AS DATE) AS day, event_id, user_id, value FROM events
+ WHERE event_type IN ('click', 'purchase') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-16' AND user_id % 2 = 0""")
+def s16_landed(t):
+    path = stream_folder(t.spark, "landed")
+    landed(t, path, t.events)
+    r = t.spark.read.format("landed").load(path).where("source IN ('click', 'purchase') AND day >= DATE'2024-01-10' AND day < DATE'2024-01-16'")
+    j = r.select("source", "day", F.from_json("payload", READ).alias("j")).select("source", "day", "j.event_id", "j.user_id", F.col("j.v").cast("double").alias("value"))
+    return j.where("user_id % 2 = 0")
