@@ -67,6 +67,21 @@ def test_mix(make_docs, rows):
     assert {r.doc_id: r["count"] for r in mixed} == {d: n for d, n in copies.items() if n}
 
 
+def test_repeated_rows_share_their_copies(make_docs):
+    """Rows that repeat id, source and text are as many as the copies dealt to them, however many they are, null ids included."""
+    rows = [(None, "same words here", "en", "a")] * 70 + [(1, "same words here", "en", "a")] * 30 + [(k, f"w{k} " * (k % 9 + 1), "en", "b") for k in range(60)]
+    rows += [(5, "x y", "en", None), (5, "x y", "en", "c"), (None, None, None, None)]
+    docs = make_docs(rows, ["row", "same_no", "n_copies"])
+    want, got = defaultdict(int), defaultdict(int)
+    dealt = mixing.mix_copies(docs, most=3, more=["source"]).collect()
+    for r in dealt:
+        want[r.doc_id, r.source, r.size] += r.copies
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert len({r.copies for r in dealt if r.doc_id is None and r.source == "a"}) == 2  # the case that needs numbers
+
+
 def test_newton_meets_the_constraints(spark):
     """With uneven base rates the optimum is no longer one rate a source: both constraints must still hold."""
     cls = [("a", s, n, 900.0, b) for s, n, b in [(1, 50, 1.0), (4, 30, 0.5), (20, 10, 2.0), (100, 3, 0.2)]] + [("b", 7, 10, 35.0, 1.0), ("c", 0, 5, 0.0, 1.0)]

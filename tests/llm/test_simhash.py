@@ -102,8 +102,11 @@ def test_components(spark, edges):
 
 
 def test_first_of_group_stays(make_docs):
-    rows = [(3, "one two three four"), (1, "one two three four"), (2, "something else here now"), (None, "one two three four"), (1, "one two three four")]
-    assert sorted((r.doc_id or 0) for r in s.first_of_group(make_docs(rows)).collect()) == [0, 1, 1, 2]
+    """One row of each group, also where ids repeat or are null."""
+    a, b, c = "one two three four", "something else here now", "quite another text about nothing at all"
+    rows = [(3, a), (1, a), (2, b), (None, a), (1, a), (None, c), (None, c), (None, None), (None, ""), (2, b), (7, b)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in s.first_of_group(make_docs(rows, ["row", "row_key", "n"])).collect())
+    assert got == [(0, ""), (0, c), (1, a), (2, b)]
 
 
 def test_other_text_of_a_removed_id_stays(make_docs):

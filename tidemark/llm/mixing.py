@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, free_name, stored
@@ -145,8 +145,8 @@ def class_copies(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return run
 
 
-def mix_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """How often the mix takes each document: doc_id, size, source_size, target, taken, and row (xxhash64 of the text), copies.
+def mix_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, more: Sequence[str] = ()) -> DataFrame:
+    """How often the mix takes each document: doc_id, size, source_size, target, taken, row (xxhash64 of the text), copies, and the columns ``more``.
 
     Size is the number of words.  Each source's target follows ``target_sizes``.
     Rates are tilted by size (``token_tilt``).  Documents of one source and size are a class: rates, rounding and their
@@ -173,25 +173,26 @@ def mix_copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int
     placed = null_safe_join(row_numbers(sized, ["source", "size"], order, "at"), dealt, ["source", "size"])
     n = F.expr("copies div n") + F.when(F.col("at") <= F.col("copies") % F.col("n"), 1).otherwise(0)
     return placed.select(
-        "doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), "row", n.cast("int").alias("copies")
+        "doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), "row", n.cast("int").alias("copies"), *more
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns.
 
-    Documents are dealt once by id and text; rows that repeat both are numbered and share out their copies.
+    Documents are dealt by id, source and text.  Rows that repeat all three lie side by side in their class, so all of them
+    have the same number of copies but for at most one such group a class; only those groups are numbered, by a sort
+    across the cluster.  Null ids, sources and texts match each other; an empty table gives an empty result.
     """
-    id_, none, row, rank, copies, copy = (free_name(docs, c) for c in ("id_key", "id_is_null", "row_key", "same_no", "n_copies", "copy_no"))
-    key = [id_, none, row]
-
-    def keyed(df: DataFrame, text_hash: Column) -> DataFrame:
-        """Keys without nulls, so that numbering and join use one partitioning."""
-        return df.withColumns({id_: F.coalesce("doc_id", F.lit(0)), none: F.isnull("doc_id"), row: text_hash})
-
-    taken = keyed(mix_copies(docs.select("doc_id", "text", "source"), weights, most), F.col("row"))
-    taken = stored(taken.groupBy(*key).agg(F.collect_list("copies").alias(copies)), "taken")
-    same = keyed(docs, F.xxhash64("text")).withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-    n = F.get(copies, F.col(rank) - 1)
-    found = same.join(taken, key).where(n > 0)
-    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    row, rank, low, more, copies, copy = (free_name(docs, c) for c in ("row_key", "same_no", "least_copies", "one_more", "n_copies", "copy_no"))
+    key = ["doc_id", "source", row]
+    taken = mix_copies(docs.select("doc_id", "text", "source"), weights, most, ["source"]).withColumnRenamed("row", row)
+    taken = taken.groupBy(*key).agg(F.min("copies").alias(low), F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rank))
+    taken = stored(taken.where(F.col(copies) > 0).select(*key, low, (F.col(copies) - F.col(low) * F.col(rank)).alias(more)), "taken")
+    keyed = docs.withColumn(row, F.xxhash64("text"))
+    even = null_safe_join(keyed, taken.where(F.col(more) == 0), key).withColumn(copies, F.col(low))
+    mixed = null_safe_join(keyed, taken.where(F.col(more) > 0), key)
+    order = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "source", "text") and "map<" not in kind]
+    mixed = row_numbers(mixed, key, order, rank).withColumn(copies, F.col(low) + F.when(F.col(rank) <= F.col(more), 1).otherwise(0))
+    found = even.select(*docs.columns, copies).unionByName(mixed.select(*docs.columns, copies)).where(F.col(copies) > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

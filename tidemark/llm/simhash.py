@@ -160,26 +160,39 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 2048) -> DataF
 
 
 def grouped(docs: DataFrame, radius: int = 3, size: int = 2048) -> DataFrame:
-    """doc_id, row (the text's key), fp and component_id, one row per input row."""
+    """doc_id, row (the text's key), fp, component_id and root (a fingerprint that names the group), one row per input row."""
     f = stored(fingerprints(docs), "fingerprints")
     first = stored(f.groupBy("fp").agg(F.min("doc_id").alias("first")), "by-fingerprint")
     group = components(close_pairs(first.select("fp"), radius, size))
     linked = first.join(group, first["fp"] == group["node"]).select("fp", "first", "root")
     smallest = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     of_fp = first.join(
-        stored(linked.join(smallest, "root").select("fp", "component_id"), "linked"), "fp", "left"
-    ).select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return f.join(stored(of_fp, "members"), "fp").select("doc_id", "row", "fp", "component_id")
+        stored(linked.join(smallest, "root").select("fp", "root", "component_id"), "linked"), "fp", "left"
+    ).select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return f.join(stored(of_fp, "members"), "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def first_of_group(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The document with the smallest doc_id of each group, with all its columns.
+    """One document of each group, with all its columns: the smallest doc_id, null last, and of its texts the one with the smallest key.
 
-    Only ids and keys of texts are joined to the documents.  Of an id that has several texts only those leave that are near a
-    smaller id's.  Rows that share the id of a document that stays and are near it all stay; documents without an id stay.
+    Of rows that repeat the kept id and text one stays; which one is open where they differ in other columns.  A group of
+    only null ids keeps one row.  Null and empty texts are one group with all that is near fingerprint zero.
+
+    Only ids and keys of texts are joined to the documents; documents themselves are moved where their id and text repeat,
+    reduced to one row a task first.
     """
-    key = free_name(docs, "row_key")
-    found = grouped(docs.select("doc_id", "text"), radius)
-    gone = found.where("doc_id <> component_id").select("doc_id", F.col("row").alias(key)).distinct()
-    keyed = docs.withColumn(key, text_key(F.col("text")))
-    return keyed.join(stored(gone, "duplicates"), ["doc_id", key], "left_anti").select(*docs.columns)
+    id_, none, key = (free_name(docs, c) for c in ("id_key", "id_is_null", "row_key"))
+    on = [id_, none, key]
+    # keys without nulls, so that plain joins match them
+    found = grouped(docs.select("doc_id", "text"), radius).select(
+        "root", F.isnull("doc_id").alias(none), F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("row").alias(key)
+    )
+    same = stored(found.groupBy("root", *on).agg(F.count(F.lit(1)).alias("n")), "same-rows")
+    kept = same.groupBy("root").agg(F.min(F.struct(none, id_, key)).alias("kept"))
+    this = (F.col(none) == F.col("kept")[none]) & (F.col(id_) == F.col("kept")[id_]) & (F.col(key) == F.col("kept")[key])
+    marked = stored(same.join(kept, "root").select(*on, F.when(~this, "gone").when(F.col("n") > 1, "repeated").alias("fate")), "fates")
+    marked = marked.where("fate IS NOT NULL")
+    keyed = docs.withColumns({none: F.isnull("doc_id"), id_: F.coalesce("doc_id", F.lit(0)), key: text_key(F.col("text"))})
+    single = keyed.join(marked, on, "left_anti")
+    repeated = keyed.join(marked.where("fate = 'repeated'"), on, "left_semi").dropDuplicates(on)
+    return single.unionByName(repeated).select(*docs.columns)
