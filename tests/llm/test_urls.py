@@ -11,10 +11,58 @@ def test_host_and_path(spark):
     assert evaluate(spark, u.url_path(F.col("x")), URLS) == ["/p/q", "", "", "/a", "", "", "", "//c/d", "/p"]
 
 
+def split(spark, hosts, rules):
+    got = u.split_hosts(spark.createDataFrame([(h,) for h in hosts], "host string"), u.suffix_table(spark, rules)).collect()
+    return {r.host: (r.suffix, r.domain) for r in got}
+
+
 def test_levels(spark):
-    hosts = ["www.a.example.com", "a.example.com", "example.com", "b.c.org", "c.org", "org", "", "x.y.co.uk"]
-    assert evaluate(spark, u.host_suffix(F.col("x")), hosts) == ["example.com"] * 3 + ["org"] * 3 + ["", "co.uk"]
-    assert evaluate(spark, u.registered_domain(F.col("x")), hosts) == ["a.example.com", "a.example.com", "example.com", "c.org", "c.org", "org", "", "y.co.uk"]
+    hosts = ["www.a.example.com", "a.example.com", "example.com", "b.c.org", "c.org", "org", "", "x.y.co.uk", "org", None]
+    got = split(spark, hosts, u.SHARED_SUFFIXES)
+    assert [got[h][0] for h in hosts[:8]] == ["example.com"] * 3 + ["org"] * 3 + ["", "co.uk"] and len(got) == 8
+    assert [got[h][1] for h in hosts[:8]] == ["a.example.com", "a.example.com", "example.com", "c.org", "c.org", "org", "", "y.co.uk"]
+
+
+def test_wildcards_and_exceptions(spark):
+    rules = ["ck", "*.ck", "!www.ck", "a.b.c.jp", "jp", " CO.jp ", None, "", "jp"]
+    want = {
+        "x.y.ck": ("y.ck", "x.y.ck"), "w.x.y.ck": ("y.ck", "x.y.ck"), "y.ck": ("y.ck", "y.ck"), "ck": ("ck", "ck"), "www.ck": ("ck", "www.ck"),
+        "z.www.ck": ("ck", "www.ck"), "q.a.b.c.jp": ("a.b.c.jp", "q.a.b.c.jp"), "b.c.jp": ("jp", "c.jp"), "n.co.jp": ("co.jp", "n.co.jp"),
+        "none": ("none", "none"), "p.none": ("none", "p.none"), ".": ("", "."), "l." * 3000 + "jp": ("jp", "l.jp"),
+    }
+    assert split(spark, want, rules) == want
+    assert split(spark, ["a.co.uk"], []) == {"a.co.uk": ("uk", "co.uk")}
+
+
+def plain_split(host, rules):
+    """The rules applied one by one to the labels of one host."""
+    labels, best, excepted = host.split("."), 1, False
+    for rule in rules:
+        parts = rule.lstrip("!").split(".")
+        tail = labels[-len(parts):]
+        if len(tail) == len(parts) and all(p in ("*", x) for p, x in zip(parts, tail, strict=True)):
+            if rule.startswith("!"):
+                best, excepted = len(parts) - 1, True
+            elif not excepted:
+                best = max(best, len(parts))
+    return ".".join(labels[-best:]), ".".join(labels[-best - 1:])
+
+
+def test_many_suffixes(spark):
+    """Thousands of rules and hosts against a plain version."""
+    tops = [f"t{i}" for i in range(50)]
+    rules = tops + [f"s{j}.t{i}" for i in range(50) for j in range(i)] + [f"*.w.t{i}" for i in range(0, 50, 2)] + [f"!x.w.t{i}" for i in range(0, 50, 6)]
+    hosts = {f"{a}{b}{c}.t{i}" for i in range(60) for a in ("", "n.") for b in ("", "m.", "x.") for c in ("w", "s3", "s40", "k")}
+    assert split(spark, hosts, rules) == {h: plain_split(h, rules) for h in hosts}
+
+
+def test_suffixes_decide_who_pools(spark):
+    """Two strangers under a shared suffix: with the suffix known, one's bad outcomes do not reach the other's new host."""
+    outcomes = spark.createDataFrame([("a.bad.hosting.io", 1)] * 30 + [("b.fine.hosting.io", 0)] * 30 + [(f"h{i}.c.com", 0) for i in range(40)], "host string, bad int")
+    hosts = outcomes.select("host").union(spark.createDataFrame([("new.fine.hosting.io",)], "host string"))
+    rate = [{r.host: r.bad_rate for r in u.host_reputation(hosts.distinct(), outcomes, suffixes=t).collect()}["new.fine.hosting.io"]
+            for t in (u.suffix_table(spark, ["io"]), u.suffix_table(spark, ["io", "hosting.io"]))]
+    assert rate[1] < 0.1 < rate[0]
 
 
 def test_longest_rule_wins(spark):
