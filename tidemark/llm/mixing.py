@@ -189,9 +189,11 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     taken = mix_copies(docs.select("doc_id", "text", "source"), weights, most, ["source"]).withColumnRenamed("row", row)
     taken = taken.groupBy(*key).agg(F.min("copies").alias(low), F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rank))
     taken = stored(taken.where(F.col(copies) > 0).select(*key, low, (F.col(copies) - F.col(low) * F.col(rank)).alias(more)), "taken")
+    # a table of its own: its files' size tells the planner whether the documents must move for it
+    uneven = stored(taken.where(F.col(more) > 0), "uneven")
     keyed = docs.withColumn(row, F.xxhash64("text"))
     even = null_safe_join(keyed, taken.where(F.col(more) == 0), key).withColumn(copies, F.col(low))
-    mixed = null_safe_join(keyed, taken.where(F.col(more) > 0), key)
+    mixed = null_safe_join(keyed, uneven, key)
     order = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "source", "text") and "map<" not in kind]
     mixed = row_numbers(mixed, key, order, rank).withColumn(copies, F.col(low) + F.when(F.col(rank) <= F.col(more), 1).otherwise(0))
     found = even.select(*docs.columns, copies).unionByName(mixed.select(*docs.columns, copies)).where(F.col(copies) > 0)

@@ -190,9 +190,11 @@ def first_of_group(docs: DataFrame, radius: int = 3) -> DataFrame:
     same = stored(found.groupBy("root", *on).agg(F.count(F.lit(1)).alias("n")), "same-rows")
     kept = same.groupBy("root").agg(F.min(F.struct(none, id_, key)).alias("kept"))
     this = (F.col(none) == F.col("kept")[none]) & (F.col(id_) == F.col("kept")[id_]) & (F.col(key) == F.col("kept")[key])
-    marked = stored(same.join(kept, "root").select(*on, F.when(~this, "gone").when(F.col("n") > 1, "repeated").alias("fate")), "fates")
-    marked = marked.where("fate IS NOT NULL")
+    fate = F.when(~this, "gone").when(F.col("n") > 1, "repeated")
+    # tables of their own: their files' size tells the planner whether the documents must move at all
+    marked = stored(same.join(kept, "root").select(*on, fate.alias("fate")).where("fate IS NOT NULL"), "fates")
+    several = stored(marked.where("fate = 'repeated'").select(*on), "repeated")
     keyed = docs.withColumns({none: F.isnull("doc_id"), id_: F.coalesce("doc_id", F.lit(0)), key: text_key(F.col("text"))})
     single = keyed.join(marked, on, "left_anti")
-    repeated = keyed.join(marked.where("fate = 'repeated'"), on, "left_semi").dropDuplicates(on)
+    repeated = keyed.join(several, on, "left_semi").dropDuplicates(on)
     return single.unionByName(repeated).select(*docs.columns)
