@@ -1,6 +1,7 @@
 """Sources, sinks, streams and whole jobs: replays, malformed input, order independence."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -119,6 +120,48 @@ def test_chat_replay_changes_nothing(spark, tmp_path):
     assert [(r.source_id, r.coin_symbol, r.mention_count) for r in mentions.collect()] == [("discord_1", "BTC", 1)]
 
 
+def opened(df):
+    """The bound of the batches that a log read opens, and its snapshots."""
+    bounds = re.findall(r"PartitionFilters: \[isnotnull\(batch[^]]*?(> \d+\))", plan(df))
+    return (*set(bounds), {f.split("/snapshots/")[1].split("/")[0] for f in df.inputFiles() if "/snapshots/" in f})
+
+
+def test_chat_reads_snapshots_and_the_tail(spark, tmp_path):
+    """Six batches with edited messages and a snapshot after every second: old batches are not opened, results as without snapshots."""
+    coins = spark.createDataFrame([("BTC", "bitcoin"), ("ETH", "ethereum")], "symbol string, name string")
+    schema = "id long, guild string, guild_id string, channel string, channel_id string, author string, is_bot boolean, content string, created_at string"
+    src, folder = str(tmp_path / "in"), ST.stream_folder(spark, "chat")
+    for i in range(6):
+        word = ("bitcoin", "ethereum", "nothing")[i % 3]
+        rows = [(k, "g", "1", "general", "1", "ann", False, f"{word} is going up a lot today", f"2024-01-0{i + 1} 00:00:00") for k in (0, i, 10 + i % 2)]
+        df = spark.createDataFrame(sorted(set(rows)), schema)
+        df.coalesce(1).write.mode("append").parquet(src)
+        ST.chat_ingest(ST.file_stream(spark, src, "*.parquet", df.schema), coins, folder, every=2)
+    posts, mentions = ST.read_chat(spark, folder)
+    want = {0: "nothing", 1: "ethereum", 2: "nothing", 3: "bitcoin", 4: "ethereum", 5: "nothing", 10: "ethereum", 11: "nothing"}
+    assert {r.source_id: r.title.split()[0] for r in posts.collect()} == {f"discord_{k}": w for k, w in want.items()}
+    symbol = {"bitcoin": "BTC", "ethereum": "ETH"}
+    assert {(r.source_id, r.coin_symbol) for r in mentions.collect()} == {(f"discord_{k}", symbol[w]) for k, w in want.items() if w in symbol}
+    # the snapshot of batch 5 holds all; batch 5 itself saw the snapshot of batch 3 and batch 4
+    assert opened(posts) == opened(mentions) == ("> 5)", {"5"})
+    assert opened(ST.chat_state(spark, folder, 5)[0]) == ("> 3)", {"3"})
+
+
+def test_change_state_with_snapshots(spark, tmp_path):
+    """A source is announced again only in batches where its links changed, whether or not a snapshot lies between."""
+    src = str(tmp_path / "in")
+    schema = spark.createDataFrame([], ITEM).schema
+    folder, want = ST.stream_folder(spark, "chg"), set()
+    for i in range(5):
+        links = {"s1": "https://a.com/1", "s2": f"https://b.com/{i // 2}", "s3": f"https://c.com/{i}"}
+        want |= {(i, links["s3"])} | ({(i, links["s2"])} if i % 2 == 0 else set()) | ({(i, links["s1"])} if i == 0 else set())
+        spark.createDataFrame([item(s, 0, x) for s, x in links.items()], ITEM).coalesce(1).write.mode("append").parquet(src)
+        ST.change_detect(ST.file_stream(spark, src, "*.parquet", schema), folder, every=2)
+    got = spark.read.parquet(f"{folder}/items").select("batch", "link").collect()
+    assert {tuple(r) for r in got} == want
+    assert opened(ST.read_state(spark, f"{folder}/state", 5, "source_name")) == ("> 3)", {"3"})
+
+
 def signal_rows(t, reverse=False):
     m = t.v_mentions.orderBy(F.rand(3)).repartition(7) if reverse else t.v_mentions
     s = G.generate_signals(m, t.v_posts, phrased(t), t.v_coins, t.v_prices, AS_OF)

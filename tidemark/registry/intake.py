@@ -16,6 +16,7 @@ from tidemark.sources import exports as E
 from tidemark.sources import feeds as SF
 from tidemark.sources import sinks as K
 from tidemark.sources import social as SO
+from tidemark.sources import tables as TB
 from tidemark.streaming import streams as ST
 
 T0 = f"TIMESTAMP '{AS_OF}'"
@@ -571,7 +572,7 @@ def t2(t):
     rows = e.select(F.concat(F.lit("ch"), (F.col("user_id") % 12).cast("string")).alias("channel"), F.col("event_id").alias("id"), "ts")
     folder = ST.stream_folder(t.spark, "upsert")
     ST.upsert_stream(rows, folder, ["channel"], [F.col("ts").desc(), F.col("id")])
-    return K.current(t.spark, f"{folder}/rows", ["channel"]).select("channel", "id")
+    return TB.read_log(t.spark, folder, ["channel"]).select("channel", "id")
 
 
 @query("t6_late_data", """SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE epoch_us(ts) // 86400000000 * 86400000000 + 86400000000 <= (SELECT max(epoch_us(ts)) FROM events) - 43200000000 GROUP BY 1""")

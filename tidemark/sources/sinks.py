@@ -1,15 +1,15 @@
 """Keyed writes as DataFrame transformations, plus thin writers.
 
 The transformations return the next state of a table.  ``write_batch`` keeps a
-log of batches that replays safely, and ``current`` reads the last row per key
-from it; on a table format with MERGE, ``merge_into`` does the same in place.
+log of batches that replays safely, which ``tables.read_log`` reads from its last
+snapshot; on a table format with MERGE, ``merge_into`` does the same in place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.titles import article_slug
@@ -85,11 +85,6 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Last row per key of a batch log."""
-    return first_per_key(spark.read.parquet(path), keys, [F.col("batch").desc(), *order]).drop("batch")
-
-
 def merge_into(delta: DataFrame, table: str, keys: Sequence[str], condition: Column | None = None) -> None:
     """Upsert into a table whose format supports MERGE."""
     d = delta.dropDuplicates(list(keys)).alias("d")

@@ -67,31 +67,46 @@ def update_if(spark: SparkSession, path: str, changes: DataFrame, key: str, cond
 # --- batch logs with snapshots ----------------------------------------------------------------
 
 
-def last_snapshot(spark: SparkSession, path: str) -> int:
-    """Number of the last batch that a whole snapshot covers, -1 without one: a marker row per snapshot says so."""
+def last_snapshot(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """Number of the last batch that a whole snapshot covers, -1 without one: a marker row per snapshot says so.
+
+    With ``before`` only snapshots of earlier batches count, so a replayed batch does not see itself.
+    """
     try:
         markers = spark.read.schema("upto int").parquet(f"{path}/markers")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return -1
-    return markers.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    known = markers if before is None else markers.where(F.col("upto") < before)
+    return known.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
 
 
-def read_log(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Last row per key of the log in ``path``: the newest snapshot and the batches after it, no older file is opened."""
-    upto = last_snapshot(spark, path)
+def log_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest snapshot and the batches after it, with ``batch``: no older file is opened. ``before`` leaves out later batches."""
+    upto = last_snapshot(spark, path, before)
     tail = spark.read.parquet(f"{path}/rows").where(F.col("batch") > upto)
+    tail = tail if before is None else tail.where(F.col("batch") < before)
     if upto >= 0:
         tail = tail.unionByName(spark.read.parquet(f"{path}/snapshots/{upto}").withColumn("batch", F.lit(upto)))
-    return first_per_key(tail, list(keys), [F.col("batch").desc(), *order]).drop("batch")
+    return tail
+
+
+def read_log(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column] = (), before: int | None = None) -> DataFrame:
+    """Last row per key of the log in ``path``."""
+    return first_per_key(log_rows(spark, path, before), list(keys), [F.col("batch").desc(), *order]).drop("batch")
+
+
+def snapshot(state: DataFrame, path: str, upto: int) -> None:
+    """``state`` as the snapshot of the log after batch ``upto``; the marker comes when it is whole."""
+    state.write.mode("overwrite").parquet(f"{path}/snapshots/{upto}")
+    state.sparkSession.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{path}/markers")
 
 
 def compact(spark: SparkSession, path: str, upto: int, keys: Sequence[str], order: Sequence[Column] = ()) -> None:
-    """A snapshot of the log up to batch ``upto``, from the one before and the batches since; the marker comes when it is whole."""
+    """A snapshot of the log up to batch ``upto``, from the one before and the batches since."""
     if last_snapshot(spark, path) < upto:
-        read_log(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/snapshots/{upto}")
-        spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{path}/markers")
+        snapshot(read_log(spark, path, keys, order, upto + 1), path, upto)
 
 
 def upsert_log(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], order: Sequence[Column], every: int = 20) -> None:

@@ -20,8 +20,9 @@ from tidemark.plans.reports import hot_alerts
 from tidemark.plans.signals import slot, velocity, window_counts
 from tidemark.semantics import WINDOW_SECONDS
 from tidemark.session import ensure_checkpoint_dir
-from tidemark.sources.sinks import current, write_batch
+from tidemark.sources.sinks import write_batch
 from tidemark.sources.social import chat_posts
+from tidemark.sources.tables import last_snapshot, log_rows, read_log, snapshot, upsert_log
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -67,51 +68,67 @@ def windows_from_partials(partials: DataFrame, as_of, windows=tuple(WINDOW_SECON
     return window_counts(h, windows).withColumn("mention_velocity", velocity("mentions", "prev_mentions"))
 
 
-def chat_ingest(messages: DataFrame, coins: DataFrame, folder: str, loose: bool = True) -> None:
-    """Messages to posts and mentions. The posts log decides which batch of mentions is valid for a post."""
+def chat_ingest(messages: DataFrame, coins: DataFrame, folder: str, loose: bool = True, every: int = 20) -> None:
+    """Messages to posts and mentions. The posts log decides which batch of mentions is valid for a post.
+
+    After every ``every`` batches both logs get a snapshot: the last posts, and the mentions valid for them.
+    """
     extract = extract_mentions_loose if loose else extract_mentions
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark, written = batch.sparkSession, F.lit(batch_id).alias("written")
         posts = first_per_key(chat_posts(batch), ["source_id"], [F.col("posted_at").desc(), F.col("title")]).persist()
-        write_batch(posts, f"{folder}/posts", batch_id)
-        write_batch(extract(posts.select(F.col("source_id").alias("id"), "title", "body"), coins), f"{folder}/mentions", batch_id)
+        write_batch(posts.select("*", written), f"{folder}/posts/rows", batch_id)
+        found = extract(posts.select(F.col("source_id").alias("id"), "title", "body"), coins).withColumnRenamed("id", "source_id")
+        write_batch(found.select("*", written), f"{folder}/mentions/rows", batch_id)
         posts.unpersist()
+        if (batch_id + 1) % every == 0:
+            for log, state in zip(("posts", "mentions"), chat_state(spark, folder, batch_id + 1), strict=True):
+                if last_snapshot(spark, f"{folder}/{log}") < batch_id:
+                    snapshot(state, f"{folder}/{log}", batch_id)
 
     drain(messages, folder, each)
 
 
+def chat_state(spark: SparkSession, folder: str, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Posts (last write wins) and the mentions found in that write, each with the batch it was ``written`` by."""
+    posts = read_log(spark, f"{folder}/posts", ["source_id"], before=before)
+    mentions = log_rows(spark, f"{folder}/mentions", before).drop("batch")
+    return posts, mentions.join(posts.select("source_id", "written"), ["source_id", "written"], "left_semi")
+
+
 def read_chat(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Posts (last write wins) and the mentions that belong to that write."""
-    log = spark.read.parquet(f"{folder}/posts")
-    last = log.groupBy("source_id").agg(F.max("batch").alias("batch"))
-    m = spark.read.parquet(f"{folder}/mentions").withColumnRenamed("id", "source_id")
-    return current(spark, f"{folder}/posts", ["source_id"]), m.join(last, ["source_id", "batch"], "left_semi").drop("batch")
+    """Posts and their mentions, from the last snapshots and the batches after them."""
+    posts, mentions = chat_state(spark, folder)
+    return posts.drop("written"), mentions.drop("written")
+
 
+def upsert_stream(rows: DataFrame, folder: str, keys: list[str], order: list[Column], every: int = 20) -> None:
+    """Idempotent replay: the last row per key of each batch goes to the log, the last batch wins on ``tables.read_log``."""
+    drain(rows, folder, lambda b, i: upsert_log(b, i, folder, keys, order, every))
 
-def upsert_stream(rows: DataFrame, folder: str, keys: list[str], order: list[Column]) -> None:
-    """Idempotent replay: the last row per key of each batch goes to the log, the last batch wins on read."""
-    drain(rows, folder, lambda b, i: write_batch(first_per_key(b, keys, order), f"{folder}/rows", i))
 
+def change_detect(items: DataFrame, folder: str, key: str = "source_name", every: int = 20) -> None:
+    """Per batch, keep items only of sources whose link set changed since the last batch.
 
-def change_detect(items: DataFrame, folder: str, key: str = "source_name") -> None:
-    """Per batch, keep items only of sources whose link set changed since the last batch; the state is a log of hashes."""
+    The state is a log of hashes with a snapshot after every ``every`` batches, so a batch reads one row a source and a short tail.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         top = newest_items(batch, key=key).persist()
         state = read_state(spark, f"{folder}/state", batch_id, key)
         write_batch(changed(top, state, key), f"{folder}/items", batch_id)
-        write_batch(url_set_hash(top, key), f"{folder}/state", batch_id)
+        upsert_log(url_set_hash(top, key), batch_id, f"{folder}/state", [key], [F.col("url_hash")], every)
         top.unpersist()
 
     drain(items, folder, each)
 
 
 def read_state(spark: SparkSession, path: str, before: int, key: str) -> DataFrame:
-    """Last hash per source of batches before this one (a replayed batch does not see itself)."""
+    """Last hash per source of batches before this one (a replayed batch does not see itself, nor a snapshot that holds it)."""
     if before == 0:
         return spark.createDataFrame([], f"{key} string, url_hash string")
-    log = spark.read.parquet(path).where(F.col("batch") < before)
-    return log.groupBy(key).agg(F.max_by("url_hash", "batch").alias("url_hash"))
+    return read_log(spark, path, [key], before=before).select(key, "url_hash")
 
 
 def alert_rows(signals: DataFrame, channels: DataFrame, threshold: float = 60, n: int = 3) -> DataFrame:
