@@ -32,7 +32,11 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", glob).load(folder)
+    """Files of ``folder`` whose names fit ``glob``, and the files in folders of such a name (a table of many files).
+
+    In braces the name is a pattern of paths, which may be files or folders; a plain path would have to be a folder.
+    """
+    return spark.readStream.format(fmt).schema(schema).load(f"{folder}/{{{glob}}}")
 
 
 def drain(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
