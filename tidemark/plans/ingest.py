@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import titles as T
 from tidemark.functions import urls as U
 from tidemark.functions.dates import extract_date_text, parse_date
-from tidemark.functions.dom import page_elements, page_items, page_text
+from tidemark.functions.dom import page_elements, page_items, page_lists, page_text
 from tidemark.functions.text import preview
 from tidemark.operators.keyed import first_per_key, top_k
 from tidemark.semantics import col, js_trim, ratio
@@ -159,7 +159,19 @@ def page_articles(pages: DataFrame, strategy: str | dict = "static", link_templa
                   container: str | None = None, exclude: list[str] | None = None) -> DataFrame:
     """List items of HTML pages as raw items: (page_id, pos, title, link, thumbnail, author, date_text)."""
     raw = pages.select("page_id", "url", page_items(F.col("html"), strategy, container, exclude).alias("items"))
-    e = raw.select("page_id", "url", F.posexplode("items").alias("pos", "i")).select("page_id", "url", "pos", "i.*")
+    return raw_articles(raw, link_template, drop)
+
+
+def page_articles_each(pages: DataFrame, strategies: list[str], link_template: str | None = None, drop: list[str] | None = None) -> DataFrame:
+    """``page_articles`` by each of the named strategies, with ``strategy`` in front; a page is parsed once for all."""
+    lists = pages.select("page_id", "url", F.posexplode(page_lists(F.col("html"), strategies)).alias("k", "items"))
+    names = F.array(*[F.lit(s) for s in strategies])
+    return raw_articles(lists.withColumn("strategy", F.get(names, F.col("k"))), link_template, drop, "strategy")
+
+
+def raw_articles(raw: DataFrame, link_template: str | None, drop: list[str] | None, *keep: str) -> DataFrame:
+    """The raw items of rows (page_id, url, items) with the columns ``keep``, one row each."""
+    e = raw.select(*keep, "page_id", "url", F.posexplode("items").alias("pos", "i")).select(*keep, "page_id", "url", "pos", "i.*")
     script = F.col("href").startswith("javascript:")
     bare = (F.col("href") == "#") | (F.col("href").startswith("#") & (F.char_length("href") <= 10))
     call = F.when(script, F.col("href")).when(bare, F.col("onclick"))
@@ -168,7 +180,7 @@ def page_articles(pages: DataFrame, strategy: str | dict = "static", link_templa
     base = U.origin("url")
     thumb = F.when(F.col("thumb").startswith("http"), F.col("thumb")).otherwise(U.absolute("thumb", F.concat(base, F.lit("/"))))
     return e.select(
-        "page_id", "pos", T.process_title("title").alias("title"),
+        *keep, "page_id", "pos", T.process_title("title").alias("title"),
         U.normalize(U.absolute(href, F.concat(base, F.lit("/"))), drop or U.TRACKING["static"], True).alias("link"),
         thumb.alias("thumbnail"), "author", F.coalesce("date", extract_date_text("text")).alias("date_text"),
     ).where("title IS NOT NULL AND link IS NOT NULL AND link <> ''")
