@@ -9,7 +9,11 @@ often it appears, a title word only when nothing else named the coin.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +70,6 @@ def rarest(dim: DataFrame, parts: Column) -> DataFrame:
     return rows.join(common, "part").groupBy("symbol", "alias", "idx").agg(best).select("symbol", "alias", "idx", "b.key", "b.key_at")
 
 
-def chunks(text: Column) -> Column:
-    """A text as its words and what lies between them, in turn."""
-    return F.regexp_extract_all(text, F.lit(f"[{WORD}]+|[^{WORD}]+"), F.lit(0))
-
-
 def foldable(text: Column) -> Column:
     """The text with the two letters whose lower case has an ASCII letter written so that lower-casing keeps every chunk's place."""
     return F.replace(F.replace(text, F.lit("\u212a"), F.lit("K")), F.lit("\u0130"), F.lit("I\u0307"))
@@ -82,78 +81,32 @@ def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def snippet(text: Column, start: Column, length: Column, pad: int = 30) -> Column:
-    """Text around a hit at 0-based ``start``, on one line."""
-    lo = F.greatest(start - pad, F.lit(0))
-    hi = F.least(start + length + pad, F.char_length(text))
-    return js_trim(F.replace(F.substring(text, lo + 1, hi - lo), F.lit("\n"), F.lit(" ")))
-
-
-def in_context(low: Column, start: Column, length: Column, pad: int = 80) -> Column:
-    """Coin talk within 80 characters of a hit."""
-    lo = F.greatest(start - pad, F.lit(0))
-    hi = F.least(start + length + pad, F.char_length(low))
-    return F.substring(low, lo + 1, hi - lo).rlike(CONTEXT)
-
-
-def quote(alias: Column) -> Column:
-    return F.regexp_replace(alias, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-
-
-def is_word(c: Column) -> Column:
-    return c.rlike(f"^[{WORD}]$")
-
-
-def alias_at(low: Column, alias: Column) -> Column:
-    """0-based place of the first alias hit with word edges on both sides; -1 without one.
-
-    A plain search settles most cases; only when its first hit lies inside a
-    word does the edge pattern run.
-    """
-    def settle(pos: Column) -> Column:
-        before = F.when(pos > 1, is_word(F.substring(low, pos - 1, F.lit(1)))).otherwise(F.lit(False))
-        after = is_word(F.substring(low, pos + F.char_length(alias), F.lit(1)))
-        starts, ends = is_word(F.substring(alias, 1, 1)), is_word(F.substring(alias, -1, 1))
-        pattern = F.concat(F.when(starts, F.lit(LEFT)).otherwise(F.lit(EDGE)), quote(alias), F.when(ends, F.lit(RIGHT)).otherwise(F.lit(EDGE)))
-        return F.when(pos == 0, F.lit(-1)).when((before != starts) & (after != ends), pos - 1).otherwise(F.regexp_instr(low, pattern) - 1)
-
-    return let(F.position(alias, low), settle)
-
-
 def post_texts(posts: DataFrame) -> DataFrame:
     title, body = foldable(F.coalesce("title", F.lit(""))), foldable(F.coalesce("body", F.lit("")))
     text = F.concat(title, F.lit("\n"), body)
     return posts.select("id", title.alias("title"), text.alias("text"), F.lower(text).alias("low"))
 
 
-def postings(p: DataFrame, before: int, after: int) -> DataFrame:
-    """One row per word of a post: id, at (place among the chunks, from 1), word (lower case), near, off, tick, caps.
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0))
 
-    ``near`` holds the chunks from ``before`` ones in front of the word to ``after`` behind it, the word itself after
-    ``off`` of them.  ``tick`` marks a cashtag or hashtag, ``caps`` an upper-case word of the title.  One pass over the text.
-    """
-    def listed(parts: Column) -> Column:
-        low, title = parts["low"], parts["title"]
 
-        def posting(i: Column) -> Column:
-            word, off = F.get(low, i - 1), F.least(i - 1, F.lit(before))
-            raw = F.get(title, i - 1)  # the title comes first, so its chunks have the same places
-            tick = F.coalesce(F.get(low, i - 2).rlike(r"[$#]\z") & word.rlike("^[a-z]{2,10}$"), F.lit(False))
-            caps = F.coalesce(raw.rlike("^[A-Z]{3,6}$") & ~raw.isin(*BLACKLIST), F.lit(False))
-            near = F.slice(low, i - off, off + (after + 1))
-            return F.struct(i.alias("at"), word.alias("word"), near.alias("near"), off.alias("off"), tick.alias("tick"), caps.alias("caps"))
+def word_runs(text: Column, k: int) -> Column:
+    """Runs of ``k`` words of a text with what lies between them, one from each word on."""
+    if k == 1:
+        return words_of(text)
+    return F.regexp_extract_all(text, F.lit(f"{LEFT}(?=([{WORD}]++(?:[^{WORD}]++[{WORD}]++){{{k - 1}}}))"), F.lit(1))
 
-        first = F.when(F.get(low, F.lit(0)).rlike(f"^[{WORD}]"), 1).otherwise(2)
-        return F.transform(F.when(F.size(low) >= first, F.sequence(first, F.size(low), F.lit(2))), posting)
 
-    parts = F.struct(chunks(F.col("low")).alias("low"), chunks(F.col("title")).alias("title"))
-    return exploded(p, let(parts, listed), "x", "id").select("id", "x.*")
+def ticks(p: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, symbol) of each cashtag or hashtag that names a coin."""
+    t = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
+    return t.join(symbols, "symbol", "left_semi").select("id", "symbol")
 
 
 def ticker_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, symbol, n) of cashtags and hashtags that name a coin."""
-    t = exploded(p, F.regexp_extract_all("text", F.lit(TICKER), F.lit(1)), "s", "id").select("id", F.upper("s").alias("symbol"))
-    return t.groupBy("id", "symbol").agg(F.count(F.lit(1)).cast("int").alias("n")).join(symbols, "symbol", "left_semi")
+    return ticks(p, symbols).groupBy("id", "symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def caps_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -163,36 +116,26 @@ def caps_rows(p: DataFrame, symbols: DataFrame) -> DataFrame:
     return c.join(symbols, "symbol", "left_semi").select("id", "symbol")
 
 
-def named_hits(p: DataFrame, coins: DataFrame, dim: DataFrame, strict: bool) -> DataFrame:
-    """What names a coin by words: id, symbol, kind (tick, alias, caps), alias, idx, n and at, the chunk of the first (caps: one row a place).
+def alias_rows(p: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, symbol, alias, idx) of aliases (symbol, alias, idx, words) that begin and end with a word.
 
-    Aliases are sequences of chunks.  Each meets the postings on its rarest word, and only the chunks around that
-    posting are compared with the rest of the alias, so a text is read once however many aliases there are.
+    An alias of k words is one of the post's runs of k words, so posts and aliases meet on the whole alias: nothing is compared
+    afterwards, and a text is read once for each number of words that an alias has.
     """
-    none = F.lit(None).cast("string")
-    words = F.transform(chunks(F.col("alias")), lambda c: F.when(c.rlike(f"^[{WORD}]"), c))
-    named = rarest(dim, words).select(
-        F.col("key").alias("word"), "symbol", F.lit("alias").alias("kind"), "alias", "idx", chunks(F.col("alias")).alias("parts"), "key_at"
-    )
-    plain = coins.select(F.upper("symbol").alias("symbol")).distinct().where(F.col("symbol").rlike("^[A-Z]{2,10}$")).select(
-        F.lower("symbol").alias("word"), "symbol", F.lit("symbol").alias("kind"), none.alias("alias"), F.lit(0).alias("idx"), F.array().cast("array<string>").alias("parts"),
-        F.lit(0).alias("key_at"),
-    )
-    names = small(named.unionByName(plain))
-    before, after = names.agg(F.coalesce(F.max("key_at"), F.lit(0)), F.coalesce(F.max(F.size("parts") - F.col("key_at") - 1), F.lit(0))).first()
-    start = F.col("off") - F.col("key_at")
-    whole = (start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, F.size("parts")) == F.col("parts"))
-    caps = F.lit(False) if strict else F.col("caps")
-    # a title word in capitals may be a hashtag too
-    kinds = F.when(F.col("kind") == "alias", F.when(whole, F.array(F.lit("alias")))).otherwise(
-        F.array_compact(F.array(F.when(F.col("tick"), "tick"), F.when(caps, "caps")))
-    )
-    j = postings(p, before, after).join(names, "word").where((F.col("kind") == "alias") | F.col("tick") | caps)
-    rows = exploded(j.withColumn("at", F.col("at") - F.col("key_at")), kinds, "as", "id", "symbol", "alias", "idx", "at")
-    rows = rows.withColumn("spot", F.when(F.col("as") == "caps", F.col("at")))
-    return rows.groupBy("id", "symbol", F.col("as").alias("kind"), "alias", "idx", "spot").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.min("at").alias("at")
-    ).drop("spot")
+    sizes = aliases.agg(F.sort_array(F.collect_set("words"))).first()[0]
+    if not sizes:
+        return p.limit(0).join(aliases.limit(0).select("symbol", "alias", "idx"), F.lit(True)).select("id", "symbol", "alias", "idx")
+    runs = F.array_distinct(F.concat(*[word_runs(F.col("low"), k) for k in sizes]))
+    return exploded(p, runs, "alias", "id").join(aliases, "alias").select("id", "symbol", "alias", "idx")
+
+
+def hit_rows(p: DataFrame, aliases: DataFrame, symbols: DataFrame, strict: bool) -> DataFrame:
+    """What names a coin by words: (id, symbol, kind, alias, idx), one row a tick, alias or upper-case title word."""
+    def marked(df: DataFrame, kind: str) -> DataFrame:
+        return df.select("id", "symbol", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("alias"), F.lit(0).alias("idx"))
+
+    rows = alias_rows(p, aliases).select("id", "symbol", F.lit("alias").alias("kind"), "alias", "idx").unionByName(marked(ticks(p, symbols), "tick"))
+    return rows if strict else rows.unionByName(marked(caps_rows(p, symbols), "caps"))
 
 
 def odd_hits(p: DataFrame, dim: DataFrame) -> DataFrame | None:
@@ -209,70 +152,114 @@ def odd_hits(p: DataFrame, dim: DataFrame) -> DataFrame | None:
     return exploded(p, grams(F.col("low"), edge), "gram", "id").join(odd, "gram").select("id", "symbol", "alias", "idx")
 
 
-def around(parts: Column, at: Column, before: Column, after: Column) -> Column:
-    """Up to ``before`` characters in front of chunk ``at`` and ``after`` from its start on; a chunk has one character at least."""
-    low = F.greatest(at - before, F.lit(1))
-    return F.concat(F.right(F.array_join(F.slice(parts, low, at - low), ""), before), F.left(F.array_join(F.slice(parts, at, after), ""), after))
+WORDS_RE, TICK_RE = re.compile(f"[{WORD}]+"), re.compile(TICKER)
+CAPS_RE, CONTEXT_RE = re.compile(f"{LEFT}[A-Z]{{3,6}}{RIGHT}"), re.compile(CONTEXT, re.ASCII)
+HIT = "struct<symbol:string,kind:string,alias:string,idx:int>"
 
 
-def one_line(text: Column) -> Column:
-    return js_trim(F.replace(text, F.lit("\n"), F.lit(" ")))
+def odd_at(low: str, alias: str) -> int:
+    """Place of the first hit of an alias with edges on both sides, -1 without one."""
+    if alias not in low:
+        return -1
+    edges = [(LEFT, RIGHT)[k] if WORDS_RE.match(c) else EDGE for k, c in enumerate((alias[0], alias[-1]))]
+    m = re.search(edges[0] + re.escape(alias) + edges[1], low)
+    return m.start() if m else -1
 
 
-def weighed_hits(p: DataFrame, rows: DataFrame) -> DataFrame:
-    """Hits with what the text around them says: id, symbol, kind, idx, n, at, sure, ctx; hits that the text refutes are gone.
+def weighed(posts: list[tuple], hits: list[tuple]) -> Iterator[tuple]:
+    """(symbol, mention_count, text around) of the coins that the ``hits`` of an id name in its ``posts`` (title's length, low, text).
 
-    The hits of a post come to it as one array and are worked out in its row, from the chunks around each.
+    The words of a post are placed in one pass; an alias in doubt is accepted once something before it named the coin.
     """
-    per_post = rows.groupBy("id").agg(F.collect_list(F.struct("symbol", "kind", "alias", "idx", "n", "at")).alias("c"))
-    j = p.join(per_post, "id")
+    found, seen = dict.fromkeys(hits), Counter(h[0] for h in hits if h[1] == "tick")
+    sizes = {len(WORDS_RE.findall(alias)) for _, kind, alias, _ in found if kind == "alias"}
+    tick, named, caps = {}, {}, {}
+    for title, low, text in posts:
+        spans = [m.span() for m in WORDS_RE.finditer(low)]
+        at = {}
+        for k in sizes:
+            for (a, _), (_, b) in zip(reversed(spans[: len(spans) - k + 1]), reversed(spans[k - 1 :]), strict=True):
+                at[low[a:b]] = a
+        signs, capitals = {}, {}
+        for m in TICK_RE.finditer(text):
+            signs.setdefault(m[1].upper(), m.start(1))
+        for m in CAPS_RE.finditer(text[:title]):
+            capitals.setdefault(m[0], []).append(m.start())
+
+        def spoken(a: int, n: int) -> bool:
+            return CONTEXT_RE.search(low[max(a - 80, 0) : a + n + 80]) is not None
+
+        for symbol, kind, alias, idx in found:
+            n, ambiguous = len(alias or symbol), symbol in AMBIGUOUS
+            if kind == "tick":
+                a = signs.get(symbol, -1)
+                if a >= 0:
+                    tick[symbol] = max(tick.get(symbol, ""), text[max(a - 31, 0) : a + n + 30])
+            elif kind == "caps":
+                for a in capitals.get(symbol, ()):
+                    if not ambiguous or spoken(a, n):
+                        caps[symbol] = min(caps.get(symbol, (a + 1,)), (a, text[max(a - 30, 0) : min(a + n + 30, title)]))
+                        break
+            else:
+                a = at.get(alias, -1) if kind == "alias" else odd_at(low, alias)
+                if a >= 0:
+                    sure = not (ambiguous and n <= 4) or spoken(a, n)
+                    named.setdefault(symbol, []).append((idx, sure, text[max(a - 30, 0) : a + n + 30]))
+    for symbol in dict.fromkeys(h[0] for h in found):
+        aliases = sorted(named.get(symbol, ()))
+        if not seen[symbol]:
+            sure = next((i for i, s, _ in aliases if s), None)
+            aliases = [] if sure is None else [x for x in aliases if x[0] >= sure]
+        n = seen[symbol] + len({x[0] for x in aliases})
+        if n or symbol in caps:
+            yield symbol, n or 1, tick[symbol] if symbol in tick else aliases[0][2] if aliases else caps[symbol][1] if symbol in caps else None
 
-    def placed(c: Column, parts: Column) -> Column:
-        sym, alias, at, size = c["symbol"], c["alias"], c["at"], F.char_length(F.coalesce(c["alias"], c["symbol"]))
-        ambiguous, talk, pad = sym.isin(*AMBIGUOUS), F.lit(80), F.lit(30)
-        gated = (size <= 4) & ambiguous
 
-        def spoken() -> Column:
-            return around(parts["low"], at, talk, size + talk).rlike(CONTEXT)
+def weighed_hits(p: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, symbol, mention_count, ctx) of hits, with what the text around them says.
 
-        def described(kind: str, at: Column, sure: Column, ctx: Column) -> Column:
-            return F.struct(sym.alias("symbol"), F.lit(kind).alias("kind"), c["idx"].alias("idx"), c["n"].alias("n"), at.alias("at"), sure.alias("sure"), ctx.alias("ctx"))
+    The hits of an id come to its texts as one array; both move once, and what comes out is final.
+    """
+    per_post = rows.groupBy("id").agg(F.collect_list(F.struct("symbol", "kind", "alias", "idx")).alias("hits"))
+    texts = p.where("id IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct(F.char_length("title").alias("title"), "low", "text")).alias("posts"))
+    kind = p.schema["id"].dataType.simpleString()
 
-        def searched(at: Column) -> Column:
-            low, text = F.col("low"), F.col("text")
-            return F.when(at >= 0, described("alias", at, ~gated | in_context(low, at, size), snippet(text, at, size)))
+    def fields(a: pa.ListArray) -> tuple[list[int], list[tuple]]:
+        """Ends of a column's lists, from 0 on, and their structs in a row."""
+        ends, flat = a.offsets.to_pylist(), a.flatten()
+        return [e - ends[0] for e in ends], list(zip(*[x.to_pylist() for x in flat.flatten()], strict=True))
 
-        return (
-            F.when(c["kind"] == "alias", described("alias", at, ~gated | spoken(), one_line(around(parts["text"], at, pad, size + pad))))
-            .when(c["kind"] == "tick", described("tick", at, F.lit(True), one_line(around(parts["text"], at, pad + 1, size + pad))))
-            .when(c["kind"] == "caps", F.when(~ambiguous | spoken(), described("caps", at, F.lit(True), one_line(around(parts["title"], at, pad, size + pad)))))
-            .otherwise(let(alias_at(F.col("low"), alias), searched))
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                (pe, posts), (he, hits) = fields(batch.column(1)), fields(batch.column(2))
+                out = [(k, *r) for k in range(batch.num_rows) for r in weighed(posts[pe[k] : pe[k + 1]], hits[he[k] : he[k + 1]])]
+                at, symbol, n, ctx = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(symbol, pa.string()), pa.array(n, pa.int32()), pa.array(ctx, pa.string())],
+                    names=["id", "symbol", "mention_count", "ctx"],
+                )
 
-    parts = F.struct(chunks(F.col("low")).alias("low"), chunks(F.col("text")).alias("text"), chunks(F.col("title")).alias("title"))
-    j = j.select("id", let(parts, lambda t: F.array_compact(F.transform("c", lambda c: placed(c, t)))).alias("hits"))
-    return j.select("id", F.explode("hits").alias("h")).select("id", "h.*")
+    found = texts.join(per_post, "id").select("id", "posts", "hits").mapInArrow(run, f"id {kind}, symbol string, mention_count int, ctx string")
+    return found.withColumn("ctx", js_trim(F.replace("ctx", F.lit("\n"), F.lit(" "))))
 
 
-def mention_counts(h: DataFrame) -> DataFrame:
-    """(id, symbol, mention_count, ctx) of weighed hits."""
-    item = F.struct("idx", "sure", "ctx")
+def holding(p: DataFrame, aliases: DataFrame, most: int = 200) -> DataFrame:
+    """Posts whose text holds one of a few aliases anywhere; all posts if there are more than ``most``, as the test only saves work."""
+    some = [r[0] for r in aliases.select("alias").distinct().limit(most + 1).collect()]
+    return p if len(some) > most else p.where(F.col("low").rlike("|".join(map(re.escape, some))))
 
-    def of(kind: str, value: Column) -> Column:
-        return F.when(F.col("kind") == kind, value)
 
-    g = h.groupBy("id", "symbol").agg(
-        F.coalesce(F.sum(of("tick", F.col("n"))), F.lit(0)).alias("ticks"), F.max(of("tick", F.col("ctx"))).alias("tick_ctx"),
-        F.array_sort(F.collect_list(of("alias", item))).alias("al"), F.min(of("caps", F.struct("at", "ctx"))).alias("caps"),
-    )
-    # an alias in doubt is accepted once something before it named the coin
-    first_sure = F.array_min(F.transform(F.filter("al", lambda a: a["sure"]), lambda a: a["idx"]))
-    accepted = F.when(F.col("ticks") > 0, F.col("al")).otherwise(F.filter("al", lambda a: a["idx"] >= first_sure))
-    g = g.withColumn("ok", F.coalesce(accepted, F.array().cast("array<struct<idx:int,sure:boolean,ctx:string>>")))
-    count = F.col("ticks") + F.size("ok")
-    g = g.withColumn("mention_count", F.when(count > 0, count).when(F.col("caps").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("int"))
-    ctx = F.coalesce(F.col("tick_ctx"), F.try_element_at("ok", F.lit(1))["ctx"], F.when(count == 0, F.col("caps.ctx")))
-    return g.where("mention_count > 0").select("id", "symbol", "mention_count", ctx.alias("ctx"))
+def plain_counts(rows: DataFrame, most: int) -> DataFrame:
+    """(id, symbol, mention_count) of hits that are all certain: ticks, and each of a coin's at most ``most`` aliases once.
+
+    The aliases found are bits of a few numbers, so the rows move once.
+    """
+    bits = [F.bit_or(F.when((F.col("kind") == "alias") & (F.floor(F.col("idx") / 62) == b), F.expr("shiftleft(1L, idx % 62)"))) for b in range(most // 62 + 1)]
+    names = reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(b), F.lit(0)) for b in bits])
+    one = F.count_if(F.col("kind") == "tick") + names
+    return rows.groupBy("id", "symbol").agg(F.greatest(one, F.lit(1)).cast("int").alias("mention_count"))
 
 
 def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False, context: bool = True) -> DataFrame:
@@ -280,33 +267,36 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False, c
 
     ``strict`` is for sources with much small talk: cashtags and long aliases only.
 
-    A post becomes postings (word, place) in one pass, and hits are found on them alone: a text is never copied per word
-    or hit and never searched per alias.  Texts are read again, moved once at most, for the context, or without it for the
-    hits that depend on the words around them: ambiguous symbols, and aliases with something else than a word character at an end.
+    A post's runs of words are met with the aliases, so a text is never searched per alias.  Texts are read again, moved once,
+    for the context, or without it for the hits that depend on the words around them: ambiguous symbols, and aliases with
+    something else than a word character at an end.
     """
     p = post_texts(posts)
     names = coins.groupBy(F.upper("symbol").alias("symbol")).agg(F.max("name").alias("coin_name"))
     dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
     regular = F.col("alias").rlike(f"(?s)^[{WORD}](.*[{WORD}])?$")
-    rows, odd = named_hits(p, coins, dim.where(regular), strict), odd_hits(p, dim.where(~regular))
-    if odd is not None:
-        odd = odd.withColumns({"kind": F.lit("odd"), "n": F.lit(1), "at": F.lit(None).cast("int")})
+    aliases = small(dim.where(regular).withColumn("words", F.size(words_of(F.col("alias")))))
+    symbols = small(names.select("symbol").where(F.col("symbol").rlike("^[A-Z]{2,10}$")))
+    odd = odd_hits(p, dim.where(~regular))
+
+    def all_hits(p: DataFrame, aliases: DataFrame, symbols: DataFrame) -> DataFrame:
+        rows = hit_rows(p, aliases, symbols, strict)
+        return rows if odd is None else rows.unionByName(odd.withColumn("kind", F.lit("odd")))
+
     if context:
-        g = mention_counts(weighed_hits(p, rows if odd is None else rows.unionByName(odd)))
+        g = weighed_hits(p, all_hits(p, aliases, symbols))
     else:
-        ambiguous = F.col("symbol").isin(*AMBIGUOUS)
-        some = odd is not None or not coins.where(F.upper("symbol").isin(*AMBIGUOUS)).isEmpty()
-        rows = cut_lineage(rows) if some else rows  # read twice below
-        plain = rows.where(~ambiguous).select("id", "symbol", "kind", "n")
-        rows = rows.where(ambiguous) if odd is None else rows.where(ambiguous).unionByName(odd)
-        if some:
-            weighed = weighed_hits(p, rows)
-            plain = plain.unionByName(weighed.where(~ambiguous).select("id", "symbol", "kind", "n"))
-        # every hit is certain: plain sums
-        one = F.sum(F.when(F.col("kind") == "tick", F.col("n")).when(F.col("kind") == "alias", 1).otherwise(0))
-        g = plain.groupBy("id", "symbol").agg(F.greatest(one, F.lit(1)).cast("int").alias("mention_count")).withColumn("ctx", F.lit(None).cast("string"))
-        if some:
-            g = g.unionByName(mention_counts(weighed.where(ambiguous)).withColumn("ctx", F.lit(None).cast("string")))
+        # coins whose hits depend on the words around them
+        ambiguous = dim.select("symbol").unionByName(names.select("symbol")).where(F.col("symbol").isin(*AMBIGUOUS))
+        unclear = small(ambiguous.unionByName(dim.where(~regular).select("symbol")).distinct())
+        most = aliases.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]
+        if unclear.isEmpty():
+            g = plain_counts(hit_rows(p, aliases, symbols, strict), most)
+        else:
+            clear, doubtful = ([small(x.join(unclear, "symbol", how)) for x in (aliases, symbols)] for how in ("left_anti", "left_semi"))
+            near = holding(p, dim.select("symbol", "alias").unionByName(names.select("symbol", F.lower("symbol").alias("alias"))).join(unclear, "symbol", "left_semi"))
+            g = plain_counts(hit_rows(p, *clear, strict), most).unionByName(weighed_hits(near, all_hits(near, *doubtful)).drop("ctx"))
+        g = g.withColumn("ctx", F.lit(None).cast("string"))
     return g.join(names, "symbol", "left").select(
         "id", F.col("symbol").alias("coin_symbol"), "coin_name", "mention_count", F.nullif("ctx", F.lit("")).alias("context")
     )
