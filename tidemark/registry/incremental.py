@@ -59,6 +59,7 @@ def t5_state(t):
  SELECT id, CAST(n AS BIGINT) AS n_prices, n = 0 AS expired FROM j, mark WHERE n > 0 OR epoch_us(signal_at) + 12 * {HOUR} < w""")
 def t9_stream(t):
     """Signals and prices arrive side by side in five steps; one coin has no prices, so its signals expire."""
+    SS.use_rocksdb(t.spark)
     step = F.floor((F.dayofmonth("ts") - 1) / 7)
     steps = [step == k for k in range(5)]
     signals = t.v_backtest.select("id", "coin_symbol", "signal_at", F.col("signal_at").alias("ts"))
@@ -67,7 +68,7 @@ def t9_stream(t):
     p, _ = arriving(t, "prices", prices, steps)
     ST.drain(SS.pending_matches(s, p), folder)
     out = t.spark.read.parquet(f"{folder}/out")
-    return out.groupBy("id").agg(F.count("fetched_at").alias("n_prices")).withColumn("expired", F.col("n_prices") == 0)
+    return out.groupBy("id").agg(F.sum("n_prices").alias("n_prices")).withColumn("expired", F.col("n_prices") == 0)
 
 
 @query("t2_compacted_log", "SELECT channel, author, id FROM (SELECT *, row_number() OVER (PARTITION BY channel, author ORDER BY date_part('day', posted_at) DESC, posted_at DESC, id) AS rn FROM v_posts) x WHERE rn = 1")

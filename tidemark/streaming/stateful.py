@@ -11,14 +11,17 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.plans.ingest import PER_SOURCE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR_US = 3_600_000_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -120,17 +123,132 @@ def rolling_history(rows: DataFrame, key: str, ts: str, value: str, period: dt.t
     )
 
 
+class PendingRanges(StatefulProcessor):
+    """Signals of a coin and a stretch of time, each with the run of prices that lies in its reach.
+
+    A batch sorts its prices once and finds both ends of each signal's run by bisection, so no pair is formed.  Kept are the
+    signals whose reach is still open and the prices they or later ones can meet.
+    """
+
+    def __init__(self, reach_us: int):
+        self.reach = reach_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.prices = handle.getValueState("prices", "us binary")
+        self.signals = handle.getValueState("signals", "ids binary, us binary, found binary")
+        self.next = handle.getValueState("next", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        come = pd.concat([b[["id", "us", "price"]] for b in rows], ignore_index=True)
+        price = come["price"].to_numpy(dtype=bool)
+        us = come["us"].to_numpy(dtype=np.int64)
+        ids, at, found, old_prices = self.read()
+        new_prices, new_ids, new_at = np.sort(us[price]), come["id"].to_numpy(dtype=object)[~price], us[~price]
+        prices = np.sort(np.concatenate([old_prices, new_prices]))
+        # an old signal has met the old prices before, a new one meets all
+        was, now = self.runs(key, ids, at, new_prices), self.runs(key, new_ids, new_at, prices)
+        ids, at = np.concatenate([ids, new_ids]), np.concatenate([at, new_at])
+        found = np.concatenate([found | (was["n_prices"].to_numpy() > 0), now["n_prices"].to_numpy() > 0])
+        for out in (was, now):
+            yield out[out["n_prices"] > 0]
+        yield self.settle(key, timerValues.getCurrentWatermarkInMs() * 1000, ids, at, found, prices)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.next.clear()
+        yield self.settle(key, timerValues.getCurrentWatermarkInMs() * 1000, *self.read())
+
+    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        prices = np.frombuffer(self.prices.get()[0], np.int64) if self.prices.exists() else np.empty(0, np.int64)
+        if not self.signals.exists():
+            return np.empty(0, object), np.empty(0, np.int64), np.empty(0, bool), prices
+        ids, at, found = self.signals.get()
+        with pa.ipc.open_stream(bytes(ids)) as packed:
+            ids = packed.read_all().column("id").to_numpy()
+        return ids, np.frombuffer(at, np.int64), np.frombuffer(found, bool), prices
+
+    def runs(self, key, ids: np.ndarray, at: np.ndarray, prices: np.ndarray) -> pd.DataFrame:
+        lo, hi = np.searchsorted(prices, at - self.reach, "left"), np.searchsorted(prices, at + self.reach, "right")
+        met = hi > lo
+        first, last = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        first[met], last[met] = prices[lo[met]], prices[hi[met] - 1]
+        coin = pd.Series(np.full(len(at), key[0], dtype=object), dtype=object)
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "coin": coin, "signal_us": at, "n_prices": (hi - lo).astype(np.int64), "first_us": first, "last_us": last})
+
+    def settle(self, key, mark: int, ids: np.ndarray, at: np.ndarray, found: np.ndarray, prices: np.ndarray) -> pd.DataFrame:
+        """The signals that no price can reach any more; keeps what is open and sets the timer for what falls due first."""
+        end = (int(key[1]) + 1) * self.reach
+        closed = at + self.reach < mark
+        gone = self.runs(key, ids[closed & ~found], at[closed & ~found], prices[:0])
+        ids, at, found = ids[~closed], at[~closed], found[~closed]
+        prices = prices[prices + self.reach > mark] if end > mark else prices[:0]  # old signals have met them, new ones would be late
+        if len(prices):
+            self.prices.update((prices.tobytes(),))
+        else:
+            self.prices.clear()
+        if len(at):
+            table, sink = pa.table({"id": pa.array(ids, pa.string())}), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as packed:
+                packed.write_table(table)
+            self.signals.update((sink.getvalue().to_pybytes(), at.tobytes(), found.tobytes()))
+        else:
+            self.signals.clear()
+        if self.next.exists():
+            self.handle.deleteTimer(self.next.get()[0])
+            self.next.clear()
+        if len(at) or len(prices):
+            due = int(at[~found].min()) + self.reach if not found.all() else end + (self.reach if len(at) else 0)
+            self.handle.registerTimer(due // 1000)
+            self.next.update((due // 1000,))
+        return gone
+
+    def close(self) -> None:
+        pass
+
+
 def pending_matches(signals: DataFrame, prices: DataFrame, hours: int = 12, delay: str = "1 hour") -> DataFrame:
-    """Signals (id, coin_symbol, signal_at) with each price (coin_symbol, fetched_at, price_usd) at most ``hours`` away.
+    """(id, coin, signal_at, n_prices, first_at, last_at): signals (id, coin_symbol, signal_at) with the prices at most ``hours`` away.
+
+    The matches of a signal are a run of its coin's prices (coin_symbol, fetched_at, ...): ``n_prices`` of them, from ``first_at`` to
+    ``last_at``.  Runs are what comes out, as pairs grow with the square of the rows in a period; ``match_pairs`` spells them out.  A run
+    comes out as soon as both sides are there, one more for prices that come after it, and the counts add up; a signal without any comes
+    out once, with 0 and nulls, when the watermark shows that no price in range can arrive any more.  Both sides leave the state when
+    their range has passed.  A signal lies in one stretch of ``hours`` of its coin, a price in that and the two beside it, so a coin's
+    rows are spread over tasks by time.  An id may be of any type that comes back from its text; the RocksDB state store is needed.
+    """
+    reach = hours * HOUR_US
+
+    def side(rows: DataFrame, ts: str, ident: Column, price: bool) -> DataFrame:
+        slim = rows.where(F.col(ts).isNotNull()).select(F.col(ts).alias("at"), ident.cast("string").alias("id"), F.col("coin_symbol").alias("coin"), F.lit(price).alias("price"))
+        own = F.expr(f"(us - pmod(us, {reach}L)) div {reach}L")
+        return slim.withWatermark("at", delay).withColumn("us", F.unix_micros("at")).withColumn("stretch", F.explode(F.array(own - 1, own, own + 1)) if price else own)
+
+    s = side(signals, "signal_at", F.col("id"), False)
+    p = side(prices.where(F.col("coin_symbol").isNotNull()), "fetched_at", F.lit(None), True)
+    ranges = s.unionByName(p).groupBy("coin", "stretch").transformWithStateInPandas(
+        PendingRanges(reach), "id string, coin string, signal_us long, n_prices long, first_us long, last_us long", outputMode="Append", timeMode="EventTime"
+    )
+
+    def when_met(us: str) -> Column:
+        return F.when(F.col("n_prices") > 0, F.timestamp_micros(us))
+
+    ident = F.col("id").cast(signals.schema["id"].dataType).alias("id")
+    return ranges.select(ident, "coin", F.timestamp_micros("signal_us").alias("signal_at"), "n_prices", when_met("first_us").alias("first_at"), when_met("last_us").alias("last_at"))
+
+
+def match_pairs(matches: DataFrame, prices: DataFrame) -> DataFrame:
+    """(id, coin, signal_at, fetched_at, price_usd): each pair of the ``matches`` written so far and the prices that had arrived by then.
 
-    A match comes out as soon as both sides are there; a signal without one comes out, with nulls, once the watermark shows that no price in
-    range can arrive any more.  Both sides leave the state when their range has passed.
+    A signal that expired stands once, with nulls; one that came several times keeps its pairs as often.  The rows are as many as the
+    pairs, so ask for the signals that are needed.
     """
-    s = signals.select("id", F.col("coin_symbol").alias("coin"), "signal_at").withWatermark("signal_at", delay)
-    p = prices.select("coin_symbol", "fetched_at", "price_usd").withWatermark("fetched_at", delay)
-    reach = F.expr(f"INTERVAL {hours} HOURS")
-    near: Column = (F.col("fetched_at") >= F.col("signal_at") - reach) & (F.col("fetched_at") <= F.col("signal_at") + reach)
-    return s.join(p, (F.col("coin") == F.col("coin_symbol")) & near, "left_outer").select("id", "coin", "signal_at", "fetched_at", "price_usd")
+    on = ["id", "coin", "signal_at"]
+    whole = matches.groupBy(*on).agg(F.sum("n_prices").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("first_at").alias("first"), F.max("last_at").alias("last"))
+    p = prices.select("coin_symbol", "fetched_at", "price_usd")
+    met = whole.join(p, (F.col("coin") == F.col("coin_symbol")) & F.col("fetched_at").between(F.col("first"), F.col("last")), "left")
+    run = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    times = F.when(F.col("n") > 0, F.floor(F.col("n") / run)).otherwise(F.col("rows")).cast("int")
+    return met.withColumn("times", times).select(*on, "fetched_at", "price_usd", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
 
 
 def first_wins(rows: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
