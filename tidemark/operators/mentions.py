@@ -11,13 +11,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby, repeat
+from operator import itemgetter
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.keyed import exploded
-from tidemark.semantics import EDGE, LEFT, RIGHT, WORD, js_trim, let
+from tidemark.semantics import EDGE, LEFT, RIGHT, WORD, WS, js_trim, let
 from tidemark.session import cut_lineage
 
 # Upper-case words that are no coins, symbols that are also plain words, and words of coin talk.
@@ -122,18 +126,21 @@ def hit_rows(p: DataFrame, aliases: DataFrame, symbols: DataFrame, strict: bool)
     return rows if strict else rows.unionByName(marked(caps_rows(p, symbols), "caps"))
 
 
+def odd_gram() -> Column:
+    """The three characters at the end of an alias that is no word character."""
+    head, tail = F.substring("alias", 1, MIN_ALIAS), F.substring("alias", -MIN_ALIAS, MIN_ALIAS)
+    return F.when(F.col("alias").rlike(f"^[{WORD}]"), tail).otherwise(head)
+
+
 def odd_hits(p: DataFrame, dim: DataFrame) -> DataFrame | None:
     """Posts that may hold an alias with something else than a word character at an end: id, symbol, alias, idx.
 
     Posts and aliases meet on the three characters at that end; None without such aliases.
     """
-    head, tail = F.substring("alias", 1, MIN_ALIAS), F.substring("alias", -MIN_ALIAS, MIN_ALIAS)
-    gram = F.when(F.col("alias").rlike(f"^[{WORD}]"), tail).otherwise(head)
-    odd = small(dim.select("symbol", "alias", "idx", gram.alias("gram")))
+    odd = small(dim.select("symbol", "alias", "idx", odd_gram().alias("gram")))
     if odd.isEmpty():
         return None
-    edge = f"[^{WORD}].{{{MIN_ALIAS - 1}}}|.{{{MIN_ALIAS - 1}}}[^{WORD}]"
-    return exploded(p, grams(F.col("low"), edge), "gram", "id").join(odd, "gram").select("id", "symbol", "alias", "idx")
+    return exploded(p, grams(F.col("low"), ODD_EDGE), "gram", "id").join(odd, "gram").select("id", "symbol", "alias", "idx")
 
 
 WORDS_RE, TICK_RE = re.compile(f"[{WORD}]+"), re.compile(TICKER)
@@ -229,6 +236,265 @@ def weighed_hits(p: DataFrame, rows: DataFrame) -> DataFrame:
     return found.withColumn("ctx", js_trim(F.replace("ctx", F.lit("\n"), F.lit(" "))))
 
 
+class Lexicon(NamedTuple):
+    """Coins and aliases by number, as every task knows them."""
+
+    symbols: pa.Array
+    ambiguous: np.ndarray  # by symbol
+    tickers: dict[str, int]  # symbols that ticks and upper-case words can name
+    aliases: list[str]
+    size: np.ndarray  # characters of an alias
+    first: np.ndarray  # of an alias's owners, and how many it has
+    owners: np.ndarray
+    symbol: np.ndarray  # of an owner, and the alias's place among those of the coin
+    idx: np.ndarray
+    words: dict[str, int]  # aliases of one word and first words of longer ones
+    alias_of: np.ndarray  # by word, -1 for first words only
+    heads: dict[int, np.ndarray]  # by number of words: is a word the first of such an alias
+    runs: dict[str, int]
+    odd: dict[str, list[int]]  # by the three characters at an end
+
+
+def lexicon(dim: DataFrame, symbols: DataFrame, most: int = 500_000) -> Lexicon | None:
+    """The aliases (symbol, alias, idx, words, gram; ``words`` null for those that meet on a gram) and the symbols; None beyond ``most`` aliases."""
+    if dim.count() > most or symbols.count() > most:
+        return None
+    rows = list(zip(*dim.select("alias", "symbol", "idx", "words", "gram").toArrow().to_pydict().values(), strict=True))
+    tickers = symbols.toArrow().to_pydict()["symbol"]
+    rows.sort(key=itemgetter(0))
+    names = list(dict.fromkeys([*tickers, *(r[1] for r in rows)]))
+    at = {s: k for k, s in enumerate(names)}
+    aliases, first, words, alias_of, heads, runs, odd = [], [], {}, [], {}, {}, {}
+
+    def number(word: str) -> int:
+        if word not in words:
+            words[word] = len(alias_of)
+            alias_of.append(-1)
+        return words[word]
+
+    for k, (alias, _, _, n, gram) in enumerate(rows):
+        if aliases and aliases[-1] == alias:
+            continue
+        if n is None:
+            odd.setdefault(gram, []).append(len(aliases))
+        elif n == 1:
+            alias_of[number(alias)] = len(aliases)
+        else:
+            runs[alias] = len(aliases)
+            heads.setdefault(n, set()).add(number(WORDS_RE.match(alias)[0]))
+        aliases.append(alias)
+        first.append(k)
+    first = np.array(first, np.int64)
+    return Lexicon(
+        pa.array(names, pa.string()), np.array([s in AMBIGUOUS for s in names], bool), {s: at[s] for s in tickers}, aliases,
+        np.array([len(a) for a in aliases], np.int64), first, np.diff(first, append=len(rows)), np.array([at[r[1]] for r in rows], np.int64),
+        np.array([r[2] for r in rows], np.int64), words, np.array(alias_of, np.int64), {n: np.isin(np.arange(len(alias_of)), [*x]) for n, x in sorted(heads.items())}, runs, odd,
+    )
+
+
+ODD_EDGE = f"[^{WORD}].{{{MIN_ALIAS - 1}}}|.{{{MIN_ALIAS - 1}}}[^{WORD}]"
+ODD_RE = re.compile(f"(?s)(?=({ODD_EDGE}))")
+#: Every byte but those of words becomes a space, so that words keep their places.
+GAPS = bytes(c if re.match(f"[{WORD}]", chr(c)) else 32 for c in range(256))
+BLANKS = "".join(re.findall(f"[{WS}]", "".join(map(chr, range(0xFFFF))), re.ASCII))
+IS_BLANK = np.isin(np.arange(0x10000), [ord(c) for c in BLANKS])
+#: Ends a line for Java, so ``$`` matches in front of it, but is no white space.
+NEL = "\x85"
+
+
+def trimmed(text: str) -> str:
+    """``js_trim`` of a text."""
+    return text[:-1].strip(BLANKS) + NEL if text.endswith(NEL) else text.strip(BLANKS)
+
+
+def bounds(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the texts begin and end once they are joined by one character."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(size + 1) - 1
+    return end - size, end
+
+
+def first_places(lows: list[str], lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(post, alias, place in the post) of the first hit of each alias in each text; the words of all texts are looked up in one pass."""
+    low, (begin, end) = "\n".join(lows), bounds(lows)
+    data = low.encode("ascii", "replace").translate(GAPS)
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == ord(" "))
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
+    word = np.fromiter(map(lex.words.get, data.decode("ascii").split(" "), repeat(-1)), np.int64, len(ends))
+    known = np.flatnonzero(word >= 0)
+    alias = lex.alias_of[word[known]]
+    one = alias >= 0
+    found, places = [alias[one]], [starts[known[one]]]
+    full = np.flatnonzero(ends > starts) if lex.heads else known
+    for n, heads in lex.heads.items():
+        spots = known[heads[word[known]]]
+        last = np.searchsorted(full, spots) + n - 1
+        spots, last = spots[last < len(full)], full[last[last < len(full)]]
+        at = starts[spots]
+        alias = np.fromiter(map(lex.runs.get, [low[a:b] for a, b in zip(at.tolist(), ends[last].tolist(), strict=True)], repeat(-1)), np.int64, len(at))
+        some = (alias >= 0) & (np.searchsorted(begin, at, "right") == np.searchsorted(begin, ends[last] - 1, "right"))
+        found.append(alias[some])
+        places.append(at[some])
+    if lex.odd:
+        pairs = [
+            (k, begin[p] + a) for p, x in enumerate(lows) for g in lex.odd.keys() & set(ODD_RE.findall(x)) for k in lex.odd[g] if (a := odd_at(x, lex.aliases[k])) >= 0
+        ]
+        found.append(np.array([k for k, _ in pairs], np.int64))
+        places.append(np.array([a for _, a in pairs], np.int64))
+    alias, at = np.concatenate(found), np.concatenate(places)
+    # an alias is found in one of these ways only, there from left to right: the least row of a post and alias is its first place
+    n = max(len(at), 1)
+    key = np.sort(((np.searchsorted(begin, at, "right") - 1) * len(lex.aliases) + alias) * n + np.arange(len(at)))
+    key = key[np.diff(key // n, prepend=-1) > 0]
+    post, at = key // n // max(len(lex.aliases), 1), at[key % n]
+    return post, alias[key % n], at - begin[post]
+
+
+def owned(alias: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``alias``, one for each of its owners, and the owners."""
+    n = lex.owners[alias]
+    row = np.repeat(np.arange(len(alias)), n)
+    return row, lex.first[alias][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+
+
+def capitals(text: str, lex: Lexicon) -> Iterator[tuple[int, int]]:
+    """(symbol, place) of the upper-case words of a title that name a coin."""
+    for m in CAPS_RE.finditer(text):
+        if m[0] not in BLACKLIST and m[0] in lex.tickers:
+            yield lex.tickers[m[0]], m.start()
+
+
+def named(posts: list[tuple], lex: Lexicon, strict: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """Columns (post, symbol, mention_count, text around) of posts (title's length, low, text) of an id each: ``weighed``, for many at once."""
+    titles, lows, texts = zip(*posts, strict=True)
+    flat, (begin, end), n = "\n".join(texts), bounds(texts), len(lex.symbols)
+
+    def spoken(p: int, a: int, size: int) -> bool:
+        return CONTEXT_RE.search(lows[p][max(a - 80, 0) : a + size + 80]) is not None
+
+    signs = [(m.start(), lex.tickers[s]) for m in TICK_RE.finditer(flat) if (s := m[1].upper()) in lex.tickers]
+    at, symbol = np.array(signs, np.int64).reshape(-1, 2).T
+    ticks, first, times = np.unique((np.searchsorted(begin, at, "right") - 1) * n + symbol, return_index=True, return_counts=True)
+    tick_at, tick_size = at[first], np.array([len(lex.symbols[k].as_py()) + 1 for k in symbol[first].tolist()], np.int64)
+
+    post, alias, at = first_places(lows, lex)
+    row, owner = owned(alias, lex)
+    key, idx, size = post[row] * n + lex.symbol[owner], lex.idx[owner], lex.size[alias][row]
+    order = np.lexsort((idx, key))
+    key, size, post, at = key[order], size[order], post[row][order], at[row][order]
+    doubt = lex.ambiguous[key % max(n, 1)] & (size <= 4)
+    if doubt.any():
+        doubt &= ~np.isin(key, ticks)
+        for k in np.flatnonzero(doubt).tolist():
+            doubt[k] = not spoken(post[k], at[k], size[k])
+        # without a cashtag, an alias in doubt counts after one that is sure
+        rows = np.arange(len(key))
+        keep = np.maximum.accumulate(np.where(doubt, -1, rows)) >= np.searchsorted(key, key)
+        key, size, post, at = key[keep], size[keep], post[keep], at[keep]
+    top = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(top, append=len(key))
+    key, at, size = key[top], at[top] + begin[post[top]], size[top]
+    where = np.searchsorted(key, ticks)
+    both = where < len(key)
+    both[both] = key[where[both]] == ticks[both]
+    where = where[both]
+    count[where] += times[both]
+    at[where], size[where] = tick_at[both], tick_size[both]
+    key, count, at, size = (np.concatenate(x) for x in ((key, ticks[~both]), (count, times[~both]), (at, tick_at[~both]), (size, tick_size[~both])))
+    post = key // max(n, 1)
+    lo, hi = np.maximum(at - 30, begin[post]), np.minimum(at + size + 30, end[post])
+    caps = {}
+    for p, (title, _, text) in enumerate(posts if not strict else ()):
+        for s, a in capitals(text[:title], lex):
+            w = len(lex.symbols[s].as_py())
+            if p * n + s not in caps and (not lex.ambiguous[s] or spoken(p, a, w)):
+                caps[p * n + s] = begin[p] + max(a - 30, 0), begin[p] + min(a + w + 30, title)
+    if caps:
+        more = np.array([(k, *x) for k, x in caps.items()], np.int64)
+        more = more[~np.isin(more[:, 0], key)]
+        key, lo, hi = (np.concatenate(x) for x in zip((key, lo, hi), more.T, strict=True))
+        count = np.concatenate([count, np.ones(len(more), np.int64)])
+    return key // max(n, 1), lex.symbols.take(pa.array(key % max(n, 1))), count, pieces(flat.replace("\n", " "), lo, hi)
+
+
+def pieces(text: str, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """Parts of a text, trimmed as ``js_trim`` does."""
+    data, chars = text.encode(), np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    blank = IS_BLANK[np.minimum(chars, 0xFFFF)]
+    odd = [(k, trimmed(text[lo[k] : hi[k]]).encode()) for k in np.flatnonzero((hi > lo) & (chars[hi - 1] == ord(NEL))).tolist()] if NEL in text else []
+    lo, hi = lo.copy(), hi.copy()
+    for edge, step in ((lo, 1), (hi, -1)):
+        rows = np.arange(len(lo))
+        while len(rows := rows[lo[rows] < hi[rows]]) and len(rows := rows[blank[edge[rows] - (step < 0)]]):
+            edge[rows] += step
+    if len(data) > len(text):
+        at = np.concatenate([[0], np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), dtype=np.int64)])
+        lo, hi = at[lo], at[hi]
+    cut = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    for k, x in odd:
+        cut[k] = x
+    ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+    return pa.StringArray.from_buffers(len(cut), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(b"".join(cut)))
+
+
+def hits_in(posts: list[tuple], lex: Lexicon, strict: bool) -> list[tuple]:
+    """The hits that ``weighed`` settles, of the posts of one id."""
+    _, alias, _ = first_places([low for _, low, _ in posts], lex)
+    row, owner = owned(alias, lex)
+    hits = []
+    for k, symbol, idx in zip(alias[row].tolist(), lex.symbols.take(pa.array(lex.symbol[owner])).to_pylist(), lex.idx[owner].tolist(), strict=True):
+        ends = lex.aliases[k][0], lex.aliases[k][-1]
+        hits.append((symbol, "alias" if all(map(WORDS_RE.match, ends)) else "odd", lex.aliases[k], idx))
+    for title, _, text in posts:
+        hits += [(s, "tick", None, 0) for x in TICK_RE.findall(text) if (s := x.upper()) in lex.tickers]
+        hits += [(lex.symbols[s].as_py(), "caps", None, 0) for s, _ in capitals(text[:title], lex)] if not strict else []
+    return hits
+
+
+def read_hits(posts: DataFrame, lex: Lexicon, strict: bool, chars: int = 500_000) -> DataFrame:
+    """(id, symbol, mention_count, ctx) of what names a coin in posts (id, title, body), ``ctx`` trimmed.
+
+    The posts move once, to the task of their id, and are read once: a task looks up their words among the aliases, which it has whole,
+    and cuts the texts around the hits, about ``chars`` characters of posts at a time.  Posts that share an id are settled by ``weighed``.
+    """
+    p = by_id(posts.select("id", "title", "body").where("id IS NOT NULL")).sortWithinPartitions("id")
+    p = post_texts(p).select("id", F.char_length("title").alias("title"), "low", "text")
+    kind, shared = p.schema["id"].dataType.simpleString(), posts.sparkSession.sparkContext.broadcast(lex)
+    columns = ["id", "symbol", "mention_count", "ctx"]
+
+    def read(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[tuple]:
+        for batch in batches:
+            types[:] = [batch.schema.field(0).type]
+            for k in range(0, batch.num_rows, 200):
+                yield from zip(*[x.to_pylist() for x in batch.slice(k, 200).columns], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, ids, alone, rows, held = [], [], [], [], 0
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if alone:
+                post, symbol, n, ctx = named(alone, shared.value, strict)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, types[0]).take(pa.array(post)), symbol, pa.array(n, pa.int32()), ctx], names=columns)
+            if rows:
+                arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (types[0], pa.string(), pa.int32(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+        for i, group in groupby(read(batches, types), itemgetter(0)):
+            same = [x[1:] for x in group]
+            if len(same) == 1:
+                ids.append(i)
+                alone += same
+            else:
+                rows += [(i, symbol, n, trimmed(ctx.replace("\n", " "))) for symbol, n, ctx in weighed(same, hits_in(same, shared.value, strict))]
+            held += sum(len(low) for _, low, _ in same)
+            if held > chars:
+                yield from settled()
+                ids, alone, rows, held = [], [], [], 0
+        yield from settled()
+
+    return p.mapInArrow(run, f"id {kind}, symbol string, mention_count int, ctx string")
+
+
 def holding(p: DataFrame, aliases: DataFrame, most: int = 200) -> DataFrame:
     """Posts whose text holds one of a few aliases anywhere; all posts if there are more than ``most``, as the test only saves work."""
     some = [r[0] for r in aliases.select("alias").distinct().limit(most + 1).collect()]
@@ -251,16 +517,23 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False, c
 
     ``strict`` is for sources with much small talk: cashtags and long aliases only.
 
-    A post's runs of words are met with the aliases, so a text is never searched per alias.  Texts are read again, moved once,
-    for the context, or without it for the hits that depend on the words around them: ambiguous symbols, and aliases with
-    something else than a word character at an end.
+    A post's words and runs of words are met with the aliases, so a text is never searched per alias.  With context the posts move once
+    and are read once, by tasks that have all the aliases (``read_hits``).  Without it, or with too many aliases for that, runs of words are joined
+    with them, and texts are read again, moved once, for the context or the hits that depend on the words around them: ambiguous
+    symbols, and aliases with something else than a word character at an end.
     """
     p = post_texts(posts)
     names = coins.groupBy(F.upper("symbol").alias("symbol")).agg(F.max("name").alias("coin_name"))
     dim = alias_dim(coins).where(F.char_length("alias") >= (MIN_ALIAS_STRICT if strict else MIN_ALIAS))
     regular = F.col("alias").rlike(f"(?s)^[{WORD}](.*[{WORD}])?$")
+    symbols = names.select("symbol").where(F.col("symbol").rlike("^[A-Z]{2,10}$"))
+    if context:
+        dim, symbols = cut_lineage(dim), cut_lineage(symbols)
+        lex = lexicon(dim.withColumns({"words": F.when(regular, F.size(words_of(F.col("alias")))), "gram": odd_gram()}), symbols)
+        if lex is not None:
+            return with_names(read_hits(posts, lex, strict), names)
     aliases = small(dim.where(regular).withColumn("words", F.size(words_of(F.col("alias")))))
-    symbols = small(names.select("symbol").where(F.col("symbol").rlike("^[A-Z]{2,10}$")))
+    symbols = small(symbols)
     odd = odd_hits(p, dim.where(~regular))
 
     def all_hits(p: DataFrame, aliases: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -281,6 +554,10 @@ def extract_mentions(posts: DataFrame, coins: DataFrame, strict: bool = False, c
             near = holding(p, dim.select("symbol", "alias").unionByName(names.select("symbol", F.lower("symbol").alias("alias"))).join(unclear, "symbol", "left_semi"))
             g = plain_counts(hit_rows(p, *clear, strict), most).unionByName(weighed_hits(near, all_hits(near, *doubtful)).drop("ctx"))
         g = g.withColumn("ctx", F.lit(None).cast("string"))
+    return with_names(g, names)
+
+
+def with_names(g: DataFrame, names: DataFrame) -> DataFrame:
     return g.join(names, "symbol", "left").select(
         "id", F.col("symbol").alias("coin_symbol"), "coin_name", "mention_count", F.nullif("ctx", F.lit("")).alias("context")
     )
